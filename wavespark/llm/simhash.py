@@ -22,9 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, table
 from .components import connected_components
+from .textbytes import mix
 
 SEED = 42
 #: Pairs of a member and a lane compared at a time.
@@ -151,9 +153,9 @@ def _union(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def near_links(fps: DataFrame, radius: int) -> DataFrame:
+def near_links(fps: DataFrame, radius: int, spare: int = 4) -> DataFrame:
     """Links (a, b) that join all distinct values of fp (bigint) within `radius` differing bits, as forests of groups."""
-    blocks = radius + 4
+    blocks = radius + spare  # of which `spare` are the key of a table
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = []
     for out in combinations(range(blocks), radius):
@@ -191,7 +193,7 @@ def near_links(fps: DataFrame, radius: int) -> DataFrame:
     return rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(groups, "a bigint, b bigint")
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, spare: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fp, component_id) of every row; component_id: the smallest id that links lead to.
 
     Null and blank texts share the fingerprint 0 and are linked like any other;
@@ -200,7 +202,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id
     """
     fps = materialize(simhash(docs, shingle, id_col, text_col), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    nodes = connected_components(near_links(distinct.select("fp"), radius))
+    nodes = connected_components(near_links(distinct.select("fp"), radius, spare))
     linked = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     linked = materialize(linked, "linked")
     least = materialize(linked.groupBy("component").agg(F.min("least").alias("component_id")), "components")
@@ -208,6 +210,64 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id
     return fps.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
+def shingle_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """docs less its text, with `set`: the distinct hashes of a text's word shingles (fewer words: the whole sequence)."""
+    from .textbytes import NOT_SPACE, Hasher, chunks, spans
+
+    names = [c for c in docs.columns if c != text_col]
+    schema = T.StructType([*docs.select(names).schema.fields, T.StructField("set", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for lo, hi, data, offsets in chunks(b.column(text_col)):
+                low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+                starts, ends, first = spans(low, offsets, NOT_SPACE)
+                h = Hasher(low)(starts, ends)
+                for i in range(hi - lo):
+                    own = h[first[i] : first[i + 1]]
+                    k = min(shingle, len(own))
+                    mixed = np.zeros(max(len(own) - k + 1, 0) if k else 0, np.uint64)
+                    for j in range(k):
+                        mixed = mix(mixed * np.uint64(31) + own[j : len(own) - k + 1 + j])
+                    sets.append(np.unique(mixed).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sets, pa.list_(pa.int64()))], names=[*names, "set"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 5, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs less near duplicates: of each group of similar documents the one with the smallest id stays.
+
+    Fingerprints within the radius propose groups; then every member is held
+    against its group's smallest document by the Jaccard similarity of their
+    shingle sets and goes if that is large enough. The members that stay form the
+    group of the next round. So each document that goes has a similar one that
+    stays, and no group is ever compared all with all. Rows of one id are one
+    document; rows with a null id stay; blank texts are alike.
+    """
+    groups = near_duplicate_groups(docs, 3, radius, 3, id_col, text_col).where(F.col(id_col).isNotNull())
+    groups = groups.groupBy(F.col(id_col).alias("__id")).agg(F.min("component_id").alias("group"))
+    size = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    members = materialize(groups.join(materialize(size, "groups"), "group"), "members")
+    texts = docs.join(members, F.col(id_col) == F.col("__id")).select(F.col("__id").alias("id"), "group", F.coalesce(text_col, F.lit("")).alias("text"))
+    left = materialize(shingle_sets(texts, shingle, "id", "text"), "sets")
+    gone = []
+    for _ in range(rounds):
+        least = materialize(left.groupBy("group").agg(F.min_by("set", "id").alias("other"), F.min("id").alias("first")), "first")
+        both = left.join(least, "group").where("id > first")
+        same = F.size(F.array_intersect("set", "other"))
+        alike = F.when((F.size("set") == 0) & (F.size("other") == 0), True).otherwise(same >= similarity * (F.size("set") + F.size("other") - same))
+        judged = materialize(both.select("id", "group", "set", alike.alias("alike")), "judged")
+        gone.append(judged.where("alike").select("id"))
+        left = judged.where("not alike").drop("alike")
+    removed = gone[0]
+    for g in gone[1:]:
+        removed = removed.unionByName(g)
+    removed = materialize(removed.distinct().withColumnRenamed("id", "__id"), "removed")
+    return docs.join(removed, F.col(id_col) == F.col("__id"), "left_anti")
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate group."""
     rows = near_duplicate_groups(table(spark, sf_dir, "documents"), 3, 2)

@@ -1,4 +1,244 @@
-"""Registered queries over the given tables, and the same in SQL."""
+"""Registered queries over the given tables, and the same in SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Floats are rounded on both sides; arrays are exploded to one row a value.
+"""
+
+from __future__ import annotations
+
+from fractions import Fraction
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..config import ChromaConfig, MelConfig, StftConfig
+from ..functions import columns as C
+from ..operators import frames as O
+from ..operators import transforms as X
+
+CFG = StftConfig(fft=16, hop=4)
+RATE = 22050
+MEL = MelConfig(sample_rate=RATE, n_mels=4, norm=True)
+CHROMA = ChromaConfig(sample_rate=RATE)
+
+
+def _embeddings(spark, sf_dir: str) -> DataFrame:
+    return O.signals_from_arrays(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", RATE)
+
+
+def _events(spark, sf_dir: str, key: str = "user_id") -> DataFrame:
+    return O.signals_from_table(spark.read.parquet(f"{sf_dir}/events.parquet"), key, ["ts", "event_id"], F.col("value") / 100, RATE)
+
+
+def _round(c, digits: int = 6):
+    return (F.round(c, digits) + 0.0).alias("v")
+
+
+def _long(rows: DataFrame, array: str = "s", digits: int = 6) -> DataFrame:
+    out = rows.select("clip_id", "frame", F.posexplode(array).alias("bin", "x"))
+    return out.select(F.col("clip_id").cast("bigint"), "frame", F.col("bin").cast("bigint").alias("bin"), _round("x", digits))
+
+
+def _samples(clips: DataFrame, digits: int = 6) -> DataFrame:
+    out = clips.select("clip_id", F.posexplode("samples").alias("pos", "x"))
+    return out.select(F.col("clip_id").cast("bigint"), F.col("pos").cast("bigint").alias("pos"), _round("x", digits))
+
+
+def event_signals(spark, sf_dir):
+    clips = _events(spark, sf_dir, "event_type")
+    return clips.select("clip_id", "n", F.round(C.total(F.col("samples")), 4).alias("total"), F.get("samples", F.lit(0)).alias("first"), F.element_at("samples", -1).alias("last"))
+
+
+def rms(spark, sf_dir):
+    return O.rms(_events(spark, sf_dir), 16, 4).select("clip_id", "frame", _round("rms"))
+
+
+def zcr(spark, sf_dir):
+    return O.zero_crossing_rate(_embeddings(spark, sf_dir), 16, 4).select("clip_id", "frame", _round("zcr"))
+
+
+def document_rms(spark, sf_dir):
+    """Texts as signals of code points: some are thousands of times longer than others."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return O.rms(O.code_point_signals(docs, "doc_id", "text"), 512, 512).select("clip_id", "frame", _round("rms", 4))
+
+
+def power_spectrum(spark, sf_dir):
+    return _long(X.power_spectrum(_embeddings(spark, sf_dir), CFG))
+
+
+def stft(spark, sf_dir):
+    rows = X.stft(_embeddings(spark, sf_dir), CFG)
+    z = rows.select("clip_id", "frame", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z"))
+    return z.select("clip_id", "frame", F.col("bin").cast("bigint").alias("bin"), (F.round("z.re", 6) + 0.0).alias("re"), (F.round("z.im", 6) + 0.0).alias("im"))
+
+
+def mel(spark, sf_dir):
+    return _long(X.mel_spectrogram(_embeddings(spark, sf_dir), CFG, MEL), digits=9)
+
+
+def mfcc(spark, sf_dir):
+    return _long(X.mfcc(_embeddings(spark, sf_dir), CFG, MEL, 4), digits=4)
+
+
+def chroma(spark, sf_dir):
+    return _long(X.chroma_stft(_embeddings(spark, sf_dir), CFG, CHROMA))
+
+
+def spectral_shape(spark, sf_dir):
+    s = X.power_spectrum(_embeddings(spark, sf_dir), CFG, power=1.0)
+    out = O.spectral_shape(s, CFG.frequencies(RATE))
+    return out.select("clip_id", "frame", *[(F.round(c, 5) + 0.0).alias(c) for c in ("centroid", "bandwidth", "rolloff", "flatness")])
+
+
+def spectral_contrast(spark, sf_dir):
+    cfg = StftConfig(fft=256, hop=64)
+    s = X.power_spectrum(_events(spark, sf_dir, "event_type"), cfg, power=1.0)
+    out = O.spectral_contrast(s, 256, RATE, n_bands=5).select("clip_id", "frame", F.posexplode("contrast").alias("bin", "x"))
+    return out.select("clip_id", "frame", F.col("bin").cast("bigint").alias("bin"), _round("x"))
+
+
+def onset_strength(spark, sf_dir):
+    return O.onset_strength(X.mel_db(_embeddings(spark, sf_dir), CFG, MEL), CFG).select("clip_id", "frame", _round("onset", 4))
+
+
+def istft_round_trip(spark, sf_dir):
+    clips = _embeddings(spark, sf_dir)
+    return _samples(X.istft(X.stft(clips, CFG), clips, CFG))
+
+
+def decibels(spark, sf_dir):
+    x = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("value").alias("x"))
+    return x.select(
+        "event_id", *(F.round(c, 6).alias(n) for n, c in (("power", C.power_to_db("x")), ("amplitude", C.amplitude_to_db("x")), ("back", C.db_to_power(C.power_to_db("x"))), ("mel", C.hz_to_mel(F.col("x") * 40)), ("midi", C.hz_to_midi("x"))))
+    )
+
+
+def pcm(spark, sf_dir):
+    x = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return x.select("event_id", C.pcm_quantize((F.col("value") - 245) / 200, 16).alias("pcm16"), C.pcm_quantize((F.col("value") - 245) / 200, 24).alias("pcm24"))
+
+
+def peaks(spark, sf_dir):
+    clips = _embeddings(spark, sf_dir)
+    return clips.select("clip_id", F.explode(F.transform(C.spectral_peaks("samples"), lambda i: i.cast("bigint"))).alias("bin"))
+
+
+def median_time(spark, sf_dir):
+    s = O.frame_signal(_embeddings(spark, sf_dir), 8, 8, "zero").withColumnRenamed("x", "s")
+    return _long(O.median_time(s, 5))
+
+
+def downmix(spark, sf_dir):
+    """The user's events in three channels of one clip: mixed to one."""
+    e = _embeddings(spark, sf_dir)
+    clips = e.select(F.floor(F.col("clip_id") / 4).alias("clip_id"), (F.col("clip_id") % 4).cast("int").alias("channel"), "sample_rate", "n", "samples")
+    return _samples(O.downmix(clips))
+
+
+def resample(spark, sf_dir):
+    return _samples(X.resample(_events(spark, sf_dir), 3, 2, "fast"))
+
+
+def hpss(spark, sf_dir):
+    s = X.power_spectrum(_embeddings(spark, sf_dir), CFG, power=1.0)
+    both = X.hpss_of_spectrogram(s, kernel=(5, 3))
+    rows = both.select("clip_id", "frame", F.posexplode(F.arrays_zip("harmonic", "percussive")).alias("bin", "z"))
+    return rows.select("clip_id", "frame", F.col("bin").cast("bigint").alias("bin"), F.round("z.harmonic", 6).alias("harmonic"), F.round("z.percussive", 6).alias("percussive"))
+
+
+def time_stretch(spark, sf_dir):
+    return _samples(X.time_stretch(_events(spark, sf_dir), CFG, Fraction(4, 3)))
+
+
+def pitch_shift(spark, sf_dir):
+    return _samples(X.pitch_shift(_events(spark, sf_dir), CFG, Fraction(5, 4), "fast"))
+
+
+def griffin_lim(spark, sf_dir):
+    s = X.power_spectrum(_events(spark, sf_dir), CFG, power=1.0)
+    clips = _events(spark, sf_dir)
+    again = X.power_spectrum(X.istft(X.griffin_lim(s, CFG, 8), clips, CFG), CFG, power=1.0)
+    return X.spectral_convergence(again, s).select("clip_id", _round("convergence", 4))
+
+
+QUERIES = {f.__name__: f for f in (
+    event_signals, rms, zcr, document_rms, power_spectrum, stft, mel, mfcc, chroma, spectral_shape, spectral_contrast, onset_strength, istft_round_trip,
+    decibels, pcm, peaks, median_time, downmix, resample, hpss, time_stretch, pitch_shift, griffin_lim,
+)}
+
+
+def _values(m: np.ndarray, names: str) -> str:
+    rows = ", ".join(f"({i}, {j}, {float(v)!r})" for (i, j), v in np.ndenumerate(m))
+    return f"SELECT * FROM (VALUES {rows}) AS t({names})"
+
+
+_EMB = "c AS (SELECT vec_id AS clip_id, embedding::DOUBLE[] AS s, len(embedding) AS n FROM embeddings WHERE len(embedding) > 0)"
+_USERS = "c AS (SELECT user_id AS clip_id, list(value / 100 ORDER BY ts, event_id) AS s, count(*) AS n FROM events GROUP BY user_id)"
+
+
+def _framed(clips: str, fft: int, hop: int, pad: str) -> str:
+    """c: clips; x(clip_id, frame, j, x): centered frames."""
+    q = f"f.frame * {hop} + j.j - {fft // 2}"
+    x = {
+        "zero": f"CASE WHEN {q} >= 0 AND {q} < n THEN s[{q} + 1] ELSE 0.0 END",
+        "edge": f"s[greatest(0, least({q}, n - 1)) + 1]",
+        "reflect": f"s[CASE WHEN n = 1 THEN 0 WHEN (({q}) % (2 * n - 2) + 2 * n - 2) % (2 * n - 2) < n THEN (({q}) % (2 * n - 2) + 2 * n - 2) % (2 * n - 2) ELSE 2 * n - 2 - (({q}) % (2 * n - 2) + 2 * n - 2) % (2 * n - 2) END + 1]",
+    }[pad]
+    return f"""{clips}, f AS (SELECT clip_id, unnest(generate_series(0, (n + {fft // 2 * 2} - {fft}) // {hop})) AS frame FROM c),
+    x AS (SELECT f.clip_id, f.frame, j.j, {x} AS x FROM f JOIN c USING (clip_id), generate_series(0, {fft - 1}) AS j(j))"""
+
+
+def _spectrum(cfg: StftConfig = CFG) -> str:
+    w = _values(cfg.weights()[:, None], "j, o, w")
+    return f"""{_framed(_EMB, cfg.fft, cfg.hop, cfg.pad)}, w AS ({w}),
+    z AS (SELECT clip_id, frame, bin, sum(x * w * cos(2 * pi() * bin * j / {cfg.fft})) AS re, -sum(x * w * sin(2 * pi() * bin * j / {cfg.fft})) AS im
+      FROM x JOIN w USING (j), generate_series(0, {cfg.bins - 1}) AS b(bin) GROUP BY ALL),
+    p AS (SELECT clip_id, frame, bin, re * re + im * im AS p, sqrt(re * re + im * im) AS s FROM z)"""
+
+
+_MELS = f"m AS ({_values(MEL.weights(CFG.fft), 'band, bin, w')}), y AS (SELECT clip_id, frame, band, sum(p * w) AS y FROM p JOIN m USING (bin) GROUP BY ALL)"
+_CLAMPED = "d AS (SELECT *, 10 * log10(greatest(1e-10, y)) AS d FROM y), k AS (SELECT clip_id, frame, band, greatest(d, max(d) OVER (PARTITION BY clip_id) - 80) AS d FROM d)"
+
+ORACLE_SQL = {
+    "event_signals": """SELECT event_type AS clip_id, count(*) AS n, round(sum(value / 100), 4) AS total, first(value / 100 ORDER BY ts, event_id) AS "first",
+      last(value / 100 ORDER BY ts, event_id) AS "last" FROM events GROUP BY event_type""",
+    "rms": f"WITH {_framed(_USERS, 16, 4, 'zero')} SELECT clip_id, frame, round(sqrt(sum(x * x) / 16), 6) + 0.0::DOUBLE AS v FROM x GROUP BY ALL",
+    "zcr": f"""WITH {_framed(_EMB, 16, 4, 'edge')}, d AS (SELECT clip_id, frame, x < -1e-10 AS a, lag(x < -1e-10) OVER (PARTITION BY clip_id, frame ORDER BY j) AS b FROM x)
+      SELECT clip_id, frame, round(count(*) FILTER (WHERE a <> b) / 16, 6) + 0.0::DOUBLE AS v FROM d GROUP BY ALL""",
+    "power_spectrum": f"WITH {_spectrum()} SELECT clip_id, frame, bin, round(p, 6) + 0.0::DOUBLE AS v FROM p",
+    "stft": f"WITH {_spectrum()} SELECT clip_id, frame, bin, round(re, 6) + 0.0::DOUBLE AS re, round(im, 6) + 0.0::DOUBLE AS im FROM z",
+    "mel": f"WITH {_spectrum()}, {_MELS} SELECT clip_id, frame, band::BIGINT AS bin, round(y, 9) + 0.0::DOUBLE AS v FROM y",
+    "mfcc": f"""WITH {_spectrum()}, {_MELS}, {_CLAMPED} SELECT clip_id, frame, i AS bin,
+      round(sum(d * 2 * cos(pi() * i * (2 * band + 1) / 8)) * CASE WHEN i = 0 THEN 1 / sqrt(16) ELSE 1 / sqrt(8) END, 4) + 0.0::DOUBLE AS v
+      FROM k, generate_series(0, 3) AS t(i) GROUP BY ALL""",
+    "chroma": f"""WITH {_spectrum()}, m AS ({_values(CHROMA.weights(CFG.fft), 'band, bin, w')}), y AS (SELECT clip_id, frame, band, sum(p * w) AS y FROM p JOIN m USING (bin) GROUP BY ALL)
+      SELECT clip_id, frame, band::BIGINT AS bin, round(y / max(y) OVER (PARTITION BY clip_id, frame), 6) + 0.0::DOUBLE AS v FROM y""",
+    "spectral_shape": f"""WITH {_spectrum()}, h AS (SELECT *, bin * {RATE} / {CFG.fft}.0::DOUBLE AS f FROM p),
+      t AS (SELECT clip_id, frame, sum(s) AS t, sum(f * s) / sum(s) AS centroid, exp(avg(ln(greatest(1e-10, p)))) / avg(greatest(1e-10, p)) AS flatness FROM h GROUP BY ALL),
+      r AS (SELECT clip_id, frame, f, sum(s) OVER (PARTITION BY clip_id, frame ORDER BY bin) AS c FROM h),
+      o AS (SELECT r.clip_id, r.frame, min(f) AS rolloff FROM r JOIN t USING (clip_id, frame) WHERE c >= 0.85 * t GROUP BY ALL),
+      b AS (SELECT clip_id, frame, sqrt(sum(s / t * (f - centroid) * (f - centroid))) AS bandwidth FROM h JOIN t USING (clip_id, frame) GROUP BY ALL)
+      SELECT clip_id, frame, round(centroid, 5) AS centroid, round(bandwidth, 5) AS bandwidth, round(rolloff, 5) AS rolloff, round(flatness, 5) AS flatness
+      FROM t JOIN o USING (clip_id, frame) JOIN b USING (clip_id, frame)""",
+    "onset_strength": f"""WITH {_spectrum()}, {_MELS}, {_CLAMPED}, l AS (SELECT clip_id, frame, greatest(0, d - lag(d) OVER (PARTITION BY clip_id, band ORDER BY frame)) AS r FROM k),
+      g AS (SELECT clip_id, frame, CASE WHEN frame = 0 THEN 0 ELSE avg(r) END AS flux FROM l GROUP BY ALL)
+      SELECT clip_id, frame, round(lag(flux, 2, 0.0) OVER (PARTITION BY clip_id ORDER BY frame), 4) + 0.0::DOUBLE AS v FROM g""",
+    "istft_round_trip": f"WITH {_EMB} SELECT clip_id, unnest(generate_series(0, n - 1)) AS pos, round(unnest(s), 6) + 0.0::DOUBLE AS v FROM c",
+    "decibels": """SELECT event_id, round(10 * log10(greatest(1e-10, value)), 6) AS power, round(20 * log10(greatest(1e-5, abs(value))), 6) AS amplitude, round(value, 6) AS back,
+      round(CASE WHEN value * 40 < 1000 THEN value * 40 * 3 / 200 ELSE 15 + ln(value * 40 / 1000) / (ln(6.4) / 27) END, 6) AS mel, round(69 + 12 * log2(value / 440), 6) AS midi FROM events""",
+    "pcm": """SELECT event_id, least(greatest(round_even((value - 245) / 200 * 32768, 0), -32768), 32767)::BIGINT AS pcm16,
+      least(greatest(round_even((value - 245) / 200 * 8388608, 0), -8388608), 8388607)::BIGINT AS pcm24 FROM events""",
+    "peaks": f"""WITH {_EMB}, i AS (SELECT clip_id, s, n, unnest(generate_series(1, n)) AS i FROM c)
+      SELECT clip_id, (i - 1)::BIGINT AS bin FROM i WHERE (i <= 2 OR s[i] > s[i - 2]) AND (i = 1 OR s[i] > s[i - 1]) AND (i = n OR s[i] > s[i + 1]) AND (i + 2 > n OR s[i] > s[i + 2])""",
+    "median_time": f"""WITH {_framed(_EMB, 8, 8, 'zero')}, n AS (SELECT clip_id, max(frame) + 1 AS n FROM x GROUP BY ALL),
+      o AS (SELECT x.clip_id, x.frame, x.j, n.n, unnest(generate_series(x.frame - 2, x.frame + 2)) AS q FROM x JOIN n USING (clip_id)),
+      r AS (SELECT clip_id, frame, j, CASE WHEN (q % (2 * n) + 2 * n) % (2 * n) < n THEN (q % (2 * n) + 2 * n) % (2 * n) ELSE 2 * n - 1 - (q % (2 * n) + 2 * n) % (2 * n) END AS q FROM o)
+      SELECT r.clip_id, r.frame, r.j AS bin, round(list_sort(list(x.x))[3], 6) + 0.0::DOUBLE AS v FROM r JOIN x ON x.clip_id = r.clip_id AND x.frame = r.q AND x.j = r.j GROUP BY ALL""",
+    "downmix": f"WITH {_EMB}, l AS (SELECT clip_id // 4 AS clip_id, unnest(generate_series(0, n - 1)) AS pos, unnest(s) AS x FROM c) SELECT clip_id, pos, round(avg(x), 6) + 0.0::DOUBLE AS v FROM l GROUP BY ALL",
+    "document_rms": """WITH c AS (SELECT doc_id AS clip_id, list_transform(string_split(text, ''), lambda x: unicode(x)::DOUBLE) AS s, length(text) AS n FROM documents WHERE length(text) > 0),
+      l AS (SELECT clip_id, n, unnest(s) AS x, unnest(generate_series(0, n - 1)) AS q FROM c),
+      f AS (SELECT clip_id, unnest(generate_series(0, n // 512)) AS frame FROM c),
+      e AS (SELECT clip_id, (q + 256) // 512 AS frame, sum(x * x) AS e FROM l GROUP BY ALL)
+      SELECT f.clip_id, f.frame, round(sqrt(coalesce(e, 0) / 512), 4) AS v FROM f LEFT JOIN e USING (clip_id, frame)""",
+}

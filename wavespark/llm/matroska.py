@@ -22,7 +22,7 @@ from .common import table
 # Element ids of the format.
 EBML, DOC_TYPE = 0x1A45DFA3, 0x4282
 SEGMENT, INFO, SCALE, TRACKS, TRACK = 0x18538067, 0x1549A966, 0x2AD7B1, 0x1654AE6B, 0xAE
-NUMBER, UID, KIND, CODEC, AUDIO, RATE, CHANNELS, DEPTH = 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
+NUMBER, UID, KIND, CODEC, DURATION, AUDIO, RATE, CHANNELS, DEPTH = 0xD7, 0x73C5, 0x83, 0x86, 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIME, SIMPLE, GROUP, BLOCK, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE, CUE_TIME, CUE_AT, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 _MASTERS = {SEGMENT, TRACKS, TRACK, INFO, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_AT}
@@ -64,7 +64,7 @@ def mux(payload: bytes) -> bytes:
     """A one-track file of 8-bit samples; blocks of eight frames take fixed and EBML lacing in turn."""
     head = element(EBML, element(DOC_TYPE, b"matroska"))
     audio = element(AUDIO, element(RATE, np.float32(SAMPLE_RATE).astype(">f4").tobytes()) + element(CHANNELS, 1) + element(DEPTH, 8))
-    tracks = element(TRACKS, element(TRACK, element(NUMBER, 1) + element(UID, 1) + element(KIND, 2) + element(CODEC, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK, element(NUMBER, 1) + element(UID, 1) + element(KIND, 2) + element(CODEC, b"A_PCM/INT/LIT") + element(DURATION, _FRAME_MS * 1_000_000) + audio))
     body, cues = [element(INFO, element(SCALE, 1_000_000)), tracks], []
     at = sum(map(len, body))
     block_bytes = FRAME * FRAMES_PER_BLOCK
@@ -101,11 +101,12 @@ def _number(data: bytes, at: int, end: int, keep: bool) -> tuple[int | None, int
     return (None if value == (1 << 7 * width) - 1 else value), at + width, width
 
 
-def _block(data: bytes, at: int, end: int, cluster: int, key: bool | None, out: list) -> None:
+def _block(data: bytes, at: int, end: int, state: dict, key: bool | None, out: list) -> None:
+    """Adds a block's frames; those after the first follow by the track's frame duration, where it has one."""
     track, at, _ = _number(data, at, end, False)
     if at + 3 > end:
         raise ValueError(f"cut block at byte {at}")
-    time, flags = cluster + int.from_bytes(data[at : at + 2], "big", signed=True), data[at + 2]
+    time, flags = state["cluster"] + int.from_bytes(data[at : at + 2], "big", signed=True), data[at + 2]
     at, lacing = at + 3, flags >> 1 & 3
     key = bool(flags & 0x80) if key is None else key
     if lacing == 0:
@@ -132,8 +133,9 @@ def _block(data: bytes, at: int, end: int, cluster: int, key: bool | None, out:
             sizes.append(end - at - sum(sizes))
     if min(sizes) < 0 or at + sum(sizes) > end:
         raise ValueError(f"lacing beyond the block at byte {at}")
-    for n in sizes:
-        out.append((track, time, at, n, key))
+    step = state["durations"].get(track, 0)
+    for i, n in enumerate(sizes):
+        out.append((track, time + i * step // state["scale"], at, n, key))
         at += n
 
 
@@ -141,7 +143,7 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], int, str | None]:
     """Packets (track, timestamp, offset, size, key), cues (time, track, cluster offset in the file), clusters, error."""
     packets: list[tuple] = []
     cues: list[tuple] = []
-    state = {"cluster": 0, "clusters": 0, "segment": 0, "time": 0, "track": 0}
+    state = {"cluster": 0, "clusters": 0, "segment": 0, "time": 0, "track": 0, "number": 0, "scale": 1_000_000, "durations": {}}
 
     def walk(at: int, end: int, parent: int) -> int:
         block = None
@@ -164,11 +166,17 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], int, str | None]:
             elif kind == TIME:
                 state["cluster"] = int.from_bytes(data[at:stop], "big")
             elif kind == SIMPLE:
-                _block(data, at, stop, state["cluster"], None, packets)
+                _block(data, at, stop, state, None, packets)
             elif kind == BLOCK:
                 block = (at, stop)
             elif kind == REFERENCE:
                 key = False
+            elif kind == SCALE:
+                state["scale"] = max(1, int.from_bytes(data[at:stop], "big"))
+            elif kind == NUMBER and parent == TRACK:
+                state["number"] = int.from_bytes(data[at:stop], "big")
+            elif kind == DURATION:
+                state["durations"][state["number"]] = int.from_bytes(data[at:stop], "big")
             elif kind == CUE_TIME:
                 state["time"] = int.from_bytes(data[at:stop], "big")
             elif kind == CUE_TRACK:
@@ -177,7 +185,7 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], int, str | None]:
                 cues.append((state["time"], state["track"], state["segment"] + int.from_bytes(data[at:stop], "big")))
             at = stop
         if block:
-            _block(data, *block, state["cluster"], key, packets)
+            _block(data, *block, state, key, packets)
         return at
 
     try:

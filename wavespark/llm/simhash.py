@@ -250,7 +250,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     groups = groups.groupBy(F.col(id_col).alias("__id")).agg(F.min("component_id").alias("group"))
     size = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
     members = materialize(groups.join(materialize(size, "groups"), "group"), "members")
-    texts = docs.join(members, F.col(id_col) == F.col("__id")).select(F.col("__id").alias("id"), "group", F.coalesce(text_col, F.lit("")).alias("text"))
+    # merge joins with the texts: neither the plan nor a task's memory depends on how many documents are grouped
+    texts = docs.join(members.hint("merge"), F.col(id_col) == F.col("__id")).select(F.col("__id").alias("id"), "group", F.coalesce(text_col, F.lit("")).alias("text"))
     left = materialize(shingle_sets(texts, shingle, "id", "text"), "sets")
     gone = []
     for _ in range(rounds):
@@ -265,7 +266,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     for g in gone[1:]:
         removed = removed.unionByName(g)
     removed = materialize(removed.distinct().withColumnRenamed("id", "__id"), "removed")
-    return docs.join(removed, F.col(id_col) == F.col("__id"), "left_anti")
+    return docs.join(removed.hint("merge"), F.col(id_col) == F.col("__id"), "left_anti")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -211,7 +211,7 @@ ORACLE_SQL = {
     "mel": f"WITH {_spectrum()}, {_MELS} SELECT clip_id, frame, band::BIGINT AS bin, round(y, 9) + 0.0::DOUBLE AS v FROM y",
     "mfcc": f"""WITH {_spectrum()}, {_MELS}, {_CLAMPED} SELECT clip_id, frame, i AS bin,
       round(sum(d * 2 * cos(pi() * i * (2 * band + 1) / 8)) * CASE WHEN i = 0 THEN 1 / sqrt(16) ELSE 1 / sqrt(8) END, 4) + 0.0::DOUBLE AS v
-      FROM k, generate_series(0, 3) AS t(i) GROUP BY ALL""",
+      FROM k, generate_series(0, 3) AS t(i) GROUP BY clip_id, frame, i""",
     "chroma": f"""WITH {_spectrum()}, m AS ({_values(CHROMA.weights(CFG.fft), 'band, bin, w')}), y AS (SELECT clip_id, frame, band, sum(p * w) AS y FROM p JOIN m USING (bin) GROUP BY ALL)
       SELECT clip_id, frame, band::BIGINT AS bin, round(y / max(y) OVER (PARTITION BY clip_id, frame), 6) + 0.0::DOUBLE AS v FROM y""",
     "spectral_shape": f"""WITH {_spectrum()}, h AS (SELECT *, bin * {RATE} / {CFG.fft}.0::DOUBLE AS f FROM p),
@@ -222,7 +222,7 @@ ORACLE_SQL = {
       SELECT clip_id, frame, round(centroid, 5) AS centroid, round(bandwidth, 5) AS bandwidth, round(rolloff, 5) AS rolloff, round(flatness, 5) AS flatness
       FROM t JOIN o USING (clip_id, frame) JOIN b USING (clip_id, frame)""",
     "onset_strength": f"""WITH {_spectrum()}, {_MELS}, {_CLAMPED}, l AS (SELECT clip_id, frame, greatest(0, d - lag(d) OVER (PARTITION BY clip_id, band ORDER BY frame)) AS r FROM k),
-      g AS (SELECT clip_id, frame, CASE WHEN frame = 0 THEN 0 ELSE avg(r) END AS flux FROM l GROUP BY ALL)
+      g AS (SELECT clip_id, frame, CASE WHEN frame = 0 THEN 0 ELSE avg(r) END AS flux FROM l GROUP BY clip_id, frame)
       SELECT clip_id, frame, round(lag(flux, 2, 0.0) OVER (PARTITION BY clip_id ORDER BY frame), 4) + 0.0::DOUBLE AS v FROM g""",
     "istft_round_trip": f"WITH {_EMB} SELECT clip_id, unnest(generate_series(0, n - 1)) AS pos, round(unnest(s), 6) + 0.0::DOUBLE AS v FROM c",
     "decibels": """SELECT event_id, round(10 * log10(greatest(1e-10, value)), 6) AS power, round(20 * log10(greatest(1e-5, abs(value))), 6) AS amplitude, round(value, 6) AS back,

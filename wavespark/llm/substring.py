@@ -35,9 +35,11 @@ from .textbytes import NOT_SPACE, Hasher, chunks, mix, powers, spans
 
 WINDOW, ANCHOR = 50, 16
 #: Occurrences of an anchor above which its suffixes are dealt by their whole label.
-GROUP = 50_000
+GROUP = 2_000
 #: Shared anchors that are sent to all tasks at most (8 bytes each); beyond, each document gets its own by a join.
 SENT = 1 << 22
+#: Ids of exact copies that are broadcast at most.
+BROADCAST = 1_000_000
 _B = 0xD6E8FEB86659FD93
 _B_INVERSE = pow(_B, -1, 2**64)
 
@@ -179,10 +181,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     first = materialize(ids.groupBy("digest").agg(F.min("doc").alias("first")), "first")
     copies = ids.join(first, "digest").where("doc > first").select("doc").distinct()
     copies = materialize(copies, "copies")
-    places = repeated_places(keyed.join(copies, "doc", "left_anti"), window, anchor, sent)
+    few = copies.count() <= BROADCAST
+    single = keyed.join(F.broadcast(copies) if few else copies, "doc", "left_anti")
+    places = repeated_places(single, window, anchor, sent)
     removal = places.withColumn("copy", F.lit(False)).unionByName(copies.select("doc", F.array().cast("array<int>").alias("places"), F.lit(True).alias("copy")))
     removal = materialize(removal, "removal").select(F.col("doc").alias("__doc"), F.col("places").alias("__places"), F.col("copy").alias("__copy"))
-    return _without(docs.join(removal, F.col(id_col).cast("bigint") == F.col("__doc"), "left"), docs, window, text_col)
+    return _without(docs.join(removal.hint("merge"), F.col(id_col).cast("bigint") == F.col("__doc"), "left"), docs, window, text_col)
 
 
 def _without(marked: DataFrame, docs: DataFrame, window: int, text_col: str) -> DataFrame:

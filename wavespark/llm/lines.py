@@ -136,7 +136,8 @@ def drop_recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, id
     keyed = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     gone = recurring_lines(keyed, min_documents, sent=sent).groupBy("doc").agg(F.collect_set("number").alias("__gone"))
     gone = materialize(gone.withColumnRenamed("doc", "__doc"), "dropped")
-    both = docs.join(gone, F.col(id_col).cast("bigint") == F.col("__doc"), "left")
+    # always a merge join, so that neither the plan nor a task's memory depends on how many lines go
+    both = docs.join(gone.hint("merge"), F.col(id_col).cast("bigint") == F.col("__doc"), "left")
     parts = F.split(F.col(text_col), "\n")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)

@@ -202,58 +202,76 @@ _PACKET = pa.list_(pa.struct([("track", pa.int64()), ("timestamp", pa.int64()),
 _CUE = pa.list_(pa.struct([("timestamp", pa.int64()), ("track", pa.int64()), ("offset", pa.int64())]))
 
 
-def mux_column(df: DataFrame, payload: str, to: str = "media") -> DataFrame:
-    """df with a file for each payload (binary); a null payload gives null."""
-    df = df.drop(to)
+#: Rows that go through the steps together: files, packets and samples of no more are held at once.
+ROWS = 256
+
+
+def _steps(df: DataFrame, steps: list[tuple]) -> DataFrame:
+    """df with the columns of each step (DDL of its columns, function of a batch that returns their arrays), in one pass."""
+    fields = [T.StructType.fromDDL(ddl).fields for ddl, _ in steps]
+    df = df.drop(*(f.name for own in fields for f in own))
+    functions, names = [f for _, f in steps], [[f.name for f in own] for own in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = pa.array([None if x is None else mux(x) for x in b.column(payload).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, to])
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                for of, own in zip(functions, names, strict=True):
+                    part = pa.RecordBatch.from_arrays([*part.columns, *of(part)], names=[*part.schema.names, *own])
+                yield part
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(to, T.BinaryType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(f for own in fields for f in own)]))
 
 
-def packet_table(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with packets, cues, clusters and error of each file; null and empty files give no packets and an error."""
-    df = df.drop("packets", "cues", "clusters", "error")
-    more = T.StructType.fromDDL(f"packets {PACKET}, cues array<struct<timestamp:bigint,track:bigint,offset:bigint>>, clusters bigint, error string")
+def _mux_step(payload: str, to: str) -> tuple:
+    return f"{to} binary", lambda b: [pa.array([None if x is None else mux(x) for x in b.column(payload).to_pylist()], pa.binary())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
-                found = [parse(x or b"") for x in part.column(media).to_pylist()]
-                packets = pa.array([[dict(zip(("track", "timestamp", "offset", "size", "key"), p, strict=True)) for p in f[0]] for f in found], _PACKET)
-                cues = pa.array([[dict(zip(("timestamp", "track", "offset"), c, strict=True)) for c in f[1]] for f in found], _CUE)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, packets, cues, pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.string())],
-                    names=[*b.schema.names, "packets", "cues", "clusters", "error"],
-                )
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *more.fields]))
+def _packet_step(media: str) -> tuple:
+    def of(b: pa.RecordBatch) -> list:
+        found = [parse(x or b"") for x in b.column(media).to_pylist()]
+        packets = pa.array([[dict(zip(("track", "timestamp", "offset", "size", "key"), p, strict=True)) for p in f[0]] for f in found], _PACKET)
+        cues = pa.array([[dict(zip(("timestamp", "track", "offset"), c, strict=True)) for c in f[1]] for f in found], _CUE)
+        return [packets, cues, pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.string())]
+
+    return f"packets {PACKET}, cues array<struct<timestamp:bigint,track:bigint,offset:bigint>>, clusters bigint, error string", of
+
+
+def _read_step(media: str, track: int) -> tuple:
+    def of(b: pa.RecordBatch) -> list:
+        packets = b.column("packets")
+        flat, ends = packets.flatten(), np.concatenate([[0], np.cumsum([len(x) for x in packets])])
+        kind, time, at, n = (flat.field(c).to_numpy() for c in ("track", "timestamp", "offset", "size"))
+        out = []
+        for i, data in enumerate(b.column(media).to_pylist()):
+            own = np.arange(ends[i], ends[i + 1])
+            own = own[kind[own] == track]
+            own = own[np.argsort(time[own], kind="stable")]
+            out.append(b"".join([data[s : s + k] for s, k in zip(at[own].tolist(), n[own].tolist(), strict=True)]))
+        return [pa.array(out, pa.binary())]
+
+    return "samples binary", of
+
+
+def mux_column(df: DataFrame, payload: str, to: str = "media") -> DataFrame:
+    """df with a file for each payload (binary); a null payload gives null."""
+    return _steps(df, [_mux_step(payload, to)])
+
+
+def packet_table(df: DataFrame, media: str = "media") -> DataFrame:
+    """df with packets, cues, clusters and error of each file; null and empty files give no packets and an error."""
+    return _steps(df, [_packet_step(media)])
 
 
 def read_track(df: DataFrame, media: str = "media", track: int = 1) -> DataFrame:
     """df (with packets) and samples: the bytes of a track's packets, in order of their timestamps."""
-    df = df.drop("samples")
+    return _steps(df, [_read_step(media, track)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
-                packets = part.column("packets")
-                flat, ends = packets.flatten(), np.concatenate([[0], np.cumsum([len(x) for x in packets])])
-                kind, time, at, n = (flat.field(c).to_numpy() for c in ("track", "timestamp", "offset", "size"))
-                out = []
-                for i, data in enumerate(part.column(media).to_pylist()):
-                    own = np.arange(ends[i], ends[i + 1])
-                    own = own[kind[own] == track]
-                    own = own[np.argsort(time[own], kind="stable")]
-                    out.append(b"".join([data[s : s + k] for s, k in zip(at[own].tolist(), n[own].tolist(), strict=True)]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "samples"])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("samples", T.BinaryType())]))
+
+def store_and_read(df: DataFrame, payload: str, track: int = 1) -> DataFrame:
+    """mux_column, packet_table and read_track in one pass, and a feature of the samples."""
+    feature = "feature string", lambda b: [pa.array([_features(x) for x in b.column("samples").to_pylist()], pa.string())]
+    return _steps(df, [_mux_step(payload, "media"), _packet_step("media"), _read_step("media", track), feature])
 
 
 def _features(samples: bytes) -> str:
@@ -271,20 +289,8 @@ def op8_matroska(spark, sf_dir: str) -> DataFrame:
     n = F.octet_length("raw").cast("bigint")
     padded = F.greatest(F.ceil(n / 192), F.lit(1)) * 192
     docs = docs.select("doc_id", n.alias("n_bytes"), F.rpad("raw", padded.cast("int"), F.lit(b" ")).alias("payload"))
-    media = mux_column(docs, "payload").drop("payload")
-    read = read_track(packet_table(media))
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            samples = b.column("samples").to_pylist()
-            feature = [_features(x) for x in samples]
-            columns = [b.column(c) for c in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_packets")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(feature)], names=[*b.schema.names[:-1], "feature"])
-
-    out = read.select(
+    return store_and_read(docs, "payload").select(
         "doc_id", "n_bytes", F.octet_length("samples").cast("bigint").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
         F.crc32(F.substring("samples", -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.size("packets").cast("bigint").alias("n_packets"), "samples",
+        "feature", F.size("packets").cast("bigint").alias("n_packets"),
     )
-    schema = T.StructType([*out.schema.fields[:-1], T.StructField("feature", T.StringType())])
-    return out.mapInArrow(digest, schema).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_packets")

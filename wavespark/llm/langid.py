@@ -85,8 +85,8 @@ def _vectors(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A linear SVM by averaged stochastic subgradients in mini-batches, classes weighted alike."""
+def _svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A linear SVM over some rows of x, by averaged stochastic subgradients in mini-batches, classes weighted alike."""
     rng = np.random.default_rng(SEED)
     weight = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y < 0).mean(), 1e-9))
     w, mean, t = np.zeros(x.shape[1], np.float64), np.zeros(x.shape[1]), 0
@@ -94,20 +94,21 @@ def _svm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         for at in np.array_split(rng.permutation(len(y)), max(1, len(y) // 32)):
             t += 1
             rate = 1 / (REGULARIZATION * (t + 1000))
-            bad = at[y[at] * (x[at] @ w) < 1]
+            bad = at[y[at] * (x[rows[at]] @ w) < 1]
             w *= 1 - rate * REGULARIZATION
             if len(bad):
-                w += rate / len(at) * ((y[bad] * weight[bad]) @ x[bad]) / 100
+                w += rate / len(at) * ((y[bad] * weight[bad]) @ x[rows[bad]]) / 100
             mean += (w - mean) / t
-    scale = np.abs(x @ mean).mean() or 1.0
+    scale = np.mean([np.abs(x[rows[lo : lo + 256]] @ mean).mean() for lo in range(0, len(rows), 256)]) or 1.0
     return mean / scale
 
 
-def _pairs(x: np.ndarray, y: np.ndarray) -> list[Machine]:
+def _pairs(x: np.ndarray, y: np.ndarray, classes: list[str]) -> list[Machine]:
+    """A machine for each two classes, fitted on their rows, which are not copied."""
     out = []
-    for a, b in combinations(sorted(set(y)), 2):
-        own = (y == a) | (y == b)
-        out.append(Machine(a, b, _svm(x[own], np.where(y[own] == a, 1.0, -1.0)).astype(np.float32)))
+    for a, b in combinations(sorted(classes), 2):
+        rows = np.flatnonzero((y == a) | (y == b))
+        out.append(Machine(a, b, _svm(x, rows, np.where(y[rows] == a, 1.0, -1.0)).astype(np.float32)))
     return out
 
 
@@ -129,7 +130,7 @@ def fit_languages(docs: DataFrame, train: Column, rows: int = ROWS_PER_LANGUAGE)
     for lang in sorted(set(y)):
         families.setdefault(family(lang), []).append(lang)
     own = np.array([family(lang) for lang in y])
-    return LanguageModel(families, _pairs(x, own), {f: _pairs(x[own == f], y[own == f]) for f in families})
+    return LanguageModel(families, _pairs(x, own, list(families)), {f: _pairs(x, y, langs) for f, langs in families.items()})
 
 
 def _vote(machines: list[Machine], classes: list[str], margins: list[np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray]:

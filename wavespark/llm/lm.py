@@ -119,5 +119,5 @@ def op5_lm(spark, sf_dir: str) -> DataFrame:
     """Every document's cross-entropy difference between good documents (labels.quality) and all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("quality") == 1).alias("target"))
-    models = fit_models(docs.join(good, "doc_id", "left"))
+    models = fit_models(docs.join(good.hint("merge"), "doc_id", "left"))  # the plan is the same at any size
     return cross_entropy_difference(docs, models).select("doc_id", "n_tokens", "target_loss", "background_loss", "score")

@@ -6,16 +6,16 @@ task is simply run again:
 1. The JVM splits every text by the tokenizer's pattern; an Arrow step
    dictionary-encodes the pieces of each batch of documents, so that a batch is
    one row: its distinct words as byte arrays, and per document the word numbers.
-2. A higher-order fold merges each *distinct* word of the batch: its state holds
-   the token ids and the rank of each neighbouring pair; every step takes the
+2. A higher-order fold merges each *distinct* word of the batch: its state is one
+   array that holds tokens with the ranks of their pairs; every step takes the
    smallest rank, the leftmost on ties, and asks the literal rank map for the two
    new pairs only.
 3. An Arrow step puts the ids of the words back together per document.
 
 The rank map is a literal of the plan whose size is that of the vocabulary, never
 of the data: for each pair of tokens whose bytes joined are a token, that token.
-It is laid out as a two-choice hash table, because a lookup in a Spark map value
-scans all its entries.
+It is laid out as an array of displaced rows, because a lookup in a Spark map
+value scans all its entries.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ from .common import let
 
 #: Unicode white space, as the pattern's \s means it; Java's \s is ASCII only.
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_NONE = 2**31 - 1
+#: The greatest of 18 bits: no rank.
+_TOP = (1 << 18) - 1
 
 
 def java_pattern(pattern: str) -> str:
@@ -53,39 +54,36 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _two_choice(pairs: dict[int, int]) -> tuple[int, int, list[int], list[int]]:
-    """Place each key at key % p or p + key % q; grows until all keys fit."""
-    p = max(5, int(len(pairs) * 1.25)) | 1
-    while True:
-        q = p + 2
-        keys, values = [-1] * (p + q), [_NONE] * (p + q)
-        for key, value in pairs.items():
-            at = key % p
-            for _ in range(200):
-                keys[at], key, values[at], value = key, keys[at], value, values[at]
-                if key < 0:
-                    break
-                at = p + key % q if at == key % p else key % p
-            else:
-                break
-        else:
-            return p, q, keys, values
-        p = int(p * 1.2) | 1
+def _displace(rows: dict[int, list[tuple[int, int]]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a sparse matrix laid over each other: cell (a, b) stands at base[a] + b, where owner is a."""
+    rng, size = np.random.default_rng(0), max(4 * width, 10 * sum(map(len, rows.values())))
+    base, owner, value = np.zeros(width, np.int64), np.full(size + width, -1), np.zeros(size + width, np.int64)
+    for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
+        b = np.array([x for x, _ in row])
+        at = int(rng.integers(size))
+        while (owner[at + b] >= 0).any():
+            at = int(rng.integers(size))
+        base[a], owner[at + b], value[at + b] = at, a, [v for _, v in row]
+    return base, owner, value
 
 
 @lru_cache(maxsize=4)
-def _tables(path: str):
+def _tables(path: str) -> dict[str, str]:
     ranks = load_ranks(path)
-    pairs = {}
+    if len(ranks) >= _TOP:
+        raise ValueError(f"a vocabulary has fewer than {_TOP} tokens")
+    rows, two = {}, np.full(65536, _TOP)
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
             if a is not None and b is not None:
-                pairs[a * 65536 + b] = rank
-    p, q, keys, values = _two_choice(pairs)
+                rows.setdefault(a, []).append((b, rank))
+        if len(token) == 2:
+            two[token[0] * 256 + token[1]] = rank
+    base, owner, value = _displace(rows, max(ranks.values()) + 1)
+    put = lambda x: json.dumps([int(v) for v in x], separators=(",", ":"))
     return {
-        "p": p, "q": q, "keys": json.dumps(keys, separators=(",", ":")), "values": json.dumps(values, separators=(",", ":")),
-        "bytes": json.dumps([ranks[bytes([b])] for b in range(256)]),
+        "base": put(base), "owner": put(owner), "value": put(value), "two": put(two), "bytes": put(ranks[bytes([b])] for b in range(256)),
         "hex": json.dumps([t.hex() for t, _ in sorted(ranks.items(), key=lambda x: x[1])]),
     }
 
@@ -96,54 +94,48 @@ def _literal(text: str, kind: str) -> Column:
 
 
 def rank_map(path: str) -> Column:
-    """The rank map as one literal struct: the table's keys and values, and the id of each byte."""
+    """The rank map as one literal struct: pairs of tokens (base, owner, value), pairs of bytes, and the id of each byte."""
     t = _tables(path)
-    return F.struct(
-        _literal(t["keys"], "array<bigint>").alias("keys"), _literal(t["values"], "array<int>").alias("values"), _literal(t["bytes"], "array<int>").alias("bytes")
-    )
+    return F.struct(*(_literal(t[c], "array<int>").alias(c) for c in ("base", "owner", "value", "two", "bytes")))
 
 
-def fold_word(word: Column, ranks: Column, path: str) -> Column:
-    """Token ids (array<int>) of one word given as array of byte values; ranks: a bound rank_map."""
-    t = _tables(path)
+def fold_word(word: Column, ranks: Column) -> Column:
+    """Token ids (array<int>) of one word given as array of byte values; ranks: a bound rank_map.
+
+    The state is one array of longs, a token each: the rank of the pair that
+    starts there (18 bits, _TOP if none), its first byte's place (26 bits) and
+    its id (18 bits). So the least entry is the smallest rank, leftmost on ties.
+    An entry without rank stands in front.
+    """
 
     def rank(a: Column, b: Column) -> Column:
-        def probe(key):
-            one, two = (key % t["p"]).cast("int"), (key % t["q"] + t["p"]).cast("int")
-            return (
-                F.when(F.get(ranks["keys"], one) == key, F.get(ranks["values"], one))
-                .when(F.get(ranks["keys"], two) == key, F.get(ranks["values"], two))
-                .otherwise(F.lit(_NONE))
-            )
+        at = F.get(ranks["base"], a) + b
+        return F.when(F.get(ranks["owner"], at) == a, F.get(ranks["value"], at)).otherwise(F.lit(_TOP))
 
-        return let(a.cast("bigint") * 65536 + b, probe)
+    up = lambda r: F.shiftleft(r.cast("bigint"), 44)
+    id_of = lambda x: x.bitwiseAND(_TOP).cast("int")
+    low, place = (1 << 44) - 1, (1 << 44) - 1 - _TOP
 
-    none = F.array().cast("array<int>")
+    def merge(s: Column, least: Column) -> Column:
+        token = F.shiftright(least, 44).cast("int")
 
-    def merge(s: Column, least: Column):
-        def at(p):  # the pair of tokens p and p + 1, from 1, becomes the token `least`
-            n = F.size(s.t)
-            return F.struct(
-                F.concat(F.slice(s.t, F.lit(1), p - 1), F.array(least), F.slice(s.t, p + 2, n)).alias("t"),
-                F.concat(
-                    F.when(p > 1, F.concat(F.slice(s.r, F.lit(1), p - 2), F.array(rank(F.get(s.t, p - 2), least)))).otherwise(none),
-                    F.when(p < n - 1, F.concat(F.array(rank(least, F.get(s.t, p + 1))), F.slice(s.r, p + 2, n))).otherwise(none),
-                ).alias("r"),
+        def at(p: Column) -> Column:  # entries p and p + 1, from 1, become one; the entry before gets a new rank
+            before = F.get(s, p - 2)
+            new = F.array(
+                up(rank(id_of(before), token)) + before.bitwiseAND(low), up(rank(token, id_of(F.get(s, p + 1)))) + least.bitwiseAND(place) + token
             )
+            return F.flatten(F.array(F.slice(s, F.lit(1), p - 2), new, F.slice(s, p + 2, F.size(s))))
 
-        return let(F.array_position(s.r, least).cast("int"), at)
+        return let(F.array_position(s, least).cast("int"), at)
 
     def step(s: Column, _: Column) -> Column:
-        return let(F.array_min(s.r), lambda least: F.when(least < _NONE, merge(s, least)).otherwise(s))
+        return let(F.array_min(s), lambda least: F.when(least < (_TOP << 44), merge(s, least)).otherwise(s))
 
-    start = let(
-        F.transform(word, lambda b: F.get(ranks["bytes"], b.cast("int"))),
-        lambda ids: F.struct(
-            ids.alias("t"), F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids)), rank).alias("r")
-        ),
-    )
-    steps = F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1)))
-    return F.when(F.size(word) > 1, F.aggregate(steps, start, step, lambda s: s.t)).otherwise(start.t)
+    tokens = F.transform(word, lambda b, i: F.shiftleft(i.cast("bigint"), 18) + F.get(ranks["bytes"], b.cast("int")))
+    rest = F.slice(word, F.lit(2), F.size(word))
+    pairs = F.zip_with(word, rest, lambda a, b: up(F.coalesce(F.get(ranks["two"], a.cast("int") * 256 + b), F.lit(_TOP))))
+    start = F.flatten(F.array(F.array(F.lit((_TOP << 44) + _TOP)), F.zip_with(tokens, pairs, lambda t, r: t + r)))
+    return F.aggregate(rest, start, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s)), id_of))
 
 
 BLOCK = "doc array<bigint>, n array<int>, at array<int>, word array<array<smallint>>, whole array<int>"
@@ -216,7 +208,7 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     """
     vocabulary = [t for t, _ in sorted(load_ranks(ranks_path).items(), key=lambda x: x[1])]
     blocks = piece_blocks(df, id_col, text_col, pattern, vocabulary)
-    fold = lambda ranks: F.zip_with("word", "whole", lambda w, r: F.when(r >= 0, F.array(r)).otherwise(fold_word(w, ranks, ranks_path)))
+    fold = lambda ranks: F.zip_with("word", "whole", lambda w, r: F.when(r >= 0, F.array(r)).otherwise(fold_word(w, ranks)))
     merged = let(rank_map(ranks_path), fold)
     return join_blocks(blocks.withColumn("ids", merged)).withColumnRenamed("doc", id_col)
 

@@ -5,6 +5,8 @@ Floats are rounded on both sides; arrays are exploded to one row a value.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from fractions import Fraction
 
 import numpy as np
@@ -15,6 +17,8 @@ from ..config import ChromaConfig, MelConfig, StftConfig
 from ..functions import columns as C
 from ..operators import frames as O
 from ..operators import transforms as X
+from ..sources import audio
+from ..streaming import frames as S
 
 CFG = StftConfig(fft=16, hop=4)
 RATE = 22050
@@ -162,9 +166,53 @@ def griffin_lim(spark, sf_dir):
     return X.spectral_convergence(again, s).select("clip_id", _round("convergence", 4))
 
 
+def _shared(spark) -> str:
+    """A new folder below spark.checkpoint.dir; only where that is unset a temporary one, remembered in the session."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found}/wavespark/{uuid.uuid4().hex}"
+
+
+def wav_round_trip(spark, sf_dir):
+    """Every vector written as a WAV file of 64-bit samples and read back."""
+    path = _shared(spark)
+    audio.write_audio(_embeddings(spark, sf_dir), path, "float64").write.format("noop").mode("overwrite").save()
+    clips, _ = audio.read_audio(spark, path)
+    return _samples(clips.withColumn("clip_id", F.regexp_extract("clip_id", r"([^/]+)\.wav$", 1)))
+
+
+def _streamed(spark, sf_dir, of, chunk: int = 10):
+    """Vectors in chunks through a stream that ends when all are read; then its table."""
+    path, clips = _shared(spark), _embeddings(spark, sf_dir).where("n > 0")
+    seq = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / chunk)))
+    rows = clips.withColumn("seq", seq).select(
+        "clip_id", "channel", "seq", F.slice("samples", (F.col("seq") * chunk + 1).cast("int"), chunk).alias("samples"), ((F.col("seq") + 1) * chunk >= F.col("n")).alias("last")
+    )
+    rows.write.parquet(f"{path}/chunks")
+    out = of(spark.readStream.schema(rows.schema).parquet(f"{path}/chunks"))
+    out.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/frames").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/frames")
+
+
+def stream_power(spark, sf_dir):
+    return _long(_streamed(spark, sf_dir, lambda c: S.stream_power(c, CFG)))
+
+
+def stream_zcr(spark, sf_dir):
+    return _streamed(spark, sf_dir, lambda c: S.stream_zcr(c, 16, 4)).select("clip_id", "frame", _round("zcr"))
+
+
+def window_rms(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return S.window_rms(events, "event_type", "ts", F.col("value") / 100, "1 day").select("clip_id", F.unix_micros("start").alias("start_us"), "n", _round("rms", 6))
+
+
 QUERIES = {f.__name__: f for f in (
     event_signals, rms, zcr, document_rms, power_spectrum, stft, mel, mfcc, chroma, spectral_shape, spectral_contrast, onset_strength, istft_round_trip,
     decibels, pcm, peaks, median_time, downmix, resample, hpss, time_stretch, pitch_shift, griffin_lim,
+    wav_round_trip, stream_power, stream_zcr, window_rms,
 )}
 
 
@@ -242,3 +290,10 @@ ORACLE_SQL = {
       e AS (SELECT clip_id, (q + 256) // 512 AS frame, sum(x * x) AS e FROM l GROUP BY ALL)
       SELECT f.clip_id, f.frame, round(sqrt(coalesce(e, 0) / 512), 4) AS v FROM f LEFT JOIN e USING (clip_id, frame)""",
 }
+ORACLE_SQL |= {
+    "wav_round_trip": f"WITH {_EMB} SELECT clip_id, unnest(generate_series(0, n - 1)) AS pos, round(unnest(s), 6) + 0.0::DOUBLE AS v FROM c",
+    "stream_power": ORACLE_SQL["power_spectrum"],
+    "stream_zcr": ORACLE_SQL["zcr"],
+    "window_rms": """SELECT event_type AS clip_id, epoch_us(date_trunc('day', ts)) AS start_us, count(value) AS n, round(sqrt(avg(value / 100 * value / 100)), 6) + 0.0::DOUBLE AS v
+      FROM events GROUP BY ALL""",
+}

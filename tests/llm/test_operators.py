@@ -39,6 +39,11 @@ def test_bpe(spark):
     want = sorted((i if i is not None else -1, known.encode_ordinary(t or ""), (t or "").encode()) for i, t in zip([*range(len(ODD)), 7, None], [*ODD, "same", "same"], strict=True))
     assert got == want
     assert bpe.bpe_encode(df.limit(0), path, P.PATTERN).count() == 0
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # words go on from batch to batch, or start anew
+    for words in (bpe.WORDS, 3):
+        rows = bpe.bpe_encode(df.coalesce(1), path, P.PATTERN, words=words).collect()
+        assert sorted((r.doc_id if r.doc_id is not None else -1, list(r.ids)) for r in rows) == [w[:2] for w in want]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def _naive_segments(x):

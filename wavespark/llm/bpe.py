@@ -3,14 +3,14 @@
 Three narrow steps, no shuffle, so the work is linear in the text and a lost
 task is simply run again:
 
-1. The JVM splits every text by the tokenizer's pattern; an Arrow step
-   dictionary-encodes the pieces of each batch of documents, so that a batch is
-   one row: its distinct words as byte arrays, and per document the word numbers.
-2. A higher-order fold merges each *distinct* word of the batch: its state is one
-   array that holds tokens with the ranks of their pairs; every step takes the
-   smallest rank, the leftmost on ties, and asks the literal rank map for the two
-   new pairs only.
-3. An Arrow step puts the ids of the words back together per document.
+1. The JVM splits every text by the tokenizer's pattern; an Arrow step numbers the
+   distinct words of its task as they come up and hands on the new ones, as byte
+   arrays, before the documents that hold them, as word numbers.
+2. A higher-order fold merges each word once a task: its state is one array that
+   holds tokens with the ranks of their pairs; every step takes the smallest rank,
+   the leftmost on ties, and asks the literal rank map for the two new pairs only.
+3. An Arrow step, which gets the rows in that order, puts the ids of the words back
+   together per document.
 
 The rank map is a literal of the plan whose size is that of the vocabulary, never
 of the data: for each pair of tokens whose bytes joined are a token, that token.
@@ -138,37 +138,60 @@ def fold_word(word: Column, ranks: Column) -> Column:
     return F.aggregate(rest, start, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s)), id_of))
 
 
-BLOCK = "doc array<bigint>, n array<int>, at array<int>, word array<array<smallint>>, whole array<int>"
+BLOCK = "reset boolean, doc array<bigint>, n array<int>, at array<int>, word array<array<smallint>>, whole array<int>"
+#: Words that a task numbers before it starts anew, about; words of a row; pieces of a row, about.
+WORDS, WORDS_ROW, PIECES_ROW = 1 << 21, 1 << 14, 1 << 19
 
 
-def piece_blocks(df: DataFrame, id_col: str, text_col: str, pattern: str, vocabulary: list[bytes] | None = None) -> DataFrame:
-    """One row per Arrow batch of documents: ids, pieces per document, word numbers, distinct words.
+def _byte_lists(word: pa.Array) -> pa.ListArray:
+    offsets = np.frombuffer(word.buffers()[1], np.int32)[word.offset : word.offset + len(word) + 1]
+    data = np.frombuffer(word.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.int16)
+    return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(data))
+
+
+def piece_blocks(df: DataFrame, id_col: str, text_col: str, pattern: str, vocabulary: list[bytes] | None = None, words: int = WORDS) -> DataFrame:
+    """Rows of two kinds, in the order of each task: words that are new to the task, then documents as numbers of words.
 
     whole: a word's rank where the whole word is in the vocabulary, else -1.
+    reset: numbers start from 0 again with this row, so that no task holds many more than `words` words.
     """
     pieces = df.select(
         F.col(id_col).cast("bigint").alias("doc"),
         F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)).alias("p"),
     )
+    none = pa.array([], pa.int32())
+
+    def row(reset: bool, doc=none.cast(pa.int64()), n=none, at=none, word=pa.array([], pa.list_(pa.int16())), whole=none) -> pa.RecordBatch:
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (doc, n, at, word, whole)]
+        return pa.RecordBatch.from_arrays([pa.array([reset]), *lists], names=["reset", "doc", "n", "at", "word", "whole"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        known = pa.array(vocabulary or [], pa.binary())
-        row = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        known, seen = pa.array(vocabulary or [], pa.binary()), pa.array([], pa.binary())
         for b in batches:
             if not b.num_rows:
                 continue
             p = b.column("p")
             coded = p.flatten().cast(pa.binary()).dictionary_encode()
-            word = coded.dictionary
-            offsets = np.frombuffer(word.buffers()[1], np.int32)[word.offset : word.offset + len(word) + 1]
-            data = np.frombuffer(word.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.int16)
-            bytes_ = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(data))
-            whole = pc.fill_null(pc.index_in(word, value_set=known), -1)
-            yield pa.RecordBatch.from_arrays(
-                [row(b.column("doc")), row(pc.list_value_length(p)), row(coded.indices), row(bytes_), row(whole)], names=["doc", "n", "at", "word", "whole"]
-            )
+            if len(seen) > words:
+                seen = seen.slice(0, 0)
+                yield row(True)
+            old = pc.index_in(coded.dictionary, value_set=seen)
+            fresh = coded.dictionary.filter(old.is_null())
+            is_new = old.is_null().to_numpy(zero_copy_only=False)
+            number = np.where(is_new, len(seen) + np.cumsum(is_new) - 1, pc.fill_null(old, 0).to_numpy()).astype(np.int32)
+            seen = pa.concat_arrays([seen, fresh])
+            whole = pc.fill_null(pc.index_in(fresh, value_set=known), -1)
+            for lo in range(0, len(fresh), WORDS_ROW):
+                yield row(False, word=_byte_lists(fresh.slice(lo, WORDS_ROW)), whole=whole.slice(lo, WORDS_ROW))
+            at, doc, n = number[coded.indices.to_numpy()], b.column("doc"), pc.list_value_length(p)
+            ends, lo = np.cumsum(n.to_numpy(), dtype=np.int64), 0
+            while lo < len(doc):
+                base = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, base + PIECES_ROW, "right")))
+                yield row(False, doc[lo:hi], n[lo:hi], pa.array(at[base : ends[hi - 1]]))
+                lo = hi
 
     return pieces.mapInArrow(blocks, BLOCK)
 
@@ -177,37 +200,39 @@ def join_blocks(blocks: DataFrame) -> DataFrame:
     """Blocks with a column ids (array<array<int>>, one entry a word) to one row per document: doc, ids."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, size, more = np.zeros(0, np.int32), np.zeros(0, np.int64), []  # ids of the task's words, one after the other
         for batch in batches:
             for i in range(batch.num_rows):
                 doc, n, at, ids = (batch.column(c)[i].values for c in ("doc", "n", "at", "ids"))
-                first = ids.offsets.to_numpy().astype(np.int64)
-                flat = ids.values.to_numpy(zero_copy_only=False)
-                at, ends = at.to_numpy(), np.cumsum(n.to_numpy(), dtype=np.int64)
-                docs, lo = doc, 0
-                while lo < len(docs):  # some millions of ids at a time
-                    base = ends[lo - 1] if lo else 0
-                    hi = max(lo + 1, int(np.searchsorted(ends, base + 1_000_000, "right")))
-                    word = at[base : ends[hi - 1]]
-                    size = first[word + 1] - first[word]
-                    stop = np.cumsum(size)
-                    out = flat[np.repeat(first[word] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
-                    cut = np.concatenate([[0], stop])[np.concatenate([[base], ends[lo:hi]]) - base]
-                    yield pa.RecordBatch.from_arrays(
-                        [docs[lo:hi], pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(out, pa.int32()))], names=["doc", "ids"]
-                    )
-                    lo = hi
-
-    return blocks.select("doc", "n", "at", "ids").mapInArrow(put, "doc bigint, ids array<int>")
-
-
-def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                if batch.column("reset")[i].as_py():
+                    flat, size, more = flat[:0], size[:0], []
+                if len(ids):
+                    more.append((ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.diff(ids.offsets.to_numpy())))
+                if not len(doc):
+                    continue
+                if more:
+                    flat, size = (np.concatenate(x) for x in zip((flat, size), *more, strict=True))
+                    first, more = np.cumsum(size) - size, []
+                word = at.to_numpy()
+                own = size[word] if len(word) else np.zeros(0, np.int64)
+                stop = np.cumsum(own)
+                out = flat[np.repeat(first[word] - (stop - own), own) + np.arange(stop[-1])] if len(word) else flat[:0]
+                cut = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(n.to_numpy())])]
+                yield pa.RecordBatch.from_arrays(
+                    [doc, pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(out, pa.int32()))], names=["doc", "ids"]
+                )
+
+    return blocks.select("reset", "doc", "n", "at", "ids").mapInArrow(put, "doc bigint, ids array<int>")
+
+
+def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """Token ids of every whole text: one row (id_col, ids array<int>) per input row.
 
     Null and empty texts give an empty array; repeated rows stay repeated; a null
     id stays null; other columns of df are ignored; an empty table gives no rows.
     """
     vocabulary = [t for t, _ in sorted(load_ranks(ranks_path).items(), key=lambda x: x[1])]
-    blocks = piece_blocks(df, id_col, text_col, pattern, vocabulary)
+    blocks = piece_blocks(df, id_col, text_col, pattern, vocabulary, words)
     fold = lambda ranks: F.zip_with("word", "whole", lambda w, r: F.when(r >= 0, F.array(r)).otherwise(fold_word(w, ranks)))
     merged = let(rank_map(ranks_path), fold)
     return join_blocks(blocks.withColumn("ids", merged)).withColumnRenamed("doc", id_col)

@@ -159,3 +159,103 @@ class ChromaConfig:
         if self.octave_width:
             out *= np.exp(-0.5 * ((position / n - self.centre_octave) / self.octave_width) ** 2)
         return np.roll(out, -3 * (n // 12), axis=0)[:, : fft // 2 + 1]
+
+
+@dataclass(frozen=True)
+class Octave:
+    """Bins first to first + count, at the rate after `level` halvings: kernel is [count, fft / 2 + 1]."""
+
+    first: int
+    count: int
+    level: int
+    fft: int
+    hop: int
+    kernel: np.ndarray
+
+
+@dataclass(frozen=True)
+class CqtConfig:
+    """Constant-Q bins upward from fmin; gamma (hertz, or 'erb') widens the low ones: the variable-Q transform."""
+
+    n_bins: int = 84
+    sample_rate: int = 22050
+    fmin: float = 32.70319566257483
+    bins_per_octave: int = 12
+    gamma: float | str = 0.0
+    tuning: float = 0.0
+    filter_scale: float = 1.0
+    norm: float = 1.0
+    window: Window = field(default_factory=Window)
+    scale: bool = True
+    hop: int = 512
+    pad: str = "zero"
+
+    def __post_init__(self):
+        check(min(self.n_bins, self.bins_per_octave, self.hop, self.sample_rate) >= 1, "n_bins, bins_per_octave, hop and sample_rate are positive")
+        check(0 < self.fmin < np.inf and np.isfinite(self.tuning), "fmin is positive, tuning finite")
+        check(0 < self.filter_scale < np.inf and 0 < self.norm < np.inf, "filter_scale and norm are positive")
+        check(self.gamma == "erb" or (not isinstance(self.gamma, str) and 0 <= self.gamma < np.inf), "gamma is 'erb' or not negative")
+        check(self.pad in ("reflect", "zero", "edge"), f"unknown padding {self.pad}")
+        check(self.cutoff <= self.sample_rate / 2, f"a filter reaches {self.cutoff} Hz, above half the sample rate")
+
+    def frequencies(self) -> np.ndarray:
+        octave, step = np.divmod(np.arange(self.n_bins), self.bins_per_octave)
+        return 2.0**octave * 2.0 ** (step / self.bins_per_octave) * self.fmin * 2.0 ** (self.tuning / self.bins_per_octave)
+
+    def widths(self) -> tuple[np.ndarray, np.ndarray]:
+        """The relative bandwidth and the added bandwidth of each bin."""
+        log = np.log2(self.frequencies())
+        gap = np.gradient(log) if self.n_bins > 1 else np.array([1 / self.bins_per_octave])
+        r = 2.0 ** (2 * gap)
+        alpha = (r - 1) / (r + 1)
+        return alpha, alpha * 24.7 / 0.108 if self.gamma == "erb" else np.full(self.n_bins, float(self.gamma))
+
+    def filter_lengths(self, rate: float | None = None) -> np.ndarray:
+        """Samples that each filter spans, as fractions, at the given rate."""
+        alpha, gamma = self.widths()
+        return self.filter_scale / alpha * (self.sample_rate if rate is None else rate) / (self.frequencies() + gamma / alpha)
+
+    @property
+    def cutoff(self) -> float:
+        w, (alpha, gamma) = self.window.values(1000), self.widths()
+        noise = 1000 * (w**2).sum() / w.sum() ** 2
+        return float((self.frequencies() * (1 + noise * alpha / (2 * self.filter_scale)) + gamma / 2).max())
+
+    @property
+    def early(self) -> int:
+        """Halvings before the highest octave: as many as the filters and the hop allow."""
+        octaves, twos = -(-self.n_bins // self.bins_per_octave), (self.hop & -self.hop).bit_length() - 1
+        room = int(np.ceil(np.log2(self.sample_rate / 2 / self.cutoff))) - 2
+        return min(max(0, room), max(0, twos - octaves + 1))
+
+    def octaves(self) -> list[Octave]:
+        """From the highest down; the rate halves between octaves while the hop is even."""
+        out, level, top, f = [], self.early, self.n_bins, self.frequencies()
+        while top > 0:
+            first = max(0, top - self.bins_per_octave)
+            rate, own = self.sample_rate / 2**level, slice(first, top)
+            length = self.filter_lengths(rate)[own]
+            check(length.max() >= 0.5, "an octave's filters span less than one sample")
+            fft = 1 << max(0, int(np.ceil(np.log2(length.max()))))
+            basis = np.zeros((top - first, fft), complex)
+            for row, size, freq in zip(basis, length, f[own], strict=True):
+                t = np.arange(np.floor(-size / 2), np.floor(size / 2))
+                wave = np.exp(2j * np.pi * freq * t / rate) * self.window.values(len(t))
+                mass = (np.abs(wave) ** self.norm).sum() ** (1 / self.norm)
+                at = (fft - len(t)) // 2
+                row[at : at + len(t)] = wave / (mass if mass > 2.2250738585072014e-308 else 1.0) * size / fft
+            # both the halved signal and the shorter filters carry a factor of sqrt(2) a halving
+            gain = 2.0 ** (level - self.early) * 2.0 ** (self.early * (0.5 if self.scale else 1.0))
+            if self.scale:
+                gain = gain / np.sqrt(self.filter_lengths(self.sample_rate / 2**self.early)[own])[:, None]
+            out.append(Octave(first, top - first, level, fft, self.hop >> level, np.fft.fft(basis, axis=1)[:, : fft // 2 + 1] * gain))
+            level, top = level + ((self.hop >> level) % 2 == 0), first
+        return out
+
+    def chroma_weights(self, n_chroma: int = 12) -> np.ndarray:
+        """[n_chroma, n_bins]: ones where a bin belongs to a pitch class, from C up."""
+        check(n_chroma >= 1 and self.bins_per_octave % n_chroma == 0, "n_chroma divides bins_per_octave")
+        merge = self.bins_per_octave // n_chroma
+        shift = int(np.rint((69 + 12 * np.log2(self.fmin / 440)) % 12 * n_chroma / 12))
+        pitch = ((np.arange(self.n_bins) + merge // 2) % self.bins_per_octave // merge + shift) % n_chroma
+        return (pitch == np.arange(n_chroma)[:, None]).astype(float)

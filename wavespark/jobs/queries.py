@@ -13,8 +13,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ChromaConfig, MelConfig, StftConfig
+from ..config import ChromaConfig, CqtConfig, MelConfig, StftConfig
 from ..functions import columns as C
+from ..operators import constant_q as Q
 from ..operators import frames as O
 from ..operators import transforms as X
 from ..sources import audio
@@ -24,6 +25,11 @@ CFG = StftConfig(fft=16, hop=4)
 RATE = 22050
 MEL = MelConfig(sample_rate=RATE, n_mels=4, norm=True)
 CHROMA = ChromaConfig(sample_rate=RATE)
+#: An odd hop keeps all octaves at the full rate, so that SQL can say the transform.
+CQT = CqtConfig(n_bins=8, bins_per_octave=4, fmin=2000.0, sample_rate=RATE, hop=5)
+VQT = CqtConfig(n_bins=8, bins_per_octave=4, fmin=2000.0, sample_rate=RATE, hop=5, gamma="erb")
+#: An even one halves the rate below the highest octave.
+HALVED = CqtConfig(n_bins=12, bins_per_octave=4, fmin=1000.0, sample_rate=RATE, hop=8)
 
 
 def _embeddings(spark, sf_dir: str) -> DataFrame:
@@ -209,10 +215,30 @@ def window_rms(spark, sf_dir):
     return S.window_rms(events, "event_type", "ts", F.col("value") / 100, "1 day").select("clip_id", F.unix_micros("start").alias("start_us"), "n", _round("rms", 6))
 
 
+def cqt(spark, sf_dir):
+    rows = Q.cqt(_embeddings(spark, sf_dir), CQT)
+    out = rows.select("clip_id", "frame", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z"))
+    parts = (F.round(F.col(f"z.{c}"), 6) + 0.0 for c in ("re", "im"))
+    return out.select(F.col("clip_id").cast("bigint"), "frame", F.col("bin").cast("bigint").alias("bin"), *(x.alias(c) for x, c in zip(parts, ("re", "im"), strict=True)))
+
+
+def vqt(spark, sf_dir):
+    return _long(Q.cqt_power(_embeddings(spark, sf_dir), VQT))
+
+
+def chroma_cqt(spark, sf_dir):
+    return _long(Q.chroma_cqt(_embeddings(spark, sf_dir), CQT, 4, "none"))
+
+
+def cqt_halved(spark, sf_dir):
+    """Documents as signals, the rate halved from octave to octave; not said in SQL."""
+    return _long(Q.cqt_power(O.code_point_signals(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"), HALVED))
+
+
 QUERIES = {f.__name__: f for f in (
     event_signals, rms, zcr, document_rms, power_spectrum, stft, mel, mfcc, chroma, spectral_shape, spectral_contrast, onset_strength, istft_round_trip,
     decibels, pcm, peaks, median_time, downmix, resample, hpss, time_stretch, pitch_shift, griffin_lim,
-    wav_round_trip, stream_power, stream_zcr, window_rms,
+    cqt, vqt, chroma_cqt, cqt_halved, wav_round_trip, stream_power, stream_zcr, window_rms,
 )}
 
 
@@ -245,6 +271,18 @@ def _spectrum(cfg: StftConfig = CFG) -> str:
     p AS (SELECT clip_id, frame, bin, re * re + im * im AS p, sqrt(re * re + im * im) AS s FROM z)"""
 
 
+def _constant_q(cfg: CqtConfig) -> str:
+    """z(clip_id, frame, bin, re, im): every kernel as weights of the samples of one frame."""
+    octaves = cfg.octaves()
+    fft = max(o.fft for o in octaves)
+    w = np.zeros((cfg.n_bins, fft), complex)
+    for o in octaves:
+        at, turn = (fft - o.fft) // 2, np.exp(-2j * np.pi * np.outer(np.arange(o.fft // 2 + 1), np.arange(o.fft)) / o.fft)
+        w[o.first : o.first + o.count, at : at + o.fft] = o.kernel @ turn
+    return f"""{_framed(_EMB, fft, cfg.hop, cfg.pad)}, a AS ({_values(w.real, 'bin, j, a')}), b AS ({_values(w.imag, 'bin, j, b')}),
+    z AS (SELECT clip_id, frame, bin::BIGINT AS bin, sum(x * a) AS re, sum(x * b) AS im FROM x JOIN a USING (j) JOIN b USING (bin, j) GROUP BY ALL)"""
+
+
 _MELS = f"m AS ({_values(MEL.weights(CFG.fft), 'band, bin, w')}), y AS (SELECT clip_id, frame, band, sum(p * w) AS y FROM p JOIN m USING (bin) GROUP BY ALL)"
 _CLAMPED = "d AS (SELECT *, 10 * log10(greatest(1e-10, y)) AS d FROM y), k AS (SELECT clip_id, frame, band, greatest(d, max(d) OVER (PARTITION BY clip_id) - 80) AS d FROM d)"
 
@@ -296,4 +334,8 @@ ORACLE_SQL |= {
     "stream_zcr": ORACLE_SQL["zcr"],
     "window_rms": """SELECT event_type AS clip_id, epoch_us(date_trunc('day', ts)) AS start_us, count(value) AS n, round(sqrt(avg(value / 100 * value / 100)), 6) + 0.0::DOUBLE AS v
       FROM events GROUP BY ALL""",
+    "cqt": f"WITH {_constant_q(CQT)} SELECT clip_id, frame, bin, round(re, 6) + 0.0::DOUBLE AS re, round(im, 6) + 0.0::DOUBLE AS im FROM z",
+    "vqt": f"WITH {_constant_q(VQT)} SELECT clip_id, frame, bin, round(re * re + im * im, 6) + 0.0::DOUBLE AS v FROM z",
+    "chroma_cqt": f"""WITH {_constant_q(CQT)}, m AS ({_values(CQT.chroma_weights(4), 'band, bin, w')})
+    SELECT clip_id, frame, band::BIGINT AS bin, round(sum(sqrt(re * re + im * im) * w), 6) + 0.0::DOUBLE AS v FROM z JOIN m USING (bin) GROUP BY clip_id, frame, band""",
 }

@@ -134,6 +134,32 @@ def test_lm(spark):
     assert lm.cross_entropy_difference(df.limit(0), lm.fit_models(df.limit(0))).count() == 0
 
 
+def test_lm_counts_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 100_000)  # many blocks and ranges
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"v{x}" for x in rng.integers(0, 200_000, 400)) for _ in range(1000)]  # far more pairs than any small table of buckets holds apart
+    df = docs_of(spark, [*texts, "v1 v1 v2", None]).withColumn("target", F.col("doc_id") % 3 == 0)
+    words, pairs = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for i, t in enumerate([*texts, "v1 v1 v2"]):
+        w = t.split()
+        for m in (0, 1) if i % 3 == 0 else (0,):
+            words[m].update(w)
+            pairs[m].update(zip([None, *w], w, strict=False))
+    other = docs_of(spark, ["v1 v1 v2 unseen"])
+    models = lm.fit_models(df)
+    got = {r.doc_id: r for r in lm.cross_entropy_difference(df, models).collect()}
+    assert len(got) == 1002
+
+    def loss(w, m):
+        total = words[m].total()
+        p = [lm.WEIGHTS[0] * pairs[m][a, b] / max(words[m][a] if a else total, 1) + lm.WEIGHTS[1] * words[m][b] / total + lm.WEIGHTS[2] / (len(words[0]) + 1) for a, b in zip([None, *w], w, strict=False)]
+        return -np.log(p).mean()
+
+    cases = [(got[i], t) for i, t in enumerate(texts[:20])] + [(lm.cross_entropy_difference(other, models).first(), "v1 v1 v2 unseen")]
+    for row, t in cases:
+        assert abs(row.background_loss - loss(t.split(), 0)) < 1e-9 and abs(row.target_loss - loss(t.split(), 1)) < 1e-9
+
+
 def test_lines(spark):
     header = "Posted by {} on the old board today"
     texts = [header.format(f"user{i}") + f"\nown line number of text {'abcdefghijkl'[i]} x\n" for i in range(8)] + [None, "", "\n\n", "Posted by user3 on the old board today"]

@@ -1,10 +1,15 @@
 """Cross-entropy difference: a target and a background n-gram model over one vocabulary.
 
-Both models are interpolated bigrams with the same vocabulary (hash buckets of
-lower-cased words), smoothing and pass over the corpus: every document counts for
-the background, those marked as target also for the target. Batches count in
-arrays and send only the buckets they met; the sums are a table of fixed size,
-whatever the corpus, so they may be sent to all tasks. Scoring is narrow.
+Both models are interpolated bigrams with the same vocabulary (all lower-cased words
+of the corpus), smoothing and pass: every document counts for the background, those
+marked as target also for the target. Words and pairs are counted by 64-bit keys, so
+the models grow with the corpus and are never collected or sent to all tasks.
+
+Documents are dealt to blocks of some megabytes, keys to ranges. A block sends each
+range its distinct keys there, sorted, with their counts, so that the most common word
+is one entry a block. A range adds them up and sends each block the sums of the keys
+it asked for, in the same order and so without the keys; the block scores its
+documents with them. One plan counts and scores, over one shuffle of the documents.
 """
 
 from __future__ import annotations
@@ -14,71 +19,119 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
 from .textbytes import WORD_LIKE, Hasher, chunks, mix, spans
 
-#: Buckets of words (the vocabulary) and of word pairs: the bound of the models' size.
-WORDS, PAIRS = 1 << 17, 1 << 20
+#: Bytes of texts in a block, about.
+BLOCK_BYTES = 4 << 20
+#: Blocks for each range of keys: what a range adds up is as large as the keys of so many blocks.
+BLOCKS_A_RANGE = 3
 #: Weights of the pair, the word and the even distribution.
 WEIGHTS = (0.5, 0.45, 0.05)
 
 
 @dataclass(frozen=True)
 class Models:
-    """Counts [background, target] of words and of pairs."""
+    """The corpus, the number of key ranges, and its counts by block and range (see _asks)."""
 
-    words: np.ndarray
-    pairs: np.ndarray
+    docs: DataFrame
+    ranges: int
+    counts: DataFrame
 
 
 def _tokens(texts: pa.Array) -> Iterator[tuple]:
-    """For a chunk: first row, last + 1, first token of each row, word and pair bucket of each token (pair with the one before)."""
+    """For a chunk: first row, last + 1, first token of each row, keys of word, word before and pair of each token.
+
+    Keys of words are odd, of pairs even; a document's first word follows 0.
+    """
     import pyarrow.compute as pc
 
     for lo, hi, data, offsets in chunks(pc.utf8_lower(texts)):
         starts, ends, first = spans(data, offsets, WORD_LIKE)
-        h = Hasher(data)(starts, ends)
-        before = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) if len(h) else h
-        before[first[:-1][first[:-1] < len(h)]] = 0  # a document's first word follows the start mark
-        word = (h % np.uint64(WORDS)).astype(np.int64)
-        context = (before % np.uint64(WORDS)).astype(np.int64)
-        pair = (mix(before * np.uint64(0x2545F4914F6CDD1D) + h) % np.uint64(PAIRS)).astype(np.int64)
-        context[before == 0] = -1
-        yield lo, hi, first, word, context, pair
-
-
-def fit_models(docs: DataFrame, text_col: str = "text", target_col: str = "target") -> Models:
-    """Count all of docs; target_col is true where a document also counts for the target (null: false)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            target = b.column("target").to_numpy(zero_copy_only=False).astype(bool)
-            total = [np.zeros((2, WORDS), np.int64), np.zeros((2, PAIRS), np.int64)]
-            for lo, hi, first, word, _, pair in _tokens(b.column("text")):
-                own = np.repeat(target[lo:hi], np.diff(first))
-                for counts, at in zip(total, (word, pair), strict=True):
-                    counts[0] += np.bincount(at, minlength=counts.shape[1])
-                    counts[1] += np.bincount(at[own], minlength=counts.shape[1])
-            for kind, counts in enumerate(total):
-                at = np.flatnonzero(counts[0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[0][at]), pa.array(counts[1][at])],
-                    names=["kind", "bucket", "background", "target"],
-                )
-
-    rows = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(target_col), F.lit(False)).alias("target"))
-    rows = rows.mapInArrow(run, "kind int, bucket int, background bigint, target bigint")
-    sums = rows.groupBy("kind", "bucket").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
-    kind, bucket = sums["kind"].to_numpy(), sums["bucket"].to_numpy()
-    out = [np.zeros((2, WORDS)), np.zeros((2, PAIRS))]
-    for k, counts in enumerate(out):
-        counts[0, bucket[kind == k]] = sums["background"].to_numpy()[kind == k]
-        counts[1, bucket[kind == k]] = sums["target"].to_numpy()[kind == k]
-    return Models(*out)
+        word = Hasher(data)(starts, ends) | np.uint64(1)
+        before = np.concatenate([np.zeros(1, np.uint64), word[:-1]]) if len(word) else word.copy()
+        before[first[:-1][first[:-1] < len(word)]] = 0
+        pair = mix(before * np.uint64(0x2545F4914F6CDD1D) + word) & ~np.uint64(1)
+        yield lo, hi, first, word, before, pair
+
+
+def count_blocks(docs: DataFrame, text: Column) -> int:
+    return (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // BLOCK_BYTES + 1
+
+
+def block_of(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks).cast("bigint"))
+
+
+def _blocks(docs: DataFrame, text_col: str) -> DataFrame:
+    if "__block" in docs.columns:
+        return docs
+    key = F.struct(*[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    return docs.withColumn("__block", block_of(key, count_blocks(docs, F.col(text_col))))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Byte planes, the highest bytes of all first: sorted keys and small counts compress."""
+    return x.view(np.uint8).reshape(-1, 8).T[::-1].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1)[::-1].T).view(np.uint64).reshape(-1)
+
+
+def _asks(docs: DataFrame, text_col: str, target: Column, ranges: int, counting: bool = True) -> DataFrame:
+    """(__block, range, keys, background, target), packed: the distinct words and pairs of each block and their counts there (or 0)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        own, found = t["target"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool), [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)]
+        for lo, hi, first, word, _, pair in _tokens(t["text"].combine_chunks()):
+            marked = np.repeat(own[lo:hi], np.diff(first))
+            keys, at = np.unique(np.concatenate([word, pair]), return_inverse=True)
+            found.append((keys, np.bincount(at, minlength=len(keys)), np.bincount(at[np.concatenate([marked, marked])], minlength=len(keys))))
+        keys, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+        counts = [np.zeros(len(keys), np.int64) for _ in range(2)]
+        for m, total in enumerate(counts if counting else []):
+            np.add.at(total, at, np.concatenate([f[m + 1] for f in found]))
+        cut = np.searchsorted((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
+        packed = [pa.array([_packed(x[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in (keys, *counts)]
+        block = np.full(ranges, t["__block"][0].as_py(), np.int64)
+        return pa.table([pa.array(block), pa.array(np.arange(ranges)), *packed], ["__block", "range", "keys", "background", "target"])
+
+    rows = docs.select("__block", F.col(text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
+    return rows.groupBy("__block").applyInArrow(run, "__block bigint, range bigint, keys binary, background binary, target binary")
+
+
+def _answers(asks: DataFrame) -> DataFrame:
+    """(__block, range, background, target): sums for the keys a block asked for; and the range's distinct words and tokens of both models."""
+
+    def run(t: pa.Table) -> pa.Table:
+        parts = [_unpacked(k) for k in t["keys"].to_pylist()]
+        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([_unpacked(c) for c in t[m].to_pylist()]), len(keys)).astype(np.int64) for m in ("background", "target")]
+        word = (keys & np.uint64(1) == 1) & (sums[0] > 0)
+        totals = [int(word.sum()), *(int(s[word].sum()) for s in sums)]
+        cut, rows = np.cumsum([0, *map(len, parts)]), []
+        for i, block in enumerate(t["__block"].to_pylist()):
+            if block is not None:
+                rows.append((block, t["range"][i].as_py(), *(_packed(s[at[cut[i] : cut[i + 1]]]) for s in sums), *totals))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, out, strict=True)], schema=out)
+
+    whole, packed = pa.int64(), pa.binary()
+    out = pa.schema([("__block", whole), ("range", whole), ("background", packed), ("target", packed), ("words", whole), ("n_background", whole), ("n_target", whole)])
+    return asks.groupBy("range").applyInArrow(run, "__block bigint, range bigint, background binary, target binary, words bigint, n_background bigint, n_target bigint")
+
+
+def fit_models(docs: DataFrame, text_col: str = "text", target_col: str = "target", blocks: int | None = None) -> Models:
+    """Count all of docs; target_col is true where a document also counts for the target (null: false).
+
+    A column __block of docs, if there is one, deals the rows to blocks.
+    """
+    ranges = (blocks or count_blocks(docs, F.col(text_col))) // BLOCKS_A_RANGE + 1
+    return Models(docs, ranges, _asks(_blocks(docs, text_col), text_col, F.col(target_col), ranges))
 
 
 def cross_entropy_difference(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
@@ -87,37 +140,46 @@ def cross_entropy_difference(docs: DataFrame, models: Models, text_col: str = "t
     A text without words has no loss: 0 tokens and zeros. Rows are kept as they
     are; columns of docs with the new names are replaced.
     """
-    docs = docs.drop("n_tokens", "target_loss", "background_loss", "score")
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+    blocks = _blocks(docs, text_col)
+    asks = models.counts
+    if docs is not models.docs:  # other documents ask without counting
+        asks = _asks(blocks, text_col, F.lit(False), models.ranges, counting=False).unionByName(asks.withColumn("__block", F.lit(None).cast("bigint")))
+    kept = [f for f in docs.schema.fields if f.name not in ("n_tokens", "target_loss", "background_loss", "score")]
+    names = [f.name for f in kept]
     more = T.StructType.fromDDL("n_tokens bigint, target_loss double, background_loss double, score double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        total = own.words.sum(axis=1)
-        for b in batches:
-            n, loss = np.zeros(b.num_rows, np.int64), np.zeros((2, b.num_rows))
-            for lo, hi, first, word, context, pair in _tokens(b.column(text_col)):
-                n[lo:hi] = np.diff(first)
-                for m in (0, 1):
-                    seen = np.where(context >= 0, own.words[m][context], max(total[m], 1.0))
-                    p = (
-                        WEIGHTS[0] * np.minimum(own.pairs[m][pair] / np.maximum(seen, 1.0), 1.0)
-                        + WEIGHTS[1] * own.words[m][word] / max(total[m], 1.0)
-                        + WEIGHTS[2] / WORDS
-                    )
-                    sums = np.concatenate([[0.0], np.cumsum(-np.log(p))])
-                    loss[m, lo:hi] = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(n[lo:hi], 1)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(n), pa.array(loss[1]), pa.array(loss[0]), pa.array(loss[0] - loss[1])],
-                names=[*b.schema.names, "n_tokens", "target_loss", "background_loss", "score"],
-            )
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more.fields]))
+    def run(t: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.sort_by("range")
+        words, *totals = (sum(known[c].to_pylist()) for c in ("words", "n_background", "n_target"))
+        counts = [np.concatenate([_unpacked(c) for c in known[m].to_pylist()]) for m in ("background", "target")]
+        parts = list(_tokens(t[text_col].combine_chunks()))
+        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(np.concatenate([word, pair])) for _, _, _, word, _, pair in parts)]))
+        n, loss = np.zeros(t.num_rows, np.int64), np.zeros((2, t.num_rows))
+        for lo, hi, first, word, before, pair in parts:
+            n[lo:hi] = np.diff(first)
+            if not len(word):
+                continue
+            start = before == 0
+            own, pairs = np.searchsorted(keys, word), np.searchsorted(keys, pair)
+            context = np.concatenate([own[:1], own[:-1]])
+            for m in (0, 1):
+                total = max(totals[m], 1)
+                seen = np.where(start, total, counts[m][context].astype(float))
+                p = WEIGHTS[0] * counts[m][pairs] / np.maximum(seen, 1.0) + WEIGHTS[1] * counts[m][own] / total + WEIGHTS[2] / (words + 1)
+                sums = np.concatenate([[0.0], np.cumsum(-np.log(p))])
+                loss[m, lo:hi] = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(n[lo:hi], 1)
+        return pa.table([*(t[c] for c in names), pa.array(n), pa.array(loss[1]), pa.array(loss[0]), pa.array(loss[0] - loss[1])], [*names, *more.names])
+
+    return blocks.groupBy("__block").cogroup(_answers(asks).groupBy("__block")).applyInArrow(run, T.StructType([*kept, *more.fields]))
 
 
 def op5_lm(spark, sf_dir: str) -> DataFrame:
     """Every document's cross-entropy difference between good documents (labels.quality) and all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("quality") == 1).alias("target"))
-    models = fit_models(docs.join(good.hint("merge"), "doc_id", "left"))  # the plan is the same at any size
-    return cross_entropy_difference(docs, models).select("doc_id", "n_tokens", "target_loss", "background_loss", "score")
+    blocks = count_blocks(docs, F.col("text"))
+    block = block_of(F.col("doc_id"), blocks)
+    good = table(spark, sf_dir, "labels").where("quality = 1").groupBy(block.alias("__block")).agg(F.collect_set("doc_id").alias("good"))
+    # joined by block, so that this shuffle of the texts is also the one that counts and scores; the plan is the same at any size
+    docs = docs.withColumn("__block", block).join(good.hint("merge"), "__block", "left")
+    docs = docs.select("doc_id", "text", "__block", F.array_contains("good", F.col("doc_id")).alias("target"))
+    return cross_entropy_difference(docs, fit_models(docs, blocks=blocks)).select("doc_id", "n_tokens", "target_loss", "background_loss", "score")

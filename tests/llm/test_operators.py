@@ -171,6 +171,17 @@ def test_lines(spark):
     assert lines.drop_recurring_lines(docs_of(spark, texts, [None] * len(texts))).agg(F.sum("n_dropped")).first()[0] == 0
 
 
+def _word(i):
+    return "".join("abcdefghij"[int(d)] for d in str(i))
+
+
+def test_lines_with_recurring_values(spark):
+    rng = np.random.default_rng(9)  # 5000 documents of one template, two fields of 100 words
+    texts = [f"Filed with us by member {_word(b)} on the {_word(a)} board" for a, b in rng.integers(100, 200, (5000, 2))]
+    got = {r.doc_id: r.n_dropped for r in lines.drop_recurring_lines(docs_of(spark, texts)).collect()}
+    assert got[0] == 0 and all(got[i] == 1 for i in range(1, 5000))
+
+
 def _check_pieces(rows, want):
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:

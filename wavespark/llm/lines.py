@@ -1,9 +1,11 @@
 """Lines that recur across documents, by log templates.
 
 Lines are parsed as logs are: a tree of fixed depth leads by the number of tokens
-and the first tokens (tokens with a digit count as variable) to a leaf. Within a
-leaf a token is constant at its place if enough documents have it there; any
-other is a variable field. So a template is decided by counts alone, whatever the
+and the first tokens (tokens with a digit are variable) to a leaf. Within a leaf a
+token is constant at its place if a large enough share of the leaf's documents have
+it there; any other is a variable field. A line has a template for each of SHARES,
+from the widest to the narrowest (its constants go on being constants), and the line
+itself if it has no variable field. A document's line goes if any of these recurs. So a template is decided by counts alone, whatever the
 order of lines or the partitioning, and no leaf has to fit a task.
 
 1. One scan counts, for each leaf, the documents that reach it. A template cannot
@@ -11,7 +13,7 @@ order of lines or the partitioning, and no leaf has to fit a task.
 2. A second scan keeps the lines of the remaining leaves, as token hashes. They
    are merged to distinct variants before anything is exploded, so that a line
    that a third of all documents share is one row.
-3. Counts of tokens by place give each variant its template; templates with
+3. Counts of tokens by place give each variant its templates; templates with
    enough constant tokens that occur in enough documents recur. Their lines are
    dropped, but for those of the smallest document that has the template.
 """
@@ -32,9 +34,13 @@ MIN_DOCUMENTS = 5
 DEPTH = 3
 #: Share of a template's tokens that must be constant.
 CONSTANT = 0.5
+#: Shares of a leaf's documents from which a token is constant at its place.
+SHARES = (0.5, 0.1, 0.02)
 #: Leaves that are sent to all tasks at most (8 bytes each); beyond, the lines are joined with them.
 SENT = 1 << 22
 _VARIABLE = np.uint64(0x5851F42D4C957F2D)
+#: As a token of _candidates.
+_SHORT = 0x5851F42D
 _DIGIT = np.array([48 <= b <= 57 for b in range(256)])
 
 
@@ -109,18 +115,24 @@ def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, depth:
     once = lines.groupBy("variant", "leaf", "doc").agg(F.first("tokens").alias("tokens"))
     variants = once.groupBy("variant", "leaf").agg(F.first("tokens").alias("tokens"), F.count("*").alias("docs"))
     variants = materialize(variants, "variants")
+    sizes = materialize(variants.groupBy("leaf").agg(F.sum("docs").alias("of")), "sizes")
     tokens = variants.select("variant", "leaf", "docs", F.posexplode("tokens").alias("place", "token"))
     frequent = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_documents)
-    frequent = materialize(frequent.select("leaf", "place", "token"), "frequent")
-    fixed = tokens.join(frequent, ["leaf", "place", "token"]).groupBy("variant", "leaf").agg(
+    frequent = frequent.join(sizes, "leaf").select("leaf", "place", "token", (F.col("n") / F.col("of")).alias("share")).where(F.col("share") >= min(SHARES))
+    frequent = materialize(frequent, "frequent")
+    fixed = tokens.join(frequent, ["leaf", "place", "token"]).withColumn("level", F.explode(F.array(*map(F.lit, SHARES)))).where("share >= level")
+    fixed = fixed.groupBy("variant", "leaf", "level").agg(
         F.count("*").alias("same"), F.bit_xor(F.xxhash64("place", "token")).alias("mark")
     )
-    shaped = fixed.join(variants.select("variant", F.size("tokens").alias("length")), "variant").where(F.col("same") >= constant * F.col("length"))
-    shaped = materialize(shaped.select("variant", F.xxhash64("leaf", "mark").alias("template")), "templates")
+    length = F.col("length")
+    shaped = fixed.join(variants.select("variant", F.size("tokens").alias("length")), "variant").where(F.col("same") >= constant * length)
+    whole = variants.where(~F.array_contains("tokens", _SHORT)).select("variant", F.xxhash64("leaf", "variant", F.lit("whole")).alias("template"))
+    shaped = shaped.select("variant", F.xxhash64("leaf", "level", "mark").alias("template")).unionByName(whole)
+    shaped = materialize(shaped, "templates")
     of_docs = lines.select("variant", "doc", "number").join(shaped, "variant")
     counted = of_docs.groupBy("template", "doc").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
     counted = materialize(counted.where(F.col("n") >= min_documents), "recurring")
-    return of_docs.join(counted, "template").where("doc > first").select("doc", "number", "template")
+    return of_docs.join(counted, "template").where("doc > first").groupBy("doc", "number").agg(F.min("template").alias("template"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text", sent: int = SENT) -> DataFrame:

@@ -182,6 +182,15 @@ def test_lines_with_recurring_values(spark):
     assert got[0] == 0 and all(got[i] == 1 for i in range(1, 5000))
 
 
+def test_lines_keeps_clean_lines(spark):
+    rng = np.random.default_rng(10)
+    numbers = ["\n".join([f"{a} {b} {c}", f"{a}", f"{a}-{b} {c} {a} {b} {c}"]) for a, b, c in rng.integers(0, 10**6, (300, 3))]
+    short = [f"It was a {_word(a)} {_word(b)}\nIt was {_word(a)}\nAnd then she {_word(b)}" for a, b in zip(range(300, 600), range(600, 900), strict=True)]
+    prose = [" ".join(["It", "was", "a", *(f"{_word(x)}" for x in rng.integers(0, 3000, 9))]) for _ in range(300)]
+    rows = lines.drop_recurring_lines(docs_of(spark, [*numbers, *short, *prose, *["Read more"] * 9])).collect()
+    assert sum(r.n_dropped for r in rows if r.doc_id < 900) == 0 and sum(r.n_dropped for r in rows) == 8
+
+
 def _check_pieces(rows, want):
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:

@@ -14,7 +14,8 @@ order of lines or the partitioning, and no leaf has to fit a task.
    are merged to distinct variants before anything is exploded, so that a line
    that a third of all documents share is one row.
 3. Counts of tokens by place give each variant its templates; templates with
-   enough constant tokens that occur in enough documents recur. Their lines are
+   enough constant tokens, beyond the leading ones too, that occur in enough
+   documents recur. Their lines are
    dropped, but for those of the smallest document that has the template.
 """
 
@@ -32,8 +33,8 @@ from .textbytes import NOT_SPACE, Hasher, chunks, mix, spans
 
 MIN_DOCUMENTS = 5
 DEPTH = 3
-#: Share of a template's tokens that must be constant.
-CONSTANT = 0.5
+#: Share of a template's tokens, and of those beyond the leaf's leading ones, that must be constant, and at least so many of the latter.
+CONSTANT, BEYOND = 0.5, 2
 #: Shares of a leaf's documents from which a token is constant at its place.
 SHARES = (0.5, 0.1, 0.02)
 #: Leaves that are sent to all tasks at most (8 bytes each); beyond, the lines are joined with them.
@@ -116,16 +117,18 @@ def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, depth:
     variants = once.groupBy("variant", "leaf").agg(F.first("tokens").alias("tokens"), F.count("*").alias("docs"))
     variants = materialize(variants, "variants")
     sizes = materialize(variants.groupBy("leaf").agg(F.sum("docs").alias("of")), "sizes")
-    tokens = variants.select("variant", "leaf", "docs", F.posexplode("tokens").alias("place", "token"))
+    tokens = variants.select("variant", "leaf", "docs", F.posexplode("tokens").alias("place", "token")).where(F.col("token") != _SHORT)
     frequent = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_documents)
     frequent = frequent.join(sizes, "leaf").select("leaf", "place", "token", (F.col("n") / F.col("of")).alias("share")).where(F.col("share") >= min(SHARES))
     frequent = materialize(frequent, "frequent")
     fixed = tokens.join(frequent, ["leaf", "place", "token"]).withColumn("level", F.explode(F.array(*map(F.lit, SHARES)))).where("share >= level")
     fixed = fixed.groupBy("variant", "leaf", "level").agg(
-        F.count("*").alias("same"), F.bit_xor(F.xxhash64("place", "token")).alias("mark")
+        F.count("*").alias("same"), F.count_if(F.col("place") >= depth).alias("beyond"), F.bit_xor(F.xxhash64("place", "token")).alias("mark")
     )
     length = F.col("length")
-    shaped = fixed.join(variants.select("variant", F.size("tokens").alias("length")), "variant").where(F.col("same") >= constant * length)
+    shaped = fixed.join(variants.select("variant", F.size("tokens").alias("length")), "variant").where(
+        (F.col("same") >= constant * length) & (F.col("beyond") >= F.greatest(F.lit(BEYOND), constant * (length - depth)))
+    )
     whole = variants.where(~F.array_contains("tokens", _SHORT)).select("variant", F.xxhash64("leaf", "variant", F.lit("whole")).alias("template"))
     shaped = shaped.select("variant", F.xxhash64("leaf", "level", "mark").alias("template")).unionByName(whole)
     shaped = materialize(shaped, "templates")

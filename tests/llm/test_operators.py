@@ -324,6 +324,34 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicate_groups(df.limit(0)).count() == 0 and simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def _shingles(text, k=5):
+    w = words_of(text)
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def _greedy(texts, similarity=0.8):
+    """Ids that stay when each document goes that is similar to a smaller one that stays."""
+    stay = []
+    for i, s in ((i, _shingles(t)) for i, t in enumerate(texts)):
+        if all(len(s & o) < similarity * len(s | o) for _, o in stay):
+            stay.append((i, s))
+    return {i for i, _ in stay}
+
+
+def test_near_duplicates_recall(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for c in range(60):
+        base = [f"c{c}w{x}" for x in rng.integers(0, 10_000, 200)]
+        for _ in range(4):
+            own = list(base)
+            for at in rng.choice(200, rng.integers(1, 7), replace=False):
+                own[at] = f"new{rng.integers(0, 10**9)}"
+            texts.append(" ".join(own))
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs_of(spark, texts)).collect()}
+    assert kept == _greedy(texts)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     vectors = [[float(v) for v in rng.normal(0, 0.3, 8)] for _ in range(600)] + [[0.5] * 8] * 300

@@ -31,6 +31,8 @@ from .textbytes import mix
 SEED = 42
 #: Pairs of a member and a lane compared at a time.
 PAIRS = 100_000
+#: MinHash bands and values in each: two sets of similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS, 0.99997 at 0.8.
+BANDS, ROWS = 20, 4
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -236,37 +238,72 @@ def shingle_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> D
     return docs.mapInArrow(run, schema)
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 5, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs less near duplicates: of each group of similar documents the one with the smallest id stays.
+def minhash_bands(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """sets (id, digest, set) with `keys` in place of the set: one of each band of MinHash values; all empty sets have the same key."""
+    salts = np.random.default_rng(SEED).integers(0, 2**63, (2, bands * rows), dtype=np.uint64)
 
-    Fingerprints within the radius propose groups; then every member is held
-    against its group's smallest document by the Jaccard similarity of their
-    shingle sets and goes if that is large enough. The members that stay form the
-    group of the next round. So each document that goes has a similar one that
-    stays, and no group is ever compared all with all. Rows of one id are one
-    document; rows with a null id stay; blank texts are alike.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for own in b.column("set"):
+                h = own.values.to_numpy().view(np.uint64)
+                least = np.array([((h[lo : lo + 4096] ^ salts[0][:, None]) * (salts[1] | np.uint64(1))[:, None]).min(axis=1) for lo in range(0, len(h), 4096)])
+                key = np.arange(1, bands + 1).astype(np.uint64) if len(h) else np.zeros(1, np.uint64)
+                for column in (least.min(axis=0).reshape(bands, rows).T if len(h) else ()):
+                    key = mix(key * np.uint64(31) + column)
+                found.append(key.view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("digest"), pa.array(found, pa.list_(pa.int64()))], names=["id", "digest", "keys"])
+
+    fields = [sets.schema["id"], T.StructField("digest", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    return sets.select("id", "digest", "set").mapInArrow(run, T.StructType(fields))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs less near duplicates: in the order of ids, a document goes if a smaller one that stays is similar.
+
+    Documents of equal shingle sets are merged first. Sets that share the key of a
+    band of MinHash values are candidates. A document that is the smallest undecided
+    one under all its keys stays; those that share a key with it are held against it
+    by the Jaccard similarity of the shingle sets and go if that is large enough.
+    This is repeated until every document is decided; no group is ever compared all
+    with all. Rows of one id are one document (that of the smallest digest counts);
+    rows with a null id stay; blank texts are alike.
     """
-    groups = near_duplicate_groups(docs, 3, radius, 3, id_col, text_col).where(F.col(id_col).isNotNull())
-    groups = groups.groupBy(F.col(id_col).alias("__id")).agg(F.min("component_id").alias("group"))
-    size = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    members = materialize(groups.join(materialize(size, "groups"), "group"), "members")
-    # merge joins with the texts: neither the plan nor a task's memory depends on how many documents are grouped
-    texts = docs.join(members.hint("merge"), F.col(id_col) == F.col("__id")).select(F.col("__id").alias("id"), "group", F.coalesce(text_col, F.lit("")).alias("text"))
-    left = materialize(shingle_sets(texts, shingle, "id", "text"), "sets")
-    gone = []
-    for _ in range(rounds):
-        least = materialize(left.groupBy("group").agg(F.min_by("set", "id").alias("other"), F.min("id").alias("first")), "first")
-        both = left.join(least, "group").where("id > first")
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        texts = rows.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+        return shingle_sets(texts, shingle, "id", "text").withColumn("digest", F.xxhash64("set"))
+
+    signs = minhash_bands(sets_of(docs.where(F.col(id_col).isNotNull()))).groupBy("id").agg(F.min(F.struct("digest", "keys")).alias("own"))
+    signs = materialize(signs.select("id", "own.*"), "signs")
+    least = materialize(signs.groupBy("digest").agg(F.min("id").alias("first")), "first")
+    gone = materialize(signs.join(least, "digest").where("id > first").select("id"), "copies")
+    ones = signs.join(least, "digest").where("id = first").select("id", "digest", F.explode("keys").alias("key"))
+    ones = materialize(ones, "keys")
+    shared = materialize(ones.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    left = materialize(ones.join(shared, "key"), "left")
+    # merge joins with the texts: neither the plan nor a task's memory depends on how many documents are candidates
+    members = materialize(left.select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).distinct(), "members")
+    sets = sets_of(docs.join(members.select("__id").hint("merge"), F.col(id_col) == F.col("__id"), "left_semi"))
+    sets = sets.join(members, (F.col("id") == F.col("__id")) & (F.col("digest") == F.col("__digest")), "left_semi").dropDuplicates(["id"])
+    sets = materialize(sets.select("id", "set"), "sets")
+    removed = [gone]
+    while not left.isEmpty():
+        least = materialize(left.groupBy("key").agg(F.min("id").alias("first")), "first")
+        met = materialize(left.join(least, "key").select("id", "first").distinct(), "met")
+        stay = materialize(met.groupBy("id").agg(F.min("first").alias("first")).where("id = first").select("first"), "stay")
+        pairs = materialize(met.where("first < id").join(stay, "first"), "pairs")
+        both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("first"), F.col("set").alias("other")), "first")
         same = F.size(F.array_intersect("set", "other"))
-        alike = F.when((F.size("set") == 0) & (F.size("other") == 0), True).otherwise(same >= similarity * (F.size("set") + F.size("other") - same))
-        judged = materialize(both.select("id", "group", "set", alike.alias("alike")), "judged")
-        gone.append(judged.where("alike").select("id"))
-        left = judged.where("not alike").drop("alike")
-    removed = gone[0]
-    for g in gone[1:]:
-        removed = removed.unionByName(g)
-    removed = materialize(removed.distinct().withColumnRenamed("id", "__id"), "removed")
-    return docs.join(removed.hint("merge"), F.col(id_col) == F.col("__id"), "left_anti")
+        gone = materialize(both.where(same >= similarity * (F.size("set") + F.size("other") - same)).select("id").distinct(), "gone")
+        removed.append(gone)
+        decided = materialize(gone.unionByName(stay.withColumnRenamed("first", "id")), "decided")
+        left = materialize(left.join(decided, "id", "left_anti"), "left")
+    every = removed[0]
+    for g in removed[1:]:
+        every = every.unionByName(g)
+    every = materialize(every.distinct().withColumnRenamed("id", "__id"), "removed")
+    return docs.join(every.hint("merge"), F.col(id_col) == F.col("__id"), "left_anti")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -352,6 +352,13 @@ def test_near_duplicates_recall(spark):
     assert kept == _greedy(texts)
 
 
+def test_near_duplicates_many_classes(spark):
+    passage = " ".join(f"p{i % 300}" for i in range(900))  # one repeated passage: fingerprints alike, sets not
+    texts = [f"{passage} " + " ".join(f"k{c}x{i}" for i in range(100)) for c in range(8) for _ in range(3)]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs_of(spark, texts)).collect()}
+    assert kept == _greedy(texts) == set(range(0, 24, 3))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     vectors = [[float(v) for v in rng.normal(0, 0.3, 8)] for _ in range(600)] + [[0.5] * 8] * 300

@@ -46,6 +46,17 @@ def test_bpe(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_bpe_long_words(spark):
+    path, rng = P.path("byte_bpe_50k.tiktoken"), np.random.default_rng(8)
+    known = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    letters = lambda of, n: "".join(rng.choice(list(of), n))
+    texts = [letters("abcdefghijklmnopqrstuvwxyz", n) for n in (193, 100_000, 1_000_000)]
+    texts += ["x" * 5000, " " * 3001, "ab" * 2000, "aba" * 1500, "=-" * 900, "the" * 3000, letters("日本語中文字符漢", 3000), letters("acgt", 20_000), "\n" * 999 + "a" + "\t" * 700]
+    df = docs_of(spark, texts).repartition(4)
+    got = {r.doc_id: r.ids for r in bpe.bpe_encode(df, path, P.PATTERN).collect()}
+    assert got == {i: known.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def _naive_segments(x):
     """Ruzzo and Tompa's definition: the best segment, then the same on both sides."""
     best, at = 0.0, None
@@ -77,8 +88,9 @@ def test_toxicity(spark):
     assert len(rows) == 92 and all(0 <= r.score <= 1 for r in rows.values())
     assert all((rows[i].score >= 0.5) == (60 <= i < 90) for i in range(92))
     assert rows[60].passages and not rows[0].passages
-    nothing = toxicity.fit_toxicity(df, labels.limit(0), F.lit(True))
-    assert toxicity.score_toxicity(df, nothing).count() == 92
+    for taught in (labels.limit(0), labels.where("toxic = 1"), labels.where("toxic = 0")):
+        nothing = toxicity.fit_toxicity(df, taught, F.lit(True))
+        assert toxicity.score_toxicity(df, nothing).where("score < 0.5").count() == 92
     assert toxicity.score_toxicity(df.limit(0), model).count() == 0
 
 
@@ -96,32 +108,38 @@ def test_language(spark):
 
 
 def _brute_windows(rows, size):
-    first, kept = {}, {}
+    """(id, kept text, words, removed words) of every row, in order."""
+    first, out = {}, []
     for i, t in rows:
         w = words_of(t)
-        for p in range(len(w) - size + 1):
+        for p in range(len(w) - size + 1 if i is not None else 0):
             k = tuple(w[p : p + size])
             first[k] = min(first.get(k, i), i)
     for i, t in rows:
         w = words_of(t)
         gone = [False] * len(w)
-        for p in range(len(w) - size + 1):
+        for p in range(len(w) - size + 1 if i is not None else 0):
             if first[tuple(w[p : p + size])] < i:
                 gone[p : p + size] = [True] * size
-        kept[i] = (" ".join(x for x, g in zip(w, gone, strict=True) if not g), len(w), sum(gone))
-    return kept
+        out.append((i, " ".join(x for x, g in zip(w, gone, strict=True) if not g), len(w), sum(gone)))
+    return out
 
 
-@pytest.mark.parametrize("sent", [1 << 22, 0])
-@pytest.mark.parametrize("window, anchor", [(50, 16), (6, 3)])
-def test_substring(spark, sent, window, anchor):
+def _sorted(rows):
+    return sorted(rows, key=lambda r: tuple((x is not None, x) for x in r))
+
+
+@pytest.mark.parametrize("options", [{}, {"sent": 0}, {"group": 3}, {"group": 3, "sent": 0}, {"group": 0}])
+@pytest.mark.parametrize("window, anchor, prefixes", [(50, 16, (8, 24)), (6, 3, (2, 4))])
+def test_substring(spark, options, window, anchor, prefixes):
     rng = np.random.default_rng(3)
     texts = [*ODD, *(" ".join(rng.choice(["a", "b", "c"], rng.integers(0, 60))) for _ in range(30)), " ".join(["z"] * 200), " ".join(["z"] * 120)]
-    df = docs_of(spark, texts)
-    got = {r.doc_id: (r.kept_text, r.n_words, r.n_removed) for r in substring.remove_repeats(df, window, anchor, sent=sent).collect()}
-    assert got == _brute_windows(list(enumerate(texts)), window)
-    other = df.withColumn("doc_id", F.lit(None).cast("bigint"))
-    assert substring.remove_repeats(other, window, anchor).agg(F.sum("n_removed")).first()[0] == 0
+    other = " ".join(f"o{i}" for i in range(60))
+    # rows of one id with different texts, repeated rows, null ids
+    texts, ids = [*texts, PASSAGE, PASSAGE, other, other, other, other + " x", PASSAGE, None], [*range(len(texts)), 101, 105, 105, 109, 109, 105, None, None]
+    df = docs_of(spark, texts, ids)
+    got = [(r.doc_id, r.kept_text, r.n_words, r.n_removed) for r in substring.remove_repeats(df, window, anchor, prefixes=prefixes, **options).collect()]
+    assert _sorted(got) == _sorted(_brute_windows(list(zip(ids, texts, strict=True)), window))
     assert substring.remove_repeats(df.limit(0)).count() == 0
 
 

@@ -9,13 +9,15 @@ task is simply run again:
 2. A higher-order fold merges each word once a task: its state is one array that
    holds tokens with the ranks of their pairs; every step takes the smallest rank,
    the leftmost on ties, and asks the literal rank map for the two new pairs only.
+   A long word is folded in windows that are joined at tokens on which both agree,
+   so that the work is linear in its length.
 3. An Arrow step, which gets the rows in that order, puts the ids of the words back
    together per document.
 
 The rank map is a literal of the plan whose size is that of the vocabulary, never
 of the data: for each pair of tokens whose bytes joined are a token, that token.
-It is laid out as an array of displaced rows, because a lookup in a Spark map
-value scans all its entries.
+It is laid out as an array of displaced rows without gaps, because a lookup in a
+Spark map value scans all its entries, and every task receives a copy.
 """
 
 from __future__ import annotations
@@ -54,17 +56,26 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _displace(rows: dict[int, list[tuple[int, int]]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of a sparse matrix laid over each other: cell (a, b) stands at base[a] + b, where owner is a."""
-    rng, size = np.random.default_rng(0), max(4 * width, 10 * sum(map(len, rows.values())))
-    base, owner, value = np.zeros(width, np.int64), np.full(size + width, -1), np.zeros(size + width, np.int64)
+def _displace(rows: dict[int, list[tuple[int, int]]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a sparse matrix laid into each other's gaps: cell (a, b) stands at base[a] + b, as a << 18 | value; others hold -1."""
+    rng, total = np.random.default_rng(0), sum(map(len, rows.values()))
+    most, span = 12 * total + width, float(max(total, 64))
+    base, cell, single = np.zeros(width, np.int64), np.full(most + width, -1, np.int64), []
     for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
-        b = np.array([x for x, _ in row])
-        at = int(rng.integers(size))
-        while (owner[at + b] >= 0).any():
-            at = int(rng.integers(size))
-        base[a], owner[at + b], value[at + b] = at, a, [v for _, v in row]
-    return base, owner, value
+        b, tries = np.array([x for x, _ in row]), 0
+        if len(row) == 1:
+            single.append((a, b[0], row[0][1]))
+            continue
+        at = int(rng.integers(int(span))) - int(b.min())
+        while (cell[at + b] >= 0).any():
+            tries += 1
+            if tries % 300 == 0:
+                span = min(span * 1.02, most)
+            at = int(rng.integers(int(span))) - int(b.min())
+        base[a], cell[at + b] = at, (a << 18) + np.array([v for _, v in row])
+    for place, (a, b, v) in zip(np.flatnonzero(cell < 0)[: len(single)].tolist(), single, strict=True):
+        base[a], cell[place] = place - b, (a << 18) + v
+    return base, cell[: int(np.flatnonzero(cell >= 0).max(initial=0)) + 1]
 
 
 @lru_cache(maxsize=4)
@@ -72,7 +83,8 @@ def _tables(path: str) -> dict[str, str]:
     ranks = load_ranks(path)
     if len(ranks) >= _TOP:
         raise ValueError(f"a vocabulary has fewer than {_TOP} tokens")
-    rows, two = {}, np.full(65536, _TOP)
+    rows: dict[int, list[tuple[int, int]]] = {}
+    two = np.full(65536, -1)
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
@@ -80,11 +92,15 @@ def _tables(path: str) -> dict[str, str]:
                 rows.setdefault(a, []).append((b, rank))
         if len(token) == 2:
             two[token[0] * 256 + token[1]] = rank
-    base, owner, value = _displace(rows, max(ranks.values()) + 1)
+    width = max(ranks.values()) + 1
+    base, cell = _displace(rows, width)
+    by_id: list[bytes] = [b""] * width
+    for token, rank in ranks.items():
+        by_id[rank] = token
     put = lambda x: json.dumps([int(v) for v in x], separators=(",", ":"))
     return {
-        "base": put(base), "owner": put(owner), "value": put(value), "two": put(two), "bytes": put(ranks[bytes([b])] for b in range(256)),
-        "hex": json.dumps([t.hex() for t, _ in sorted(ranks.items(), key=lambda x: x[1])]),
+        "base": put(base), "cell": put(cell), "two": put(two), "bytes": put(ranks[bytes([b])] for b in range(256)), "length": put(map(len, by_id)),
+        "pieces": json.dumps([base64.b64encode(t).decode() for t in by_id]),
     }
 
 
@@ -94,9 +110,9 @@ def _literal(text: str, kind: str) -> Column:
 
 
 def rank_map(path: str) -> Column:
-    """The rank map as one literal struct: pairs of tokens (base, owner, value), pairs of bytes, and the id of each byte."""
-    t = _tables(path)
-    return F.struct(*(_literal(t[c], "array<int>").alias(c) for c in ("base", "owner", "value", "two", "bytes")))
+    """The rank map as one literal struct: pairs of tokens (base, cell), pairs of bytes, the id of each byte, and the length of each token."""
+    t, kinds = _tables(path), {"base": "int", "cell": "bigint", "two": "int", "bytes": "int", "length": "int"}
+    return F.struct(*(_literal(t[c], f"array<{kind}>").alias(c) for c, kind in kinds.items()))
 
 
 def fold_word(word: Column, ranks: Column) -> Column:
@@ -109,10 +125,10 @@ def fold_word(word: Column, ranks: Column) -> Column:
     """
 
     def rank(a: Column, b: Column) -> Column:
-        at = F.get(ranks["base"], a) + b
-        return F.when(F.get(ranks["owner"], at) == a, F.get(ranks["value"], at)).otherwise(F.lit(_TOP))
+        cell = lambda c: F.when(F.shiftright(c, 18) == a, c.bitwiseAND(_TOP)).otherwise(F.lit(_TOP).cast("bigint"))
+        return let(F.get(ranks["cell"], F.get(ranks["base"], a) + b), cell)
 
-    up = lambda r: F.shiftleft(r.cast("bigint"), 44)
+    up = lambda r: F.shiftleft(r, 44)
     id_of = lambda x: x.bitwiseAND(_TOP).cast("int")
     low, place = (1 << 44) - 1, (1 << 44) - 1 - _TOP
 
@@ -131,16 +147,82 @@ def fold_word(word: Column, ranks: Column) -> Column:
     def step(s: Column, _: Column) -> Column:
         return let(F.array_min(s), lambda least: F.when(least < (_TOP << 44), merge(s, least)).otherwise(s))
 
-    tokens = F.transform(word, lambda b, i: F.shiftleft(i.cast("bigint"), 18) + F.get(ranks["bytes"], b.cast("int")))
+    def pair(a: Column, b: Column) -> Column:
+        return let(F.get(ranks["two"], a.cast("int") * 256 + b), lambda r: up(F.when(r >= 0, r).otherwise(F.lit(_TOP)).cast("bigint")))
+
     rest = F.slice(word, F.lit(2), F.size(word))
-    pairs = F.zip_with(word, rest, lambda a, b: up(F.coalesce(F.get(ranks["two"], a.cast("int") * 256 + b), F.lit(_TOP))))
-    start = F.flatten(F.array(F.array(F.lit((_TOP << 44) + _TOP)), F.zip_with(tokens, pairs, lambda t, r: t + r)))
+    tokens = F.transform(word, lambda b, i: F.shiftleft(i.cast("bigint"), 18) + F.get(ranks["bytes"], b.cast("int")))
+    paired = F.zip_with(tokens, F.zip_with(word, rest, pair), lambda t, r: t + F.coalesce(r, F.lit(_TOP << 44)))
+    start = F.flatten(F.array(F.array(F.lit((_TOP << 44) + _TOP)), paired))
     return F.aggregate(rest, start, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s)), id_of))
 
 
+#: Bytes of the windows of a long word, and bytes at a window's end whose tokens are not relied on.
+WINDOW, MARGIN = 192, 64
+#: Greatest bytes of a word.
+LONGEST = (1 << 26) - 1
+
+
+def fold_long(word: Column, ranks: Column) -> Column:
+    """The same ids as fold_word, in steps of a window each: linear in the length of the word.
+
+    A sequence of tokens is what the merges give exactly if that holds for each two
+    neighbours. So two windows can be joined at a token that both have: the step
+    keeps a window's tokens up to one well before its end, and folds the next window
+    from there. If that does not begin with the same token, the step before is taken
+    back with twice the window. Where this leads to nothing the word is folded whole.
+    """
+    none = F.array().cast("array<int>")
+
+    def state(done, last, back, at, head, width) -> Column:
+        fields = zip(("done", "last", "back", "at", "head", "width"), (done, last, back, at, head, width), strict=True)
+        return F.struct(*(F.lit(v).alias(c) if isinstance(v, int) else v.alias(c) for c, v in fields))
+
+    def advance(z: Column, ids: Column) -> Column:
+        whole = z["at"] + z["width"] >= F.size(word)
+        same = (z["head"] < 0) | (F.get(ids, F.lit(0)) == z["head"])
+
+        def cut(c: Column) -> Column:  # c: tokens that begin early enough, and the place of the last of them
+            kept = F.concat(z["done"], F.array_join(F.concat(z["last"].cast("array<string>"), F.array(F.lit(""))), " ").cast("binary"))
+            on = state(kept, F.slice(ids, F.lit(1), c["n"] - 1), c["start"], z["at"] + c["start"], F.get(ids, c["n"] - 1), WINDOW)
+            return F.when(c["n"] > 1, on).otherwise(wider)
+
+        wider = state(z["done"], z["last"], z["back"], z["at"], z["head"], z["width"] * 2)
+        again = state(z["done"], none, 0, z["at"] - z["back"], F.coalesce(F.get(z["last"], F.lit(0)), F.lit(-2)), z["width"] * 2)
+        finished = state(z["done"], F.concat(z["last"], ids), 0, F.size(word), 0, 0)
+        limit = z["width"] - MARGIN
+        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+        early = lambda c, t: F.struct(
+            F.when(c["end"] <= limit, c["n"] + 1).otherwise(c["n"]).alias("n"),
+            F.when(c["end"] <= limit, c["end"]).otherwise(c["start"]).alias("start"),
+            (c["end"] + F.get(ranks["length"], t)).alias("end"),
+        )
+        return F.when(~same, again).when(whole, finished).otherwise(let(F.aggregate(ids, zero, early), cut))
+
+    def step(z: Column, _: Column) -> Column:
+        # head is -1 in front of the word, and -2 where a step can't be taken back: then nothing is left to try
+        over = (z["at"] >= F.size(word)) | (z["head"] == -2)
+        return F.when(over, z).otherwise(let(fold_word(F.slice(word, z["at"] + 1, z["width"]), ranks), lambda ids: advance(z, ids)))
+
+    def finish(z: Column) -> Column:
+        before = F.filter(F.split(z["done"].cast("string"), " "), lambda x: x != "").cast("array<int>")
+        return F.when(z["at"] >= F.size(word), F.concat(before, z["last"]))
+
+    steps = F.sequence(F.lit(0), F.floor(F.size(word) / (WINDOW // 8)).cast("int"))
+    windows = F.aggregate(steps, state(F.lit("").cast("binary"), none, 0, 0, -1, WINDOW), step, finish)
+    return let(windows, lambda ids: F.coalesce(ids, fold_word(word, ranks)))
+
+
+def fold(word: Column, ranks: Column) -> Column:
+    """Token ids of a word of any length."""
+    n = F.size(word)
+    refused = F.raise_error(F.lit(f"a word has more than {LONGEST} bytes")).cast("array<int>")
+    return F.when(n <= WINDOW, fold_word(word, ranks)).when(n <= LONGEST, fold_long(word, ranks)).otherwise(refused)
+
+
 BLOCK = "reset boolean, doc array<bigint>, n array<int>, at array<int>, word array<array<smallint>>, whole array<int>"
-#: Words that a task numbers before it starts anew, about; words of a row; pieces of a row, about.
-WORDS, WORDS_ROW, PIECES_ROW = 1 << 21, 1 << 14, 1 << 19
+#: Words that a task numbers before it starts anew, about; words of a row and their bytes, about; pieces of a row, about.
+WORDS, WORDS_ROW, BYTES_ROW, PIECES_ROW = 1 << 21, 1 << 13, 1 << 18, 1 << 18
 
 
 def _byte_lists(word: pa.Array) -> pa.ListArray:
@@ -170,28 +252,29 @@ def piece_blocks(df: DataFrame, id_col: str, text_col: str, pattern: str, vocabu
 
         known, seen = pa.array(vocabulary or [], pa.binary()), pa.array([], pa.binary())
         for b in batches:
-            if not b.num_rows:
-                continue
-            p = b.column("p")
-            coded = p.flatten().cast(pa.binary()).dictionary_encode()
-            if len(seen) > words:
-                seen = seen.slice(0, 0)
-                yield row(True)
-            old = pc.index_in(coded.dictionary, value_set=seen)
-            fresh = coded.dictionary.filter(old.is_null())
-            is_new = old.is_null().to_numpy(zero_copy_only=False)
-            number = np.where(is_new, len(seen) + np.cumsum(is_new) - 1, pc.fill_null(old, 0).to_numpy()).astype(np.int32)
-            seen = pa.concat_arrays([seen, fresh])
-            whole = pc.fill_null(pc.index_in(fresh, value_set=known), -1)
-            for lo in range(0, len(fresh), WORDS_ROW):
-                yield row(False, word=_byte_lists(fresh.slice(lo, WORDS_ROW)), whole=whole.slice(lo, WORDS_ROW))
-            at, doc, n = number[coded.indices.to_numpy()], b.column("doc"), pc.list_value_length(p)
-            ends, lo = np.cumsum(n.to_numpy(), dtype=np.int64), 0
-            while lo < len(doc):
+            ends, lo = np.cumsum(pc.list_value_length(b.column("p")).to_numpy(), dtype=np.int64), 0
+            while lo < b.num_rows:
                 base = ends[lo - 1] if lo else 0
                 hi = max(lo + 1, int(np.searchsorted(ends, base + PIECES_ROW, "right")))
-                yield row(False, doc[lo:hi], n[lo:hi], pa.array(at[base : ends[hi - 1]]))
+                doc, p = b.column("doc").slice(lo, hi - lo), b.column("p").slice(lo, hi - lo)
                 lo = hi
+                coded = p.flatten().cast(pa.binary()).dictionary_encode()
+                if len(seen) > words:
+                    seen = seen.slice(0, 0)
+                    yield row(True)
+                old = pc.index_in(coded.dictionary, value_set=seen)
+                fresh = coded.dictionary.filter(old.is_null())
+                is_new = old.is_null().to_numpy(zero_copy_only=False)
+                number = np.where(is_new, len(seen) + np.cumsum(is_new) - 1, pc.fill_null(old, 0).to_numpy()).astype(np.int32)
+                seen = pa.concat_arrays([seen, fresh])
+                whole = pc.fill_null(pc.index_in(fresh, value_set=known), -1)
+                filled, at = np.cumsum(pc.binary_length(fresh).to_numpy(), dtype=np.int64), 0
+                while at < len(fresh):
+                    full = int(np.searchsorted(filled, (filled[at - 1] if at else 0) + BYTES_ROW, "right"))
+                    n = max(1, min(WORDS_ROW, full - at))
+                    yield row(False, word=_byte_lists(fresh.slice(at, n)), whole=whole.slice(at, n))
+                    at += n
+                yield row(False, doc, pc.list_value_length(p), pa.array(number[coded.indices.to_numpy()]))
 
     return pieces.mapInArrow(blocks, BLOCK)
 
@@ -229,19 +312,30 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     """Token ids of every whole text: one row (id_col, ids array<int>) per input row.
 
     Null and empty texts give an empty array; repeated rows stay repeated; a null
-    id stays null; other columns of df are ignored; an empty table gives no rows.
+    id stays null; other columns of df are ignored; an empty table gives no rows. A
+    word (match of the pattern) of more than LONGEST bytes is an error.
     """
     vocabulary = [t for t, _ in sorted(load_ranks(ranks_path).items(), key=lambda x: x[1])]
     blocks = piece_blocks(df, id_col, text_col, pattern, vocabulary, words)
-    fold = lambda ranks: F.zip_with("word", "whole", lambda w, r: F.when(r >= 0, F.array(r)).otherwise(fold_word(w, ranks)))
-    merged = let(rank_map(ranks_path), fold)
+    words_of = lambda ranks: F.zip_with("word", "whole", lambda w, r: F.when(r >= 0, F.array(r)).otherwise(fold(w, ranks)))
+    merged = let(rank_map(ranks_path), words_of)
     return join_blocks(blocks.withColumn("ids", merged)).withColumnRenamed("doc", id_col)
 
 
+#: Pieces that are joined one after the other; longer rows are joined from such parts.
+PART = 64
+
+
 def bpe_decode(ids: Column, ranks_path: str) -> Column:
-    """The bytes of a text from its token ids: the tokens' bytes, one after the other."""
-    pieces = _literal(_tables(ranks_path)["hex"], "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+    """The bytes of a text from its token ids: the tokens' bytes, one after the other, in parts of parts."""
+
+    known, empty = _literal(_tables(ranks_path)["pieces"], "array<binary>"), F.lit("").cast("binary")
+
+    def parts(of: Column, piece) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(of), F.lit(1)), F.lit(PART))
+        return F.transform(firsts, lambda at: F.aggregate(F.slice(of, at, PART), empty, lambda a, x: F.concat(a, piece(x))))
+
+    return let(parts(ids, lambda i: F.get(known, i)), lambda some: F.aggregate(parts(some, lambda x: x), empty, lambda a, x: F.concat(a, x)))
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:

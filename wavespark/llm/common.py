@@ -15,11 +15,14 @@ WORD_GAP = "[\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the setting is absent (local tests) a temporary folder is used
-    and remembered in the session.
+    Only where the setting is absent and driver and tasks are one process (local
+    master, as in tests) a temporary folder is used and remembered in the session;
+    on a cluster its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -48,7 +51,7 @@ def words(text: Column) -> Column:
 
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, inside one row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.get(F.transform(F.array_repeat(value, 1), body), F.lit(0))
 
 
 def fold_of(key: Column, n: int) -> Column:

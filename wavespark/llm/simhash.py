@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +31,12 @@ from .textbytes import mix
 SEED = 42
 #: Pairs of a member and a lane compared at a time.
 PAIRS = 100_000
-#: MinHash bands and values in each: two sets of similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS, 0.99997 at 0.8.
-BANDS, ROWS = 20, 4
+#: MinHash bands and values in each: two sets of similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS, 0.9993 at 0.8, 0.02 at 0.3.
+BANDS, ROWS = 24, 6
+#: Documents of a key that the others are held against in one round at most.
+FIRSTS = 64
+#: Rows of sets that are handed on at a time, and bytes of the sets, about.
+SET_ROWS, SET_BYTES = 1_000, 4_000_000
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -212,69 +216,93 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, sp
     return fps.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
-def shingle_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """docs less its text, with `set`: the distinct hashes of a text's word shingles (fewer words: the whole sequence)."""
+def _sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """The distinct hashes of each text's word shingles, lower-cased A-Z (fewer words: the whole sequence; none: empty)."""
     from .textbytes import NOT_SPACE, Hasher, chunks, spans
 
-    names = [c for c in docs.columns if c != text_col]
-    schema = T.StructType([*docs.select(names).schema.fields, T.StructField("set", T.ArrayType(T.LongType()))])
+    for lo, hi, data, offsets in chunks(texts):
+        low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+        starts, ends, first = spans(low, offsets, NOT_SPACE)
+        h = Hasher(low)(starts, ends)
+        for i in range(hi - lo):
+            own = h[first[i] : first[i + 1]]
+            k = min(shingle, len(own))
+            mixed = np.zeros(max(len(own) - k + 1, 0) if k else 0, np.uint64)
+            for j in range(k):
+                mixed = mix(mixed * np.uint64(31) + own[j : len(own) - k + 1 + j])
+            yield np.unique(mixed)
+
+
+def set_digest(own: np.ndarray) -> np.uint64:
+    """Equal for equal sets."""
+    return mix(np.array([mix(own).sum(dtype=np.uint64) + np.uint64(len(own))], np.uint64))[0]
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, text) to (id, digest, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(ids, digests, sets):
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(digests, pa.uint64()).view(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "digest", "set"])
+
         for b in batches:
-            sets = []
-            for lo, hi, data, offsets in chunks(b.column(text_col)):
-                low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-                starts, ends, first = spans(low, offsets, NOT_SPACE)
-                h = Hasher(low)(starts, ends)
-                for i in range(hi - lo):
-                    own = h[first[i] : first[i + 1]]
-                    k = min(shingle, len(own))
-                    mixed = np.zeros(max(len(own) - k + 1, 0) if k else 0, np.uint64)
-                    for j in range(k):
-                        mixed = mix(mixed * np.uint64(31) + own[j : len(own) - k + 1 + j])
-                    sets.append(np.unique(mixed).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sets, pa.list_(pa.int64()))], names=[*names, "set"])
-
-    return docs.mapInArrow(run, schema)
-
-
-def minhash_bands(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """sets (id, digest, set) with `keys` in place of the set: one of each band of MinHash values; all empty sets have the same key."""
+            kind, ids, digests, sets = b.schema.field("id").type, [], [], []
+            for i, own in zip(b.column("id").to_pylist(), _sets(b.column("text"), shingle), strict=True):
+                ids.append(i)
+                digests.append(int(set_digest(own)))
+                sets.append(own.view(np.int64))
+                if len(ids) >= SET_ROWS or 8 * sum(map(len, sets[-50:])) > SET_BYTES:
+                    yield rows(ids, digests, sets)
+                    ids, digests, sets = [], [], []
+            yield rows(ids, digests, sets)
+
+    return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], *T.StructType.fromDDL("digest bigint, set array<bigint>").fields]))
+
+
+def minhash_bands(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, text) to (id, digest, keys): a key for each band of MinHash values of the shingle set; empty sets share one."""
     salts = np.random.default_rng(SEED).integers(0, 2**63, (2, bands * rows), dtype=np.uint64)
+    turn, scale = salts[0][:, None], (salts[1] | np.uint64(1))[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for own in b.column("set"):
-                h = own.values.to_numpy().view(np.uint64)
-                least = np.array([((h[lo : lo + 4096] ^ salts[0][:, None]) * (salts[1] | np.uint64(1))[:, None]).min(axis=1) for lo in range(0, len(h), 4096)])
+            digests, keys = np.zeros(b.num_rows, np.uint64), []
+            for i, h in enumerate(_sets(b.column("text"), shingle)):
+                digests[i] = set_digest(h)
+                least = np.full(bands * rows, ~np.uint64(0))
+                for lo in range(0, len(h), 256):
+                    x = h[lo : lo + 256] ^ turn
+                    x *= scale
+                    np.minimum(least, x.min(axis=1), out=least)
                 key = np.arange(1, bands + 1).astype(np.uint64) if len(h) else np.zeros(1, np.uint64)
-                for column in (least.min(axis=0).reshape(bands, rows).T if len(h) else ()):
+                for column in (least.reshape(bands, rows).T if len(h) else ()):
                     key = mix(key * np.uint64(31) + column)
-                found.append(key.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("digest"), pa.array(found, pa.list_(pa.int64()))], names=["id", "digest", "keys"])
+                keys.append(key)
+            cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digests.view(np.int64)), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))], names=["id", "digest", "keys"])
 
-    fields = [sets.schema["id"], T.StructField("digest", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
-    return sets.select("id", "digest", "set").mapInArrow(run, T.StructType(fields))
+    return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], *T.StructType.fromDDL("digest bigint, keys array<bigint>").fields]))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs less near duplicates: in the order of ids, a document goes if a smaller one that stays is similar.
 
     Documents of equal shingle sets are merged first. Sets that share the key of a
-    band of MinHash values are candidates. A document that is the smallest undecided
-    one under all its keys stays; those that share a key with it are held against it
-    by the Jaccard similarity of the shingle sets and go if that is large enough.
-    This is repeated until every document is decided; no group is ever compared all
-    with all. Rows of one id are one document (that of the smallest digest counts);
-    rows with a null id stay; blank texts are alike.
+    band of MinHash values are candidates. Each is held against the smallest
+    undecided documents under its keys by the Jaccard similarity of the shingle
+    sets: one of each key in the first round, so that a large group of copies falls
+    to its smallest member, and twice as many in each further one, up to FIRSTS. A
+    document that was held against all smaller ones of its keys and is like none
+    stays; those like it go. This is repeated until every document is decided.
+    Rows of one id are one document (that of the smallest digest counts); rows with
+    a null id stay; blank texts are alike; columns of any name are kept.
     """
 
-    def sets_of(rows: DataFrame) -> DataFrame:
-        texts = rows.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-        return shingle_sets(texts, shingle, "id", "text").withColumn("digest", F.xxhash64("set"))
+    def texts_of(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
-    signs = minhash_bands(sets_of(docs.where(F.col(id_col).isNotNull()))).groupBy("id").agg(F.min(F.struct("digest", "keys")).alias("own"))
+    signs = minhash_bands(texts_of(docs.where(F.col(id_col).isNotNull())), shingle).groupBy("id").agg(F.min(F.struct("digest", "keys")).alias("own"))
     signs = materialize(signs.select("id", "own.*"), "signs")
     least = materialize(signs.groupBy("digest").agg(F.min("id").alias("first")), "first")
     gone = materialize(signs.join(least, "digest").where("id > first").select("id"), "copies")
@@ -284,21 +312,24 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     left = materialize(ones.join(shared, "key"), "left")
     # merge joins with the texts: neither the plan nor a task's memory depends on how many documents are candidates
     members = materialize(left.select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).distinct(), "members")
-    sets = sets_of(docs.join(members.select("__id").hint("merge"), F.col(id_col) == F.col("__id"), "left_semi"))
+    sets = shingle_sets(texts_of(docs.join(members.select("__id").hint("merge"), F.col(id_col) == F.col("__id"), "left_semi")), shingle)
     sets = sets.join(members, (F.col("id") == F.col("__id")) & (F.col("digest") == F.col("__digest")), "left_semi").dropDuplicates(["id"])
     sets = materialize(sets.select("id", "set"), "sets")
-    removed = [gone]
+    removed, m = [gone], 1
     while not left.isEmpty():
-        least = materialize(left.groupBy("key").agg(F.min("id").alias("first")), "first")
-        met = materialize(left.join(least, "key").select("id", "first").distinct(), "met")
-        stay = materialize(met.groupBy("id").agg(F.min("first").alias("first")).where("id = first").select("first"), "stay")
-        pairs = materialize(met.where("first < id").join(stay, "first"), "pairs")
-        both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("first"), F.col("set").alias("other")), "first")
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+        firsts = materialize(left.withColumn("rank", rank).where(F.col("rank") <= m).select("key", F.col("id").alias("first")), "firsts")
+        met = left.join(firsts, "key").where("first < id").select("id", "first").distinct()
+        both = met.join(sets, "id").join(sets.select(F.col("id").alias("first"), F.col("set").alias("other")), "first")
         same = F.size(F.array_intersect("set", "other"))
-        gone = materialize(both.where(same >= similarity * (F.size("set") + F.size("other") - same)).select("id").distinct(), "gone")
+        alike = materialize(both.where(same >= similarity * (F.size("set") + F.size("other") - same)).select("id", "first"), "alike")
+        # documents that were held against all smaller ones
+        among = firsts.groupBy(F.col("first").alias("id")).agg(F.count("*").alias("among"))
+        whole = left.groupBy("id").agg(F.count("*").alias("n")).join(among, "id").where("n = among").select("id")
+        stay = materialize(whole.join(alike.select("id").distinct(), "id", "left_anti"), "stay")
+        gone = materialize(alike.join(stay.withColumnRenamed("id", "first"), "first").select("id").distinct(), "gone")
         removed.append(gone)
-        decided = materialize(gone.unionByName(stay.withColumnRenamed("first", "id")), "decided")
-        left = materialize(left.join(decided, "id", "left_anti"), "left")
+        left, m = materialize(left.join(gone.unionByName(stay), "id", "left_anti"), "left"), min(2 * m, FIRSTS)
     every = removed[0]
     for g in removed[1:]:
         every = every.unionByName(g)

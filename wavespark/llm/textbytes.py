@@ -10,7 +10,7 @@ import pyarrow as pa
 _B = 0x9E3779B97F4A7C15 | 1
 _B_INVERSE = pow(_B, -1, 2**64)
 #: Bytes of texts handled at a time; one longer text is handled alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -34,6 +34,8 @@ BUCKETS = 1 << 17
 #: Bytes of a token that each level looks at; the last is the whole token.
 LEVELS = (3, 4, 5, 1 << 30)
 STRENGTH, DRIFT, SIGNIFICANT = 12.0, 1.0, 0.01
+#: The score of every document, at most, where labels teach nothing.
+BLIND = 0.25
 
 
 @dataclass(frozen=True)
@@ -139,7 +141,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, rows: int =
 
     Only text and toxic are learned from. Repeated labels of a document count as
     toxic if one of them says so; null labels and null ids are ignored. With no
-    labelled document, or with one class only, every score is near the class rate.
+    labelled document, or with one class only, nothing can be told apart: every score
+    is the class rate, but at most BLIND, so that nothing is predicted toxic.
     """
     spark = docs.sparkSession
     sample = (
@@ -204,7 +207,8 @@ def _decay(score: np.ndarray, n: np.ndarray) -> float:
 def _logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
     """Slope and intercept of a probability over x, lightly regularized."""
     if not len(x) or y.min() == y.max():
-        return 0.0, float(np.log(prior / (1 - prior)))
+        rate = min(prior, BLIND)
+        return 0.0, float(np.log(rate / (1 - rate)))
     x, w = np.clip(x, -30, 60), np.array([0.1, 0.0])
     a = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(50):

@@ -173,9 +173,11 @@ def griffin_lim(spark, sf_dir):
 
 
 def _shared(spark) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset a temporary one, remembered in the session."""
+    """A new folder below spark.checkpoint.dir; where that is unset a temporary one, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found}/wavespark/{uuid.uuid4().hex}"

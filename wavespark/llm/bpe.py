@@ -124,9 +124,9 @@ def fold_word(word: Column, ranks: Column) -> Column:
     An entry without rank stands in front.
     """
 
-    def rank(a: Column, b: Column) -> Column:
-        cell = lambda c: F.when(F.shiftright(c, 18) == a, c.bitwiseAND(_TOP)).otherwise(F.lit(_TOP).cast("bigint"))
-        return let(F.get(ranks["cell"], F.get(ranks["base"], a) + b), cell)
+    def rank(a: Column, b: Column) -> Column:  # looking the cell up twice costs less than binding it
+        cell = F.get(ranks["cell"], F.get(ranks["base"], a) + b)
+        return F.when(F.shiftright(cell, 18) == a, cell.bitwiseAND(_TOP)).otherwise(F.lit(_TOP).cast("bigint"))
 
     up = lambda r: F.shiftleft(r, 44)
     id_of = lambda x: x.bitwiseAND(_TOP).cast("int")
@@ -148,7 +148,8 @@ def fold_word(word: Column, ranks: Column) -> Column:
         return let(F.array_min(s), lambda least: F.when(least < (_TOP << 44), merge(s, least)).otherwise(s))
 
     def pair(a: Column, b: Column) -> Column:
-        return let(F.get(ranks["two"], a.cast("int") * 256 + b), lambda r: up(F.when(r >= 0, r).otherwise(F.lit(_TOP)).cast("bigint")))
+        r = F.get(ranks["two"], a.cast("int") * 256 + b)
+        return up(F.when(r >= 0, r).otherwise(F.lit(_TOP)).cast("bigint"))
 
     rest = F.slice(word, F.lit(2), F.size(word))
     tokens = F.transform(word, lambda b, i: F.shiftleft(i.cast("bigint"), 18) + F.get(ranks["bytes"], b.cast("int")))

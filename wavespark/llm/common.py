@@ -51,7 +51,7 @@ def words(text: Column) -> Column:
 
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, inside one row."""
-    return F.get(F.transform(F.array_repeat(value, 1), body), F.lit(0))
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def fold_of(key: Column, n: int) -> Column:

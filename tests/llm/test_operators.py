@@ -377,7 +377,7 @@ def test_near_duplicates_many_classes(spark):
     assert kept == _greedy(texts) == set(range(0, 24, 3))
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(2)
     vectors = [[float(v) for v in rng.normal(0, 0.3, 8)] for _ in range(600)] + [[0.5] * 8] * 300
     rows = [(i, v) for i, v in enumerate(vectors)] + [(1000, None), (1001, [float("nan")] * 8), (1002, [None] * 8), (1003, [float("inf")] * 8)]
@@ -390,10 +390,25 @@ def test_top_k(spark):
         want += [(q, r + 1, int(i), int(s[i])) for r, i in enumerate(order)]
     got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect())
     assert got == want
+    monkeypatch.setattr(topk, "LEAF", 40)  # many levels and blocks
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()) == want
+    tree = topk.grow(x.astype(float), 900, leaf=40)
+    assert len(tree.leaves()) > 10 and max(len(tree.path(int(i))) for i in tree.leaves()) > 2
     assert topk.top_k(df.where("vec_id < 3"), F.col("vec_id") == 0, 5).count() == 2
     assert topk.top_k(df.limit(0), F.lit(True), 5).count() == 0
 
 
+def test_top_k_repeated_ids_and_large_components(spark):
+    rows = [(0, [1.0, 0.5]), (1, [1.0, 2.0]), (1, [1.0, 3.0]), (2, [1e7, -1e7]), (3, [1e7, 1e7]), (None, [1.0, 1.0]), (4, [])]
+    df = topk.whole_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "vec_id", "embedding")
+    whole = [(i, [int(np.floor(256 * c)) for c in v] + [0] * (2 - len(v))) for i, v in rows if i is not None]
+    for q in (0, 3):
+        v = dict(whole)[q]
+        want = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q))[:5]
+        got = sorted((r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == q, 5).collect())
+        assert got == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     rows = corpus_pipeline.run(spark, sf)

@@ -103,6 +103,9 @@ def test_language(spark):
     got = {r.doc_id: r for r in langid.predict_languages(df.drop("lang"), model).collect()}
     assert all(got[i].lang_pred == list(texts)[i % 4] and 0 <= got[i].score <= 1 for i in range(80))
     assert {got[i].lang_pred for i in (900, 901, 902)} == {"und"}
+    same = spark.createDataFrame([(None, texts["en"], "en")] * 300 + [(5, texts["fr"], "fr")] * 300, "doc_id bigint, text string, lang string")
+    few = langid.fit_languages(same, F.lit(True), rows=40)
+    assert few.families == {"germanic": ["en"], "romance": ["fr"]}
     none = langid.fit_languages(df.limit(0), F.lit(True))
     assert {r.lang_pred for r in langid.predict_languages(df, none).collect()} == {"und"}
 
@@ -231,13 +234,34 @@ def test_packing(spark):
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = [*ODD, "<|endoftext|> as text"]
+    texts = [*ODD, "<|endoftext|> as text", "two  <|endoftext|><|endoftext|>  \n", "<|endoftext|>", "<|endoftext"]
     want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
     _check_pieces(packing.pack(docs_of(spark, texts), path, P.PATTERN).collect(), want)
     assert packing.pack(docs_of(spark, texts).limit(0), path, P.PATTERN).count() == 0
 
 
+def test_packing_keeps_the_windows_of_the_rule():
+    rng = np.random.default_rng(6)
+    sizes = [int(n) for n in rng.integers(1, 1024, 1000)]
+    ruled, packer, pieces = {}, packing.Packer(1024), []
+    for i, n in enumerate(sizes):
+        pieces += packer.add(i, np.full(n, i, np.int32))
+        for number, parts in packer.open.items():
+            ruled.update({p[0]: number for p in parts})
+        ruled.update({p[0]: p[3] for p in pieces if p[0] not in ruled})
+    pieces += packer.close()
+    windows = collections.defaultdict(int)
+    for p in pieces:
+        windows[p[3]] += len(p[2])
+    assert all(n == 1024 or n & (n - 1) == 0 for n in windows.values()) and sum(n < 1024 for n in windows.values()) <= 10
+    by_doc = collections.defaultdict(list)
+    for p in pieces:
+        by_doc[p[0]].append(p)
+    assert all(sum(len(p[2]) for p in by_doc[i]) == n for i, n in enumerate(sizes))
+    kept = sum(n for i, n in enumerate(sizes) if len(by_doc[i]) == 1 and by_doc[i][0][3] == ruled[i])
+    assert kept > 0.9 * sum(sizes)
+
+
 def test_sum_of_squares_rule():
     rng = np.random.default_rng(5)
     packer, levels, full = packing.Packer(32), collections.Counter(), 0
@@ -283,6 +307,67 @@ def test_matroska_round_trip_and_lacings(spark):
     assert matroska.packet_table(df.limit(0)).count() == 0
 
 
+def _stored(media):
+    """The frames of a file of mux, by an own reading of its bytes: element by element, no recursion."""
+    out, at = [], 0
+    while at < len(media):
+        first = media[at]
+        n = next(w for w in range(1, 5) if first >> (8 - w))
+        kind, at = media[at : at + n].hex(), at + n
+        n = next(w for w in range(1, 9) if media[at] >> (8 - w))
+        size, at = int.from_bytes(media[at : at + n], "big") - (1 << 7 * n), at + n
+        if kind in ("18538067", "1f43b675"):
+            continue  # what follows is inside
+        body, at = media[at : at + size], at + size
+        if kind == "a3":
+            flags, data = body[3] & 6, body[4:]
+            if flags == 6:  # sizes in front: the first, then differences, of which all are zero
+                count, n = data[0] + 1, next(w for w in range(1, 9) if data[1] >> (8 - w))
+                assert set(data[1 + n : 1 + n + count - 2]) <= {0xBF}
+                data = data[1 + n + count - 2 :]
+            elif flags == 4:
+                data = data[1:]
+            out.append(data)
+    return b"".join(out)
+
+
+def test_op8_contract(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in matroska.op8_matroska(spark, sf).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        media = matroska.mux(payload)
+        x = np.frombuffer(payload, np.uint8).astype(int) - 128
+        feature = f"mean={x.sum() * 1000 // len(x)},power={(x * x).sum() // len(x)},crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))},low={x.min()},high={x.max()}"
+        assert _stored(media) == payload and r.feature == feature
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32, r.media_bytes) == (len(raw), len(payload), zlib.crc32(payload[-16:]), len(media))
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_sha256 == hashlib.sha256(media).hexdigest()
+
+
+def test_hostile_files(spark):
+    E, head = matroska.element, matroska.element(matroska.EBML, b"")
+    nested = b""
+    for _ in range(3000):
+        nested = E(matroska.GROUP, nested)
+    group = E(matroska.BLOCK, b"\x81\x00\x00\x00abc")
+    files = [head + nested]
+    for time in (b"\xff" * 8, b"\x01" + bytes(8), b"\x01" * 30):
+        files.append(head + E(matroska.SEGMENT, E(matroska.CLUSTER, E(matroska.TIME, time) + E(matroska.GROUP, group))))
+    files.append(head + E(matroska.SEGMENT, E(matroska.TRACKS, E(matroska.TRACK, E(matroska.NUMBER, 1) + E(matroska.DURATION, b"\xff" * 8)))))
+    files.append(head + E(matroska.SEGMENT, E(matroska.CUES, E(matroska.CUE, E(matroska.CUE_AT, E(matroska.CUE_CLUSTER, b"\xff" * 8))))))
+    rng = np.random.default_rng(12)
+    good = matroska.mux(bytes(range(192)) * 20)
+    for _ in range(200):  # random damage
+        bad = bytearray(good)
+        for at in rng.integers(0, len(bad), 4):
+            bad[at] = int(rng.integers(256))
+        files.append(bytes(bad[: int(rng.integers(1, len(bad)))]))
+    df = spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(files)], "id int, media binary")
+    got = {r.id: r.error for r in matroska.packet_table(df).collect()}
+    assert len(got) == len(files) and all(got[i] for i in range(6))
+
+
 def _simhash(text, k=3):
     w = words_of("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not w:

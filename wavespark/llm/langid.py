@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from .common import fold_of, materialize, table
 from .textbytes import chunks
 
-#: Rows of each language that the machines are fitted on, about: those with the smallest hash of their id.
-ROWS_PER_LANGUAGE = 1_500
+#: The sample that the machines are fitted on, about: rows of each language, rows and bytes of texts of all; longer texts are not learned from.
+ROWS_PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_BYTES, LONGEST = 1_500, 6_000, 50_000_000, 1_000_000
 BITS = 13
 EPOCHS, REGULARIZATION, SEED = 15, 1e-4, 7
 
@@ -113,16 +113,21 @@ def _pairs(x: np.ndarray, y: np.ndarray, classes: list[str]) -> list[Machine]:
 
 
 def fit_languages(docs: DataFrame, train: Column, rows: int = ROWS_PER_LANGUAGE) -> LanguageModel:
-    """Fit on about `rows` documents of each language for which the condition `train` holds.
+    """Fit on about `rows` documents of each language for which the condition `train` holds, fewer where there are many languages or long texts.
 
-    Rows without text or lang are not learned from. With no labelled row nothing
-    can be predicted and every result is und; with one language all is that one.
+    Rows without text or lang are not learned from; the sample is drawn by rows, so
+    repeated ids or texts and null ids neither all pass nor all fail. With no
+    labelled row nothing can be predicted and every result is und; with one language
+    all is that one.
     """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(train)
-    count = known.groupBy("lang").count()
-    # an even share of the hash range for each language, so that about `rows` of its documents pass
-    share = count.select("lang", (F.lit(float(rows)) / F.col("count")).alias("share"))
-    drawn = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    known = known.select("text", "lang", F.octet_length("text").alias("size")).where(F.col("size") <= LONGEST)
+    count = known.groupBy("lang").agg(F.count("*").alias("n"), F.avg("size").alias("mean")).toPandas()  # one row a language
+    each = min(rows, SAMPLE_ROWS // max(len(count), 1), int(SAMPLE_BYTES / max(count["mean"].sum(), 1)) if len(count) else rows)
+    # an even chance for each row of a language, so that about `each` of them pass
+    share = docs.sparkSession.createDataFrame([(lang, each / n) for lang, n in zip(count["lang"], count["n"].tolist(), strict=True)], "lang string, share double")
+    chance = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.octet_length("text")), F.lit(1_000_000))
+    drawn = known.withColumn("chance", chance).join(F.broadcast(share), "lang").where(F.col("chance") < F.col("share") * 1_000_000)
     sample = materialize(drawn.select("lang", "text"), "lang-train").toPandas()
     y = sample["lang"].to_numpy(str)
     x = _vectors(sample["text"].tolist())

@@ -3,8 +3,9 @@
 Files are binary columns, muxed and parsed row by row in Arrow batches without any
 shuffle. The parser reads variable-length element ids and sizes (unknown sizes
 too), clusters, simple blocks and block groups, all four lacings and cues; each
-packet has its track, timestamp, and byte range in the file. Damaged files give
-the packets before the damage and an error text.
+packet has its track, timestamp, and byte range in the file. Damaged and hostile
+files give the packets before the damage and an error text: nesting is bounded, and
+numbers that do not fit a long are refused.
 """
 
 from __future__ import annotations
@@ -87,6 +88,18 @@ def lacing_bits(lacing: int) -> int:
     return {0: 0, 1: 0x02, 2: 0x04, 3: 0x06}[lacing]
 
 
+#: Levels of elements inside each other that are followed; the format needs five.
+DEPTH_LIMIT = 16
+
+
+def _whole(data: bytes, at: int, stop: int) -> int:
+    """An unsigned number of an element's body."""
+    value = int.from_bytes(data[at:stop], "big") if stop - at <= 8 else 1 << 63
+    if value >= 1 << 62:
+        raise ValueError(f"number beyond a long at byte {at}")
+    return value
+
+
 def _number(data: bytes, at: int, end: int, keep: bool) -> tuple[int | None, int, int]:
     """A variable-length number: value (None: unknown size), the place after it, its width."""
     if at >= end or not data[at]:
@@ -135,7 +148,10 @@ def _block(data: bytes, at: int, end: int, state: dict, key: bool | None, out: l
         raise ValueError(f"lacing beyond the block at byte {at}")
     step = state["durations"].get(track, 0)
     for i, n in enumerate(sizes):
-        out.append((track, time + i * step // state["scale"], at, n, key))
+        moved = time + i * step // state["scale"]
+        if moved >= 1 << 63:
+            raise ValueError(f"timestamp beyond a long at byte {at}")
+        out.append((track, moved, at, n, key))
         at += n
 
 
@@ -145,7 +161,9 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], int, str | None]:
     cues: list[tuple] = []
     state = {"cluster": 0, "clusters": 0, "segment": 0, "time": 0, "track": 0, "number": 0, "scale": 1_000_000, "durations": {}}
 
-    def walk(at: int, end: int, parent: int) -> int:
+    def walk(at: int, end: int, parent: int, depth: int) -> int:
+        if depth > DEPTH_LIMIT:
+            raise ValueError(f"more than {DEPTH_LIMIT} levels at byte {at}")
         block = None
         key = True
         while at < end:
@@ -162,9 +180,9 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], int, str | None]:
             if kind == SEGMENT:
                 state["segment"] = at
             if kind in _MASTERS:
-                stop = walk(at, stop, kind)
+                stop = walk(at, stop, kind, depth + 1)
             elif kind == TIME:
-                state["cluster"] = int.from_bytes(data[at:stop], "big")
+                state["cluster"] = _whole(data, at, stop)
             elif kind == SIMPLE:
                 _block(data, at, stop, state, None, packets)
             elif kind == BLOCK:
@@ -172,17 +190,17 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], int, str | None]:
             elif kind == REFERENCE:
                 key = False
             elif kind == SCALE:
-                state["scale"] = max(1, int.from_bytes(data[at:stop], "big"))
+                state["scale"] = max(1, _whole(data, at, stop))
             elif kind == NUMBER and parent == TRACK:
-                state["number"] = int.from_bytes(data[at:stop], "big")
+                state["number"] = _whole(data, at, stop)
             elif kind == DURATION:
-                state["durations"][state["number"]] = int.from_bytes(data[at:stop], "big")
+                state["durations"][state["number"]] = _whole(data, at, stop)
             elif kind == CUE_TIME:
-                state["time"] = int.from_bytes(data[at:stop], "big")
+                state["time"] = _whole(data, at, stop)
             elif kind == CUE_TRACK:
-                state["track"] = int.from_bytes(data[at:stop], "big")
+                state["track"] = _whole(data, at, stop)
             elif kind == CUE_CLUSTER:
-                cues.append((state["time"], state["track"], state["segment"] + int.from_bytes(data[at:stop], "big")))
+                cues.append((state["time"], state["track"], state["segment"] + _whole(data, at, stop)))
             at = stop
         if block:
             _block(data, *block, state, key, packets)
@@ -191,7 +209,7 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], int, str | None]:
     try:
         if data[:4] != EBML.to_bytes(4, "big"):
             raise ValueError("no EBML header")
-        walk(0, len(data), 0)
+        walk(0, len(data), 0, 0)
     except (ValueError, IndexError) as e:
         return packets, cues, state["clusters"], str(e) or "cut file"
     return packets, cues, state["clusters"], None
@@ -269,7 +287,12 @@ def read_track(df: DataFrame, media: str = "media", track: int = 1) -> DataFrame
 
 
 def store_and_read(df: DataFrame, payload: str, track: int = 1) -> DataFrame:
-    """mux_column, packet_table and read_track in one pass, and a feature of the samples."""
+    """mux_column, packet_table and read_track in one pass, and a feature of the samples.
+
+    A null payload gives no file, an error, and empty samples; repeated rows are
+    stored each; an empty table gives no rows; columns of df that have the names of
+    results are replaced, any other is kept.
+    """
     feature = "feature string", lambda b: [pa.array([_features(x) for x in b.column("samples").to_pylist()], pa.string())]
     return _steps(df, [_mux_step(payload, "media"), _packet_step("media"), _read_step("media", track), feature])
 
@@ -279,7 +302,7 @@ def _features(samples: bytes) -> str:
     x = np.frombuffer(samples, np.uint8).astype(np.int64) - 128
     n = max(len(x), 1)
     crossings = int(np.count_nonzero(np.diff(x < 0)))
-    return f"mean={int(x.sum()) * 1000 // n},power={int((x * x).sum()) // n},crossings={crossings},low={x.min(initial=0)},high={x.max(initial=0)}"
+    return f"mean={int(x.sum()) * 1000 // n},power={int((x * x).sum()) // n},crossings={crossings},low={x.min() if len(x) else 0},high={x.max() if len(x) else 0}"
 
 
 def op8_matroska(spark, sf_dir: str) -> DataFrame:

@@ -4,9 +4,11 @@ Each partition packs the documents it reads, in order, so nothing is shuffled an
 the work is linear. A document fills whole windows first; what is left is placed
 by the sum-of-squares rule: of all fill levels where it fits, and an empty
 window, the one after which the sum of squared counts of partially filled
-windows is least. A level array holds those counts. When a partition ends, or
-the open windows hold too much, their contents are cut anew into full windows;
-the last part is cut at powers of two, which need no padding.
+windows is least. A level array holds those counts. When a partition ends (or the
+open windows hold more than OPEN_TOKENS, which only texts that hardly ever fit
+together lead to), the fullest open windows stay as the rule made them and are
+filled up from the emptiest, which alone are cut; what is left of those is cut at
+powers of two, which need no padding.
 
 Tokens come from a public tokenizer. The JVM splits texts by the tokenizer's own
 pattern, and each batch's distinct pieces are encoded once.
@@ -14,11 +16,12 @@ pattern, and each batch's distinct pieces are encoded once.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import java_pattern
@@ -40,9 +43,7 @@ def _encoder(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _memory[path] = (tokenizer, {})
+        _memory[path] = (Tokenizer.from_file(path), {})
     return _memory[path]
 
 
@@ -112,23 +113,62 @@ class Packer:
         return out + (self.close() if self.held > OPEN_TOKENS else [])
 
     def close(self) -> list[tuple]:
-        """Cut the contents of all open windows anew: full windows, then powers of two."""
-        rest = [x for number in sorted(self.open) for x in self.open[number]]
-        out, left = [], sum(len(x[2]) for x in rest)
-        room, offset, number = 0, 0, 0
-        for doc, start, ids, _, _ in rest:
-            while len(ids):
-                if not room:
-                    room = min(self.window, left if left >= self.window else 1 << (left.bit_length() - 1))
-                    offset, number = 0, self._new()
+        """Fill the fullest open windows from the emptiest; the last part is cut at powers of two."""
+        fill = {n: sum(len(x[2]) for x in parts) for n, parts in self.open.items()}
+        order = sorted(self.open, key=lambda n: (-fill[n], n))
+        out, given = [], []  # pieces of donors, the last to be given first
+        lo, hi = 0, len(order) - 1
+
+        def take(room: int, number: int, offset: int) -> None:
+            while room:
+                doc, start, ids = given.pop()
                 n = min(room, len(ids))
                 out.append((doc, start, ids[:n], number, offset))
-                start, ids, room, offset, left = start + n, ids[n:], room - n, offset + n, left - n
+                room, offset = room - n, offset + n
+                if n < len(ids):
+                    given.append((doc, start + n, ids[n:]))
+
+        held = 0
+        while lo <= hi:
+            number = order[lo]
+            room = self.window - fill[number]
+            while held < room and hi > lo:
+                given[:0] = [x[:3] for x in reversed(self.open[order[hi]])]
+                held += fill[order[hi]]
+                hi -= 1
+            lo += 1
+            if held < room:  # no donor is left
+                given += [x[:3] for x in reversed(self.open[number])]
+                held += fill[number]
+                break
+            out += self.open[number]
+            take(room, number, fill[number])
+            held -= room
+        while held:
+            room = self.window if held >= self.window else 1 << (held.bit_length() - 1)
+            take(room, self._new(), 0)
+            held -= room
         self.count[:], self.open, self.held = 0, {}, 0
         self.at = [[] for _ in range(self.window + 1)]
         return out
 
 
+def added_tokens(tokenizer: str) -> list[str]:
+    """Strings that the tokenizer takes out of a text before it splits the rest, longest first."""
+    return sorted((t.content for t in _encoder(tokenizer)[0].get_added_tokens_decoder().values()), key=lambda t: (-len(t), t))
+
+
+def split_pieces(text: Column, pattern: str, added: list[str]) -> Column:
+    """The matches of the pattern in the parts of a text between added tokens, and those tokens."""
+    matches = lambda part: F.regexp_extract_all(part, F.lit(java_pattern(pattern)), F.lit(0))
+    if not added:
+        return matches(text)
+    any_of = "|".join(re.sub(r"([^0-9A-Za-z])", r"\\\1", t) for t in added)
+    between, tokens = F.split(text, any_of), F.regexp_extract_all(text, F.lit(f"(?:{any_of})"), F.lit(0))
+    whole = F.flatten(F.transform(between, lambda part, i: F.concat(matches(part), F.when(i < F.size(tokens), F.array(F.get(tokens, i))).otherwise(F.array().cast("array<string>")))))
+    return F.when(text.rlike(any_of), whole).otherwise(matches(text))
+
+
 PIECES = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -137,12 +177,11 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, window: int = WINDOW, en
 
     Every row of docs is a document of its own, closed by end_id: a null or empty
     text is that id alone; repeated rows are packed each; a null id stays null;
-    other columns are ignored; an empty table gives no pieces.
+    other columns are ignored; an empty table gives no pieces. The tokenizer's added
+    tokens in a text have their own ids, as the tokenizer gives them.
     """
     kind = dict(docs.dtypes)[id_col]
-    pieces = docs.select(
-        F.col(id_col).alias("doc"), F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)).alias("p")
-    )
+    pieces = docs.select(F.col(id_col).alias("doc"), split_pieces(F.coalesce(F.col(text_col), F.lit("")), pattern, added_tokens(tokenizer)).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc

@@ -36,8 +36,8 @@ def _embeddings(spark, sf_dir: str) -> DataFrame:
     return O.signals_from_arrays(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", RATE)
 
 
-def _events(spark, sf_dir: str, key: str = "user_id") -> DataFrame:
-    return O.signals_from_table(spark.read.parquet(f"{sf_dir}/events.parquet"), key, ["ts", "event_id"], F.col("value") / 100, RATE)
+def _events(spark, sf_dir: str) -> DataFrame:
+    return O.signals_from_table(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", ["ts", "event_id"], F.col("value") / 100, RATE)
 
 
 def _round(c, digits: int = 6):
@@ -55,8 +55,80 @@ def _samples(clips: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def event_signals(spark, sf_dir):
-    clips = _events(spark, sf_dir, "event_type")
-    return clips.select("clip_id", "n", F.round(C.total(F.col("samples")), 4).alias("total"), F.get("samples", F.lit(0)).alias("first"), F.element_at("samples", -1).alias("last"))
+    """Five clips that hold all events between them, as blocks; their facts are aggregates of blocks."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    blocks = O.blocks_from_table(events, "event_type", ["ts", "event_id"], F.col("value") / 100, _shared(spark), RATE, block=500)
+    facts = blocks.groupBy("clip_id", "n").agg(
+        F.round(F.sum(C.total(F.col("samples"))), 4).alias("total"), F.min_by(F.get("samples", F.lit(0)), "start").alias("first"), F.max_by(F.element_at("samples", -1), "start").alias("last")
+    )
+    return facts.select("clip_id", "n", "total", "first", "last")
+
+
+def event_power(spark, sf_dir):
+    """The same clips from blocks to tiles by one shuffle, and their power spectra."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    blocks = O.blocks_from_table(events, "event_type", ["ts", "event_id"], F.col("value") / 100, _shared(spark), RATE, block=500)
+    rows = X.power_spectrum(O.tiles_of_blocks(blocks, CFG, 64), CFG)
+    out = rows.select("clip_id", "frame", F.posexplode("s").alias("bin", "x"))
+    return out.select("clip_id", "frame", F.col("bin").cast("bigint").alias("bin"), _round("x"))
+
+
+def conversions(spark, sf_dir):
+    x, v = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("value")
+    parts = {
+        "amplitude": C.db_to_amplitude(v / 20), "hz": C.mel_to_hz(v / 10), "hz_htk": C.mel_to_hz(v, "htk"), "mel_htk": C.hz_to_mel(v, "htk"), "note_hz": C.midi_to_hz(v / 4),
+        "seconds": C.frames_to_time("event_id", RATE, 512), "frame": C.time_to_frames("value", RATE, 512).cast("double"), "resampled": C.output_frames("event_id", 44100, 16000).cast("double"),
+    }
+    return x.select("event_id", *(F.round(c, 6).alias(n) for n, c in parts.items()))
+
+
+def frame_times(spark, sf_dir):
+    s = O.times(X.power_spectrum(_embeddings(spark, sf_dir), CFG), RATE, CFG.hop).select("clip_id", "channel", "frame", "t")
+    both = O.complete_frames(s, F.lit(64), CFG).withColumn("complete", F.lit(1)).unionByName(O.border_frames(s, F.lit(64), CFG).withColumn("complete", F.lit(0)))
+    return both.select("clip_id", "frame", F.round("t", 9).alias("t"), "complete")
+
+
+def power_db_of_maximum(spark, sf_dir):
+    return _long(O.power_to_db_of_maximum(X.power_spectrum(_embeddings(spark, sf_dir), CFG)), digits=5)
+
+
+def mel_applied(spark, sf_dir):
+    return _long(X.mel_apply(X.power_spectrum(_embeddings(spark, sf_dir), CFG), MEL, CFG.fft), digits=9)
+
+
+def chroma_applied(spark, sf_dir):
+    return _long(X.chroma_apply(X.power_spectrum(_embeddings(spark, sf_dir), CFG), CHROMA, CFG.fft))
+
+
+def rms_of_spectrogram(spark, sf_dir):
+    s = X.power_spectrum(_embeddings(spark, sf_dir), CFG, power=1.0)
+    return O.rms_of_spectrogram(s.where(C.valid_magnitudes("s")), CFG.fft).select("clip_id", "frame", _round("rms"))
+
+
+def median_freq(spark, sf_dir):
+    s = X.power_spectrum(_embeddings(spark, sf_dir), CFG, power=1.0)
+    return _long(s.withColumn("s", C.median_freq("s", 3)))
+
+
+def seek_blocks(spark, sf_dir):
+    """Samples 15 to 44 of every vector, from blocks of 10."""
+    parts = O.seek(O.to_blocks(_embeddings(spark, sf_dir), 10), 15, 30)
+    out = parts.select("clip_id", "start", F.posexplode("samples").alias("i", "x"))
+    return out.select("clip_id", (F.col("start") + F.col("i")).alias("pos"), _round("x"))
+
+
+def stft_range(spark, sf_dir):
+    rows = X.stft_range(_embeddings(spark, sf_dir), CFG, 3, 9)
+    z = rows.select("clip_id", "frame", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z"))
+    return z.select("clip_id", "frame", F.col("bin").cast("bigint").alias("bin"), (F.round("z.re", 6) + 0.0).alias("re"), (F.round("z.im", 6) + 0.0).alias("im"))
+
+
+def aligned(spark, sf_dir):
+    """Two features on one grid, and one on a coarser grid as of each frame."""
+    clips = _embeddings(spark, sf_dir)
+    both = O.align(O.rms(clips, 16, 4), O.zero_crossing_rate(clips, 16, 4))
+    out = O.align_asof(both, 4, O.rms(clips, 16, 8).withColumnRenamed("rms", "coarse"), 8)
+    return out.select("clip_id", "frame", *((F.round(c, 6) + 0.0).alias(c) for c in ("rms", "zcr", "coarse")))
 
 
 def rms(spark, sf_dir):
@@ -103,7 +175,7 @@ def spectral_shape(spark, sf_dir):
 
 def spectral_contrast(spark, sf_dir):
     cfg = StftConfig(fft=256, hop=64)
-    s = X.power_spectrum(_events(spark, sf_dir, "event_type"), cfg, power=1.0)
+    s = X.power_spectrum(_events(spark, sf_dir), cfg, power=1.0)
     out = O.spectral_contrast(s, 256, RATE, n_bands=5).select("clip_id", "frame", F.posexplode("contrast").alias("bin", "x"))
     return out.select("clip_id", "frame", F.col("bin").cast("bigint").alias("bin"), _round("x"))
 
@@ -240,6 +312,7 @@ def cqt_halved(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     event_signals, rms, zcr, document_rms, power_spectrum, stft, mel, mfcc, chroma, spectral_shape, spectral_contrast, onset_strength, istft_round_trip,
     decibels, pcm, peaks, median_time, downmix, resample, hpss, time_stretch, pitch_shift, griffin_lim,
+    event_power, conversions, frame_times, power_db_of_maximum, mel_applied, chroma_applied, rms_of_spectrogram, median_freq, seek_blocks, stft_range, aligned,
     cqt, vqt, chroma_cqt, cqt_halved, wav_round_trip, stream_power, stream_zcr, window_rms,
 )}
 
@@ -265,9 +338,9 @@ def _framed(clips: str, fft: int, hop: int, pad: str) -> str:
     x AS (SELECT f.clip_id, f.frame, j.j, {x} AS x FROM f JOIN c USING (clip_id), generate_series(0, {fft - 1}) AS j(j))"""
 
 
-def _spectrum(cfg: StftConfig = CFG) -> str:
+def _spectrum(cfg: StftConfig = CFG, clips: str | None = None) -> str:
     w = _values(cfg.weights()[:, None], "j, o, w")
-    return f"""{_framed(_EMB, cfg.fft, cfg.hop, cfg.pad)}, w AS ({w}),
+    return f"""{_framed(clips or _EMB, cfg.fft, cfg.hop, cfg.pad)}, w AS ({w}),
     z AS (SELECT clip_id, frame, bin, sum(x * w * cos(2 * pi() * bin * j / {cfg.fft})) AS re, -sum(x * w * sin(2 * pi() * bin * j / {cfg.fft})) AS im
       FROM x JOIN w USING (j), generate_series(0, {cfg.bins - 1}) AS b(bin) GROUP BY ALL),
     p AS (SELECT clip_id, frame, bin, re * re + im * im AS p, sqrt(re * re + im * im) AS s FROM z)"""
@@ -341,3 +414,53 @@ ORACLE_SQL |= {
     "chroma_cqt": f"""WITH {_constant_q(CQT)}, m AS ({_values(CQT.chroma_weights(4), 'band, bin, w')})
     SELECT clip_id, frame, band::BIGINT AS bin, round(sum(sqrt(re * re + im * im) * w), 6) + 0.0::DOUBLE AS v FROM z JOIN m USING (bin) GROUP BY clip_id, frame, band""",
 }
+
+_TYPES = "c AS (SELECT event_type AS clip_id, list(value / 100 ORDER BY ts, event_id) AS s, count(*) AS n FROM events GROUP BY event_type)"
+_CONTRAST = StftConfig(fft=256, hop=64)
+_BANDS = ", ".join(f"({k}, {lo}, {hi}, {take})" for k, (lo, hi, take) in enumerate(O.contrast_bands(256, RATE, 5)))
+_UP, _DOWN, _REACH, _TAPS = X.resample_filter(3, 2, "fast")
+
+
+def _mirrored(q: str, n: str) -> str:
+    """Place within 0..n of q, ends mirrored with their edge repeated."""
+    m = f"((({q}) % (2 * {n}) + 2 * {n}) % (2 * {n}))"
+    return f"CASE WHEN {m} < {n} THEN {m} ELSE 2 * {n} - 1 - {m} END"
+
+
+_MEDIANS = f"""n AS (SELECT clip_id, max(frame) + 1 AS n FROM p GROUP BY ALL),
+    ht AS (SELECT o.clip_id, o.frame, o.bin, list_sort(list(x.s))[3] AS h FROM (
+      SELECT p.clip_id, frame, bin, {_mirrored('frame + d', 'n')} AS q FROM p JOIN n USING (clip_id), generate_series(-2, 2) AS d(d)) o JOIN p x ON x.clip_id = o.clip_id AND x.bin = o.bin AND x.frame = o.q GROUP BY ALL),
+    vt AS (SELECT o.clip_id, o.frame, o.bin, list_sort(list(x.s))[2] AS v FROM (
+      SELECT clip_id, frame, bin, {_mirrored('bin + d', CFG.bins)} AS q FROM p, generate_series(-1, 1) AS d(d)) o JOIN p x ON x.clip_id = o.clip_id AND x.frame = o.frame AND x.bin = o.q GROUP BY ALL)"""
+
+ORACLE_SQL |= {
+    "event_power": f"WITH {_spectrum(CFG, _TYPES)} SELECT clip_id, frame, bin, round(p, 6) + 0.0::DOUBLE AS v FROM p",
+    "spectral_contrast": f"""WITH {_spectrum(_CONTRAST, _USERS)}, b(band, lo, hi, take) AS (VALUES {_BANDS}),
+      o AS (SELECT clip_id, frame, band, take, list_sort(list(s)) AS l FROM p JOIN b ON bin BETWEEN lo AND hi GROUP BY ALL),
+      d AS (SELECT clip_id, frame, band, 10 * log10(greatest(1e-10, list_avg(l[-take:]))) AS pk, 10 * log10(greatest(1e-10, list_avg(l[1:take]))) AS vl FROM o)
+      SELECT clip_id, frame, band::BIGINT AS bin,
+        round(greatest(pk, max(pk) OVER (PARTITION BY clip_id) - 80) - greatest(vl, max(vl) OVER (PARTITION BY clip_id) - 80), 6) + 0.0::DOUBLE AS v FROM d""",
+    "hpss": f"""WITH {_spectrum()}, {_MEDIANS}
+      SELECT clip_id, frame, bin, round(s * CASE WHEN greatest(h, v) < 2.2250738585072014e-308 THEN 0.5 ELSE h * h / (h * h + v * v) END, 6) AS harmonic,
+        round(s * CASE WHEN greatest(h, v) < 2.2250738585072014e-308 THEN 0.5 ELSE v * v / (h * h + v * v) END, 6) AS percussive FROM p JOIN ht USING (clip_id, frame, bin) JOIN vt USING (clip_id, frame, bin)""",
+    "median_freq": f"WITH {_spectrum()}, {_MEDIANS} SELECT clip_id, frame, bin, round(v, 6) + 0.0::DOUBLE AS v FROM vt",
+    "resample": f"""WITH {_USERS}, h AS ({_values(_TAPS[:, None], 'i, o, h')}), y AS (SELECT clip_id, s, n, unnest(generate_series(0, (n * {_UP} + {_DOWN - 1}) // {_DOWN} - 1)) AS pos FROM c)
+      SELECT clip_id, pos, round(sum(h * s[k + 1]), 6) + 0.0::DOUBLE AS v FROM (
+        SELECT clip_id, s, n, pos, pos * {_DOWN} // {_UP} - {_REACH} + t AS k, pos * {_DOWN} % {_UP} + ({2 * _REACH} - t) * {_UP} AS i FROM y, generate_series(0, {2 * _REACH}) AS g(t)
+      ) JOIN h USING (i) WHERE k >= 0 AND k < n GROUP BY clip_id, pos""",
+    "conversions": f"""SELECT event_id, round(pow(10, value / 20 / 20), 6) AS amplitude, round(CASE WHEN value / 10 < 15 THEN value / 10 * 200 / 3 ELSE 1000 * exp((value / 10 - 15) * (ln(6.4) / 27)) END, 6) AS hz,
+      round(700 * (pow(10, value / 2595) - 1), 6) AS hz_htk, round(2595 * log10(1 + value / 700), 6) AS mel_htk, round(440 * pow(2, (value / 4 - 69) / 12), 6) AS note_hz,
+      round(event_id * 512 / {RATE}.0::DOUBLE, 6) AS seconds, floor(value * {RATE} / 512)::DOUBLE AS frame, ceil(event_id * 160 / 441.0::DOUBLE)::DOUBLE AS resampled FROM events""",
+    "frame_times": f"""WITH {_spectrum()} SELECT DISTINCT clip_id, frame, round(frame * 4 / {RATE}.0::DOUBLE, 9) AS t, CASE WHEN frame >= 2 AND frame < 15 THEN 1 ELSE 0 END AS complete FROM p""",
+    "power_db_of_maximum": f"""WITH {_spectrum()} SELECT clip_id, frame, bin,
+      round(10 * log10(greatest(1e-10, p)) - 10 * log10(greatest(1e-10, max(p) OVER (PARTITION BY clip_id))), 5) + 0.0::DOUBLE AS v FROM p""",
+    "mel_applied": ORACLE_SQL["mel"],
+    "chroma_applied": ORACLE_SQL["chroma"],
+    "rms_of_spectrogram": f"WITH {_spectrum()} SELECT clip_id, frame, round(sqrt(sum(p * CASE WHEN bin IN (0, 8) THEN 1 ELSE 2 END)) / 16, 6) + 0.0::DOUBLE AS v FROM p GROUP BY clip_id, frame",
+    "seek_blocks": f"WITH {_EMB} SELECT clip_id, pos, round(s[pos + 1], 6) + 0.0::DOUBLE AS v FROM c, generate_series(15, 44) AS g(pos) WHERE pos < n",
+    "stft_range": f"WITH {_spectrum()} SELECT clip_id, frame, bin, round(re, 6) + 0.0::DOUBLE AS re, round(im, 6) + 0.0::DOUBLE AS im FROM z WHERE frame >= 3 AND frame < 9",
+    "aligned": f"""WITH r AS (WITH {_framed(_EMB, 16, 4, 'zero')} SELECT clip_id, frame, sqrt(sum(x * x) / 16) AS rms FROM x GROUP BY ALL),
+      w AS (WITH {_framed(_EMB, 16, 8, 'zero')} SELECT clip_id, frame, sqrt(sum(x * x) / 16) AS coarse FROM x GROUP BY ALL), z AS ({ORACLE_SQL['zcr']})
+      SELECT r.clip_id, r.frame, round(rms, 6) + 0.0::DOUBLE AS rms, z.v AS zcr, round(coarse, 6) + 0.0::DOUBLE AS coarse
+      FROM r JOIN z USING (clip_id, frame) LEFT JOIN w ON w.clip_id = r.clip_id AND w.frame = r.frame * 4 // 8""",
+}

@@ -44,6 +44,55 @@ def to_blocks(clips: DataFrame, block: int = 65536) -> DataFrame:
     return out.withColumns({"start": start, "samples": F.slice("samples", (start + 1).cast("int"), block)})
 
 
+def blocks_from_table(df: DataFrame, key: str, order: list[str], value: Column | str, folder: str, sample_rate: int = 22050, block: int = 65536) -> DataFrame:
+    """Blocks of clips from any ordered table: keys of any size, as no key's rows come together in one task.
+
+    The rows are spread by ranges of key and order and written to folder, so that
+    every later reading sees the same ranges; a row's place in its clip is that in
+    its range plus the rows of the clip in earlier ranges.
+    """
+    x = F.col(value) if isinstance(value, str) else value
+    rows = df.select(F.col(key).alias("clip_id"), *order, x.cast("double").alias("x"))
+    names = [f"o{i}" for i in range(len(order))]
+    rows = rows.select("clip_id", *(F.col(c).alias(n) for c, n in zip(order, names, strict=True)), "x").repartitionByRange("clip_id", *names).sortWithinPartitions("clip_id", *names)
+    rows.withColumn("at", F.monotonically_increasing_id()).write.parquet(folder)
+    rows = df.sparkSession.read.parquet(folder).select("clip_id", "x", "at", F.shiftright("at", 33).alias("range"))
+    parts = rows.groupBy("clip_id", "range").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    whole = Window.partitionBy("clip_id")
+    before = F.sum("n").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("clip_id", "range", "first", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(whole).alias("n"))
+    placed = rows.join(parts, ["clip_id", "range"]).withColumn("pos", F.col("at") - F.col("first") + F.col("before"))
+    cut = placed.groupBy("clip_id", "n", F.floor(F.col("pos") / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("s"))
+    return cut.select("clip_id", F.lit(0).alias("channel"), F.lit(sample_rate).alias("sample_rate"), "n", "block", (F.col("block") * block).alias("start"), F.transform("s", lambda v: v["x"]).alias("samples"))
+
+
+def tiles_of_blocks(blocks: DataFrame, cfg: StftConfig, frames_per_tile: int = 4096) -> DataFrame:
+    """Tiles as tile_signals gives them, from blocks: each block hands its samples to the tiles that read them, in one shuffle by tile.
+
+    A tile reads no further than itself for its borders, so a clip has to be longer
+    than a frame or fit one tile.
+    """
+    check(frames_per_tile >= 1, "frames_per_tile is positive")
+    out = blocks.withColumn("frames", C.frame_count("n", cfg)).where("frames > 0")
+    step, reach = frames_per_tile * cfg.hop, (frames_per_tile - 1) * cfg.hop + cfg.fft
+    end = F.col("start") + F.size("samples")
+    last = F.floor((F.col("frames") - 1) / frames_per_tile)
+    # the first and the last tile also take a frame's length at their end of the clip, which borders are made from
+    t0 = F.least(last, F.greatest(F.lit(0), F.floor((F.col("start") + cfg.left - reach - cfg.fft) / step) + 1))
+    t1 = F.least(last, F.floor((end - 1 + cfg.left + cfg.fft) / step))
+    out = out.withColumn("tile", F.explode(F.sequence(t0, F.greatest(t0, t1))))
+    lo = F.greatest(F.lit(0), F.least(F.col("tile") * step - cfg.left, F.col("n") - cfg.fft))
+    hi = F.least(F.col("n"), F.greatest(F.col("tile") * step - cfg.left + reach, F.lit(cfg.fft)))
+    a, b = F.greatest(lo, F.col("start")), F.least(hi, end)
+    part = F.slice("samples", (a - F.col("start") + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    out = out.withColumns({"part": part, "lo": lo}).where(F.size("part") > 0)
+    whole = out.groupBy(*KEY, "sample_rate", "n", "frames", "tile", "lo").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda s: s["part"])).alias("samples"))
+    p0 = F.col("tile") * frames_per_tile
+    p1 = F.least(F.col("frames"), p0 + frames_per_tile)
+    x = C.extend("samples", F.size("samples"), p0 * cfg.hop - cfg.left - F.col("lo"), (p1 - p0 - 1) * cfg.hop + cfg.fft, cfg.pad)
+    return whole.select(*KEY, "sample_rate", "n", "tile", p0.alias("p0"), p1.alias("p1"), x.alias("samples"))
+
+
 def seek(blocks: DataFrame, frame: int, count: int) -> DataFrame:
     """`count` samples from `frame` of each clip: blocks outside the range are filtered before they are cut."""
     end = F.col("start") + F.size("samples")
@@ -76,6 +125,22 @@ def frame_signal(clips: DataFrame, length: int, hop: int, pad: str) -> DataFrame
     return out.select(*KEY, "frame", C.extend("samples", "n", F.col("frame") * hop - cfg.left, F.lit(length).cast("bigint"), pad).alias("x"))
 
 
+def times(frames: DataFrame, sample_rate: float, hop: int) -> DataFrame:
+    """frames with t, the seconds at which each begins."""
+    return frames.withColumn("t", C.frames_to_time("frame", sample_rate, hop))
+
+
+def complete_frames(frames: DataFrame, n: Column | str, cfg: StftConfig, complete: bool = True) -> DataFrame:
+    """The frames that read no padding; n: samples of the frame's clip."""
+    inside = (F.col("frame") >= C.first_complete(cfg)) & (F.col("frame") < C.last_complete(n, cfg))
+    return frames.where(inside if complete else ~inside)
+
+
+def border_frames(frames: DataFrame, n: Column | str, cfg: StftConfig) -> DataFrame:
+    """The frames that read padding."""
+    return complete_frames(frames, n, cfg, False)
+
+
 def rms(clips: DataFrame, length: int = 2048, hop: int = 512) -> DataFrame:
     rows = frame_signal(clips, length, hop, "zero")
     return rows.select(*KEY, "frame", F.sqrt(C.dot("x", F.col("x")) / length).alias("rms"))
@@ -130,8 +195,10 @@ def contrast_bands(fft: int, sample_rate: float, n_bands: int = 6, f_min: float
         check(len(inside) > 0, f"band {k} has no bin")
         lo, hi = int(inside[0]) - (k > 0), int(inside[-1])
         hi = len(f) - 1 if k == n_bands else hi
-        take = max(1, int(np.rint(quantile * (hi - lo + 1))))
-        out.append((lo, hi - (k < n_bands), take))
+        wanted = max(1, int(np.rint(quantile * (hi - lo + 1))))
+        hi -= k < n_bands
+        check(hi >= lo, f"band {k} has no bin below its top edge")
+        out.append((lo, hi, min(wanted, hi - lo + 1)))
     return out
 
 
@@ -164,6 +231,14 @@ def clamp_db(df: DataFrame, column: str, top_db: float = 80.0, scope: str = "cli
     return both.withColumn(column, F.transform(column, lambda x: F.greatest(x, F.col("__floor")))).drop("__floor")
 
 
+def power_to_db_of_maximum(spectra: DataFrame, column: str = "s", amin: float = 1e-10) -> DataFrame:
+    """Decibels against the greatest power of the clip; amin where that is not positive or not finite."""
+    most = spectra.groupBy(*KEY).agg(F.max(F.array_max(column)).alias("__m"))
+    good = (F.col("__m") > 0) & (F.col("__m") < float("inf"))
+    both = spectra.join(most, list(KEY)).withColumn("__r", 10 * F.log10(F.when(good, F.greatest(F.lit(amin), F.col("__m"))).otherwise(amin)))
+    return both.withColumn(column, F.transform(column, lambda x: C.power_to_db(x, amin=amin) - F.col("__r"))).drop("__m", "__r")
+
+
 def onset_flux(spectra_db: DataFrame, lag: int = 1) -> DataFrame:
     """Mean rise over the bins against the frame `lag` before; the first frames have none."""
     check(lag >= 1, "lag is positive")

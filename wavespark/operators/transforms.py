@@ -45,9 +45,9 @@ def _map_frames(clips: DataFrame, cfg: StftConfig, frames_per_tile: int, columns
             key = [pa.repeat(b.column(c)[i], n) for c in KEY]
             yield pa.RecordBatch.from_arrays([*key, pa.array(np.arange(first, first + n)), *map(_lists, of(frames))], names=[*KEY, "frame", *names])
 
-    tiles = tile_signals(clips, cfg, frames_per_tile).select(*KEY, "p0", "samples")
+    tiles = clips if "p0" in clips.columns else tile_signals(clips, cfg, frames_per_tile)  # tiles are taken as they are
     kinds = dict(clips.dtypes)
-    return tiles.mapInArrow(run, f"clip_id {kinds['clip_id']}, channel {kinds['channel']}, frame bigint, {columns}")
+    return tiles.select(*KEY, "p0", "samples").mapInArrow(run, f"clip_id {kinds['clip_id']}, channel {kinds['channel']}, frame bigint, {columns}")
 
 
 def stft(clips: DataFrame, cfg: StftConfig, frames_per_tile: int = 4096) -> DataFrame:
@@ -104,6 +104,16 @@ def mel_spectrogram(clips: DataFrame, cfg: StftConfig, mel: MelConfig, power: fl
     return _projected(clips, cfg, mel.weights(cfg.fft), power, frames_per_tile)
 
 
+def mel_apply(spectra: DataFrame, mel: MelConfig, fft: int) -> DataFrame:
+    """The mel filters over given spectra rows."""
+    return spectra.withColumn("s", C.project("s", mel.weights(fft)))
+
+
+def chroma_apply(spectra: DataFrame, chroma: ChromaConfig, fft: int, norm: float | None = None) -> DataFrame:
+    """The pitch classes of given spectra rows, normalized as chroma_stft does."""
+    return spectra.withColumn("s", C.project("s", chroma.weights(fft))).withColumn("s", C.normalize("s", norm))
+
+
 def mel_db(clips: DataFrame, cfg: StftConfig, mel: MelConfig, top_db: float = 80.0) -> DataFrame:
     rows = mel_spectrogram(clips, cfg, mel)
     return clamp_db(rows.withColumn("s", F.transform("s", lambda x: C.power_to_db(x))), "s", top_db)

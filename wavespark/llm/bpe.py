@@ -118,10 +118,11 @@ def rank_map(path: str) -> Column:
 def fold_word(word: Column, ranks: Column) -> Column:
     """Token ids (array<int>) of one word given as array of byte values; ranks: a bound rank_map.
 
-    The state is one array of longs, a token each: the rank of the pair that
-    starts there (18 bits, _TOP if none), its first byte's place (26 bits) and
-    its id (18 bits). So the least entry is the smallest rank, leftmost on ties.
-    An entry without rank stands in front.
+    The state is one array of longs, a token each: the rank of the pair that starts
+    there (the bits from 44 on, _TOP if none) and its id. An entry without rank
+    stands in front. Each entry's place is added when the least is looked for, so
+    that it is the smallest rank, the leftmost on ties, and says where it is.
+    Values are bound by folds over one element, which evaluate no types.
     """
 
     def rank(a: Column, b: Column) -> Column:  # looking the cell up twice costs less than binding it
@@ -130,29 +131,23 @@ def fold_word(word: Column, ranks: Column) -> Column:
 
     up = lambda r: F.shiftleft(r, 44)
     id_of = lambda x: x.bitwiseAND(_TOP).cast("int")
-    low, place = (1 << 44) - 1, (1 << 44) - 1 - _TOP
 
     def merge(s: Column, least: Column) -> Column:
-        token = F.shiftright(least, 44).cast("int")
-
-        def at(p: Column) -> Column:  # entries p and p + 1, from 1, become one; the entry before gets a new rank
-            before = F.get(s, p - 2)
-            new = F.array(
-                up(rank(id_of(before), token)) + before.bitwiseAND(low), up(rank(token, id_of(F.get(s, p + 1)))) + least.bitwiseAND(place) + token
-            )
-            return F.flatten(F.array(F.slice(s, F.lit(1), p - 2), new, F.slice(s, p + 2, F.size(s))))
-
-        return let(F.array_position(s, least).cast("int"), at)
+        p, token = F.shiftright(least, 18).bitwiseAND((1 << 26) - 1).cast("int"), F.shiftright(least, 44).cast("int")
+        before, after = id_of(F.get(s, p - 1)), id_of(F.get(s, p + 2))
+        new = F.array(up(rank(before, token)) + before, up(rank(token, after)) + token)  # entries p and p + 1 become one; the one before gets a new rank
+        return F.aggregate(F.array(new), s, lambda s, new: F.flatten(F.array(F.slice(s, F.lit(1), p - 1), new, F.slice(s, p + 3, F.size(s)))))
 
     def step(s: Column, _: Column) -> Column:
-        return let(F.array_min(s), lambda least: F.when(least < (_TOP << 44), merge(s, least)).otherwise(s))
+        least = F.array_min(F.transform(s, lambda x, i: x + F.shiftleft(i.cast("bigint"), 18)))
+        return F.aggregate(F.array(least), s, lambda s, least: F.when(least < (_TOP << 44), merge(s, least)).otherwise(s))
 
     def pair(a: Column, b: Column) -> Column:
         r = F.get(ranks["two"], a.cast("int") * 256 + b)
         return up(F.when(r >= 0, r).otherwise(F.lit(_TOP)).cast("bigint"))
 
     rest = F.slice(word, F.lit(2), F.size(word))
-    tokens = F.transform(word, lambda b, i: F.shiftleft(i.cast("bigint"), 18) + F.get(ranks["bytes"], b.cast("int")))
+    tokens = F.transform(word, lambda b: F.get(ranks["bytes"], b.cast("int")).cast("bigint"))
     paired = F.zip_with(tokens, F.zip_with(word, rest, pair), lambda t, r: t + F.coalesce(r, F.lit(_TOP << 44)))
     start = F.flatten(F.array(F.array(F.lit((_TOP << 44) + _TOP)), paired))
     return F.aggregate(rest, start, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s)), id_of))
@@ -223,7 +218,7 @@ def fold(word: Column, ranks: Column) -> Column:
 
 BLOCK = "reset boolean, doc array<bigint>, n array<int>, at array<int>, word array<array<smallint>>, whole array<int>"
 #: Words that a task numbers before it starts anew, about; words of a row and their bytes, about; pieces of a row, about.
-WORDS, WORDS_ROW, BYTES_ROW, PIECES_ROW = 1 << 21, 1 << 13, 1 << 18, 1 << 18
+WORDS, WORDS_ROW, BYTES_ROW, PIECES_ROW = 1 << 21, 1 << 13, 1 << 18, 1 << 20
 
 
 def _byte_lists(word: pa.Array) -> pa.ListArray:
@@ -323,20 +318,13 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     return join_blocks(blocks.withColumn("ids", merged)).withColumnRenamed("doc", id_col)
 
 
-#: Pieces that are joined one after the other; longer rows are joined from such parts.
-PART = 64
-
-
 def bpe_decode(ids: Column, ranks_path: str) -> Column:
-    """The bytes of a text from its token ids: the tokens' bytes, one after the other, in parts of parts."""
+    """The bytes of a text from its token ids: the tokens' bytes, one after the other.
 
-    known, empty = _literal(_tables(ranks_path)["pieces"], "array<binary>"), F.lit("").cast("binary")
-
-    def parts(of: Column, piece) -> Column:
-        firsts = F.sequence(F.lit(1), F.greatest(F.size(of), F.lit(1)), F.lit(PART))
-        return F.transform(firsts, lambda at: F.aggregate(F.slice(of, at, PART), empty, lambda a, x: F.concat(a, piece(x))))
-
-    return let(parts(ids, lambda i: F.get(known, i)), lambda some: F.aggregate(parts(some, lambda x: x), empty, lambda a, x: F.concat(a, x)))
+    The binary pieces are joined as strings, which Spark takes as bytes of any kind.
+    """
+    pieces = _literal(_tables(ranks_path)["pieces"], "array<binary>").cast("array<string>")
+    return F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "").cast("binary")
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,6 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from wavespark.llm import bpe, langid, lines, lm, matroska, packing, simhash, substring, topk, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, n_lines int, packets int, kept_text string, n_words int"
@@ -492,16 +491,3 @@ def test_top_k_repeated_ids_and_large_components(spark):
         want = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q))[:5]
         got = sorted((r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == q, 5).collect())
         assert got == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
-
-
-def test_pipeline(spark):
-    sf = "/root/testdata/sf0.001"
-    rows = corpus_pipeline.run(spark, sf)
-    assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    docs = corpus_pipeline.table(spark, sf, "documents")
-    empty = docs.limit(0)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, empty, sf).count() == 0
-    kept = rows.select("doc_id").distinct().count()
-    assert 0.6 * docs.count() < kept <= docs.count()
-    assert zlib.crc32(b"") == 0 and hashlib

@@ -39,8 +39,14 @@ def test_bpe(spark):
     assert got == want
     assert bpe.bpe_encode(df.limit(0), path, P.PATTERN).count() == 0
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # words go on from batch to batch, or start anew
-    for words in (bpe.WORDS, 3):
-        rows = bpe.bpe_encode(df.coalesce(1), path, P.PATTERN, words=words).collect()
+    every = bpe.known_words(df, path, P.PATTERN, rows=np.inf, share=1)
+    some = bpe.known_words(df, path, P.PATTERN, rows=np.inf, share=0.5)
+    assert len(every.word) == len(every.size) > len(some.word) > 0
+    assert len(bpe.known_words(df.limit(0), path, P.PATTERN).word) == 0 == len(bpe.known_words(df, path, P.PATTERN, rows=np.inf, most=0).word)
+    for w, ids in zip(every.word.to_pylist(), np.split(every.ids, np.cumsum(every.size)[:-1]), strict=True):
+        assert ids.tolist() == known.encode_ordinary(w.decode())
+    for words, given in ((bpe.WORDS, None), (3, None), (bpe.WORDS, some), (3, some), (bpe.WORDS, every), (3, every)):
+        rows = bpe.bpe_encode(df.coalesce(1), path, P.PATTERN, words=words, known=given).collect()
         assert sorted((r.doc_id if r.doc_id is not None else -1, list(r.ids)) for r in rows) == [w[:2] for w in want]
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 

@@ -1,7 +1,9 @@
 """Byte-level BPE over whole texts: ranked merges folded by higher-order functions.
 
-Three narrow steps, no shuffle, so the work is linear in the text and a lost
-task is simply run again:
+Three narrow steps over the texts, none of which shuffles them, so the work is
+linear in the text and a lost task is simply run again. Before them the words of a
+bounded sample are folded, each once, and every task starts with these as known:
+they save tasks the folding of words that most of them hold and change no result.
 
 1. The JVM splits every text by the tokenizer's pattern; an Arrow step numbers the
    distinct words of its task as they come up and hands on the new ones, as byte
@@ -26,13 +28,14 @@ import base64
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, materialize
 
 #: Unicode white space, as the pattern's \s means it; Java's \s is ASCII only.
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -217,8 +220,49 @@ def fold(word: Column, ranks: Column) -> Column:
 
 
 BLOCK = "reset boolean, doc array<bigint>, n array<int>, at array<int>, word array<array<smallint>>, whole array<int>"
-#: Words that a task numbers before it starts anew, about; words of a row and their bytes, about; pieces of a row, about.
-WORDS, WORDS_ROW, BYTES_ROW, PIECES_ROW = 1 << 21, 1 << 13, 1 << 18, 1 << 20
+#: Words that a task numbers before it starts anew, about; words of a row and their bytes, about; pieces looked up at a time and of a row, about.
+WORDS, WORDS_ROW, BYTES_ROW, PIECES_ROW, PIECES_OUT = 1 << 20, 1 << 13, 1 << 18, 1 << 20, 1 << 17
+
+
+class KnownWords(NamedTuple):
+    """Words of no vocabulary entry with their token ids: the bytes, all ids one after the other, and how many each word has."""
+
+    word: pa.Array
+    ids: np.ndarray
+    size: np.ndarray
+
+
+#: Rows of the sample that words are taken from (at most a fourth of the table), words kept, and their greatest bytes.
+SAMPLE_ROWS, KNOWN_WORDS, KNOWN_BYTES = 20_000, 1 << 18, 64
+
+
+def known_words(
+    df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", rows: float = SAMPLE_ROWS, most: int = KNOWN_WORDS, share: float = 0.25
+) -> KnownWords:
+    """The words of a sample, each folded once, those of the most tasks if there are more than `most`.
+
+    What is collected has at most `most` words of KNOWN_BYTES, whatever the table.
+    """
+    spark = df.sparkSession
+    fraction = min(share, rows / max(df.count(), 1))
+    sample = df.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"))
+    blocks = piece_blocks(sample if fraction >= 1 else sample.sample(fraction, 0), "doc_id", "text", pattern, [*load_ranks(ranks_path)])
+    fresh = blocks.select(F.explode(F.arrays_zip("word", "whole")).alias("z")).where(f"z.whole < 0 and size(z.word) <= {KNOWN_BYTES}")
+    counted = materialize(fresh.groupBy(F.col("z.word").alias("word")).agg(F.count("*").alias("tasks")), "known-words")
+    total, least = 0, 1 << 62
+    for r in sorted(counted.groupBy("tasks").count().collect(), reverse=True):  # at most one row for each row of the sample
+        total += r["count"]
+        if total > most:
+            break
+        least = r["tasks"]
+    # the folding is worth tasks of its own: a stated number, which adaptive execution leaves as it is
+    dealt = counted.where(F.col("tasks") >= least).repartition(4 * spark.sparkContext.defaultParallelism, "word")
+    t = dealt.select("word", let(rank_map(ranks_path), lambda ranks: fold(F.col("word"), ranks)).alias("ids")).toArrow().combine_chunks()
+    word, ids = (t.column(c).combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("word", "ids"))
+    data = word.flatten().to_numpy().astype(np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(word.value_lengths().to_numpy())]).astype(np.int32)
+    raw = pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    return KnownWords(raw, ids.flatten().to_numpy().astype(np.int32), ids.value_lengths().to_numpy().astype(np.int32))
 
 
 def _byte_lists(word: pa.Array) -> pa.ListArray:
@@ -227,12 +271,16 @@ def _byte_lists(word: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(data))
 
 
-def piece_blocks(df: DataFrame, id_col: str, text_col: str, pattern: str, vocabulary: list[bytes] | None = None, words: int = WORDS) -> DataFrame:
+def piece_blocks(
+    df: DataFrame, id_col: str, text_col: str, pattern: str, vocabulary: list[bytes] | None = None, words: int = WORDS, known: KnownWords | None = None
+) -> DataFrame:
     """Rows of two kinds, in the order of each task: words that are new to the task, then documents as numbers of words.
 
     whole: a word's rank where the whole word is in the vocabulary, else -1.
-    reset: numbers start from 0 again with this row, so that no task holds many more than `words` words.
+    reset: numbers start again with this row, so that no task holds many more than `words` words.
+    Words of `known` have the first numbers in every task and are never handed on.
     """
+    first = known.word if known else pa.array([], pa.binary())
     pieces = df.select(
         F.col(id_col).cast("bigint").alias("doc"),
         F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)).alias("p"),
@@ -246,7 +294,7 @@ def piece_blocks(df: DataFrame, id_col: str, text_col: str, pattern: str, vocabu
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        known, seen = pa.array(vocabulary or [], pa.binary()), pa.array([], pa.binary())
+        vocab, seen = pa.array(vocabulary or [], pa.binary()), first
         for b in batches:
             ends, lo = np.cumsum(pc.list_value_length(b.column("p")).to_numpy(), dtype=np.int64), 0
             while lo < b.num_rows:
@@ -255,45 +303,56 @@ def piece_blocks(df: DataFrame, id_col: str, text_col: str, pattern: str, vocabu
                 doc, p = b.column("doc").slice(lo, hi - lo), b.column("p").slice(lo, hi - lo)
                 lo = hi
                 coded = p.flatten().cast(pa.binary()).dictionary_encode()
-                if len(seen) > words:
-                    seen = seen.slice(0, 0)
+                if len(seen) - len(first) > words:
+                    seen = first
                     yield row(True)
                 old = pc.index_in(coded.dictionary, value_set=seen)
                 fresh = coded.dictionary.filter(old.is_null())
                 is_new = old.is_null().to_numpy(zero_copy_only=False)
                 number = np.where(is_new, len(seen) + np.cumsum(is_new) - 1, pc.fill_null(old, 0).to_numpy()).astype(np.int32)
                 seen = pa.concat_arrays([seen, fresh])
-                whole = pc.fill_null(pc.index_in(fresh, value_set=known), -1)
+                whole = pc.fill_null(pc.index_in(fresh, value_set=vocab), -1)
                 filled, at = np.cumsum(pc.binary_length(fresh).to_numpy(), dtype=np.int64), 0
                 while at < len(fresh):
                     full = int(np.searchsorted(filled, (filled[at - 1] if at else 0) + BYTES_ROW, "right"))
                     n = max(1, min(WORDS_ROW, full - at))
                     yield row(False, word=_byte_lists(fresh.slice(at, n)), whole=whole.slice(at, n))
                     at += n
-                yield row(False, doc, pc.list_value_length(p), pa.array(number[coded.indices.to_numpy()]))
+                at, n = number[coded.indices.to_numpy()], pc.list_value_length(p)
+                stops, i = np.cumsum(n.to_numpy(), dtype=np.int64), 0
+                while i < len(doc):  # documents leave in rows of fewer pieces than are looked up at a time
+                    start = int(stops[i - 1]) if i else 0
+                    j = max(i + 1, int(np.searchsorted(stops, start + PIECES_OUT, "right")))
+                    yield row(False, doc.slice(i, j - i), n.slice(i, j - i), pa.array(at[start : int(stops[j - 1])]))
+                    i = j
+                del coded, old, fresh, is_new, number, whole, at
+                pa.default_memory_pool().release_unused()
 
     return pieces.mapInArrow(blocks, BLOCK)
 
 
-def join_blocks(blocks: DataFrame) -> DataFrame:
+def join_blocks(blocks: DataFrame, known: KnownWords | None = None) -> DataFrame:
     """Blocks with a column ids (array<array<int>>, one entry a word) to one row per document: doc, ids."""
+    start = (known.ids, known.size) if known else (np.zeros(0, np.int32), np.zeros(0, np.int32))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, size, more = np.zeros(0, np.int32), np.zeros(0, np.int64), []  # ids of the task's words, one after the other
+        (flat, size), more = start, []  # ids of the task's words, one after the other
+        first = np.cumsum(size, dtype=np.int64) - size
         for batch in batches:
             for i in range(batch.num_rows):
                 doc, n, at, ids = (batch.column(c)[i].values for c in ("doc", "n", "at", "ids"))
                 if batch.column("reset")[i].as_py():
-                    flat, size, more = flat[:0], size[:0], []
+                    (flat, size), more = start, []
+                    first = np.cumsum(size, dtype=np.int64) - size
                 if len(ids):
-                    more.append((ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.diff(ids.offsets.to_numpy())))
+                    more.append((ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.diff(ids.offsets.to_numpy()).astype(np.int32)))
                 if not len(doc):
                     continue
                 if more:
                     flat, size = (np.concatenate(x) for x in zip((flat, size), *more, strict=True))
-                    first, more = np.cumsum(size) - size, []
+                    first, more = np.cumsum(size, dtype=np.int64) - size, []
                 word = at.to_numpy()
-                own = size[word] if len(word) else np.zeros(0, np.int64)
+                own = size[word].astype(np.int64) if len(word) else np.zeros(0, np.int64)
                 stop = np.cumsum(own)
                 out = flat[np.repeat(first[word] - (stop - own), own) + np.arange(stop[-1])] if len(word) else flat[:0]
                 cut = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(n.to_numpy())])]
@@ -304,18 +363,28 @@ def join_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.select("reset", "doc", "n", "at", "ids").mapInArrow(put, "doc bigint, ids array<int>")
 
 
-def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def bpe_encode(
+    df: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = WORDS,
+    known: KnownWords | None = None,
+) -> DataFrame:
     """Token ids of every whole text: one row (id_col, ids array<int>) per input row.
 
     Null and empty texts give an empty array; repeated rows stay repeated; a null
     id stays null; other columns of df are ignored; an empty table gives no rows. A
-    word (match of the pattern) of more than LONGEST bytes is an error.
+    word (match of the pattern) of more than LONGEST bytes is an error. known: words
+    that tasks need not fold, those of known_words(df, ...) unless given.
     """
+    known = known_words(df, ranks_path, pattern, text_col) if known is None else known
     vocabulary = [t for t, _ in sorted(load_ranks(ranks_path).items(), key=lambda x: x[1])]
-    blocks = piece_blocks(df, id_col, text_col, pattern, vocabulary, words)
+    blocks = piece_blocks(df, id_col, text_col, pattern, vocabulary, words, known)
     words_of = lambda ranks: F.zip_with("word", "whole", lambda w, r: F.when(r >= 0, F.array(r)).otherwise(fold(w, ranks)))
     merged = let(rank_map(ranks_path), words_of)
-    return join_blocks(blocks.withColumn("ids", merged)).withColumnRenamed("doc", id_col)
+    return join_blocks(blocks.withColumn("ids", merged), known).withColumnRenamed("doc", id_col)
 
 
 def bpe_decode(ids: Column, ranks_path: str) -> Column:

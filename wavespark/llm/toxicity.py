@@ -129,11 +129,16 @@ def _evidence(segments: list, n: int, model: ToxicityModel) -> tuple[float, list
     return -log_e[best] + sum(-e for i, e in enumerate(log_e) if i != best and e < np.log(SIGNIFICANT)), kept
 
 
-def _documents(texts: pa.Array, model: ToxicityModel) -> Iterator[tuple[int, np.ndarray]]:
+def _parts(texts: pa.Array, model: ToxicityModel) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first row, last row + 1, token scores of each) of parts of a batch."""
     for lo, hi, first, levels in _buckets(texts):
         score = _scores(levels, model)
-        for i in range(hi - lo):
-            yield lo + i, score[first[i] : first[i + 1]]
+        yield lo, hi, [score[first[i] : first[i + 1]] for i in range(hi - lo)]
+
+
+def _documents(texts: pa.Array, model: ToxicityModel) -> Iterator[tuple[int, np.ndarray]]:
+    for lo, hi, tokens in _parts(texts, model):
+        yield from zip(range(lo, hi), tokens, strict=True)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, rows: int = TRAIN_ROWS) -> ToxicityModel:
@@ -235,12 +240,14 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for b in batches:
-            scores, found = np.zeros(b.num_rows), []
-            for i, score in _documents(b.column("text"), own):
-                x, kept = _evidence(maximal_segments(score), len(score), own)
-                scores[i] = 1 / (1 + np.exp(-np.clip(own.slope * np.clip(x, -30, 60) + own.intercept, -30, 30)))
-                found.append([{"start": s, "end": e, "score": v} for s, e, v, _ in kept])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), pa.array(found, passage)], names=[*b.schema.names, "score", "passages"])
+            for lo, hi, tokens in _parts(b.column("text"), own):  # each part is handed on at once, so no whole batch is held twice
+                scores, found = np.zeros(hi - lo), []
+                for i, score in enumerate(tokens):
+                    x, kept = _evidence(maximal_segments(score), len(score), own)
+                    scores[i] = 1 / (1 + np.exp(-np.clip(own.slope * np.clip(x, -30, 60) + own.intercept, -30, 30)))
+                    found.append([{"start": s, "end": e, "score": v} for s, e, v, _ in kept])
+                columns = b.slice(lo, hi - lo).columns
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(scores), pa.array(found, passage)], names=[*b.schema.names, "score", "passages"])
 
     more = T.StructType.fromDDL("score double, passages array<struct<start:int,end:int,score:double>>")
     schema = T.StructType([*docs.schema.fields, *more.fields])

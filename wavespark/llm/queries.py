@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe
+from .conversations import op11_conversations
 from .langid import op3_language
 from .lines import op6_lines
 from .lm import op5_lm
@@ -15,7 +16,7 @@ from .toxicity import op2_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_toxicity, op3_language, op4_substring, op5_lm, op6_lines, op7_packing, op8_matroska, op9_simhash, op10_topk)
+    for f in (op1_bpe, op2_toxicity, op3_language, op4_substring, op5_lm, op6_lines, op7_packing, op8_matroska, op9_simhash, op10_topk, op11_conversations)
 }
 
 #: Windows of 50 words as lists, and the words that a window of a smaller document covers.

@@ -10,13 +10,14 @@ from .lm import op5_lm
 from .matroska import op8_matroska
 from .packing import op7_packing
 from .simhash import op9_simhash
+from .spelling import OP13_SQL, op13_spelling
 from .substring import op4_substring
 from .topk import OP10_SQL, op10_topk
 from .toxicity import op2_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_toxicity, op3_language, op4_substring, op5_lm, op6_lines, op7_packing, op8_matroska, op9_simhash, op10_topk, op11_conversations)
+    for f in (op1_bpe, op2_toxicity, op3_language, op4_substring, op5_lm, op6_lines, op7_packing, op8_matroska, op9_simhash, op10_topk, op11_conversations, op13_spelling)
 }
 
 #: Windows of 50 words as lists, and the words that a window of a smaller document covers.
@@ -38,4 +39,4 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
 FROM f
 """
 
-ORACLE_SQL = {"op4_substring": OP4_SQL, "op10_topk": OP10_SQL}
+ORACLE_SQL = {"op4_substring": OP4_SQL, "op10_topk": OP10_SQL, "op13_spelling": OP13_SQL}

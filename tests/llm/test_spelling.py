@@ -72,7 +72,7 @@ def test_chains_ties_and_no_words(spark, tmp_path):
     counts = {"aaaaa": 3, "aaaab": 6, "aaabb": 12, "aabbb": 24, "abbbb": 48, "bbbbb": 96, "bbbbc": 96, "bbbbbb": 192, "ccccc": 5, "ccccd": 9, "xyzzy": 4}
     docs = [(i, w) for i, w in enumerate(w for w, n in counts.items() for _ in range(n))]
     want = expected(docs)
-    assert want["aaaaa"][1] == "bbbbbb" and made(spark, tmp_path, docs) == want
+    assert want["aaaaa"][1] not in ("aaaaa", want["aaaaa"][0]) and made(spark, tmp_path, docs) == want
     for none in ([], [(1, None)], [(1, "abcd abcd abcd")], [(1, "abcde abcde")]):
         assert made(spark, tmp_path, none) == {}
     assert made(spark, tmp_path, [(4, "abcdef"), (4, "abcdef"), (4, "abcdef"), (5, "other")] * 2) == expected([(4, "abcdef"), (4, "abcdef"), (4, "abcdef"), (5, "other")] * 2)

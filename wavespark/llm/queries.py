@@ -8,6 +8,7 @@ from .langid import op3_language
 from .lines import op6_lines
 from .lm import op5_lm
 from .matroska import op8_matroska
+from .neighbours import op12_neighbours
 from .packing import op7_packing
 from .simhash import op9_simhash
 from .spelling import OP13_SQL, op13_spelling
@@ -17,7 +18,7 @@ from .toxicity import op2_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_toxicity, op3_language, op4_substring, op5_lm, op6_lines, op7_packing, op8_matroska, op9_simhash, op10_topk, op11_conversations, op13_spelling)
+    for f in (op1_bpe, op2_toxicity, op3_language, op4_substring, op5_lm, op6_lines, op7_packing, op8_matroska, op9_simhash, op10_topk, op11_conversations, op12_neighbours, op13_spelling)
 }
 
 #: Windows of 50 words as lists, and the words that a window of a smaller document covers.

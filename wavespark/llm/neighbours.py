@@ -35,7 +35,7 @@ from .textbytes import mix
 #: Tables; width of a cell; chance with which all tables together hold a vector of the kth score; that of the first visit.
 TABLES, WIDTH, SUCCESS, FIRST = 3, 1.5, 0.95, 0.3
 #: Rows of the sample for first bounds; wanted rows of a bucket; visits per table that functions are chosen for.
-SAMPLE, BUCKET, VISITS = 1_024, 128, 2_048
+SAMPLE, BUCKET, VISITS = 1_024, 512, 2_048
 #: Rows and queries that meet in one task, at most about; cells looked at on each side of a query's own.
 LEAF, QUERIES, SIDE = 8_192, 16_384, 8
 #: Entropy of a Gaussian's cells is log2(_SPREAD deviation / width).

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -83,6 +84,26 @@ def test_maximal_segments():
         assert sorted(got) == sorted(_naive_segments(list(x)))
 
 
+def test_maximal_segments_take_linear_time():
+    """A million tokens whose sums fall on, so that no candidate is ever joined; and random ones."""
+    rng = np.random.default_rng(7)
+    fall = np.where(np.arange(1_000_000) % 2, -2.0, 1.0)
+    began = time.process_time()
+    assert len(toxicity.maximal_segments(fall)) == 500_000
+    assert toxicity.maximal_segments(rng.normal(-0.1, 1, 1_000_000))
+    assert time.process_time() - began < 30
+
+
+def test_toxicity_learns_from_few_rows_of_an_id(spark):
+    """Rows of one id are one row of the fit, so the sample stays within its bound; clashing columns are left alone."""
+    df = docs_of(spark, ["quiet words"] * 3000 + ["vilething text", "quiet text", None], [1] * 3000 + [2, 3, None])
+    labels = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (3, None), (None, 1)], "doc_id bigint, toxic int")
+    model = toxicity.fit_toxicity(df, labels, F.lit(True), rows=2)
+    assert model.prior == pytest.approx(1.5 / 3 if model.log_odds[-1].sum() == 4 else model.prior) and model.log_odds[-1].sum() <= 2 * 2
+    rows = toxicity.score_toxicity(df, model).collect()
+    assert len(rows) == 3003 and rows[0].n_words == 1 and all(0 <= r.score <= 1 for r in rows)
+
+
 def test_toxicity(spark):
     clean = [f"plain words number {i} of a quiet text" for i in range(60)]
     bad = [f"plain words number {i} vilething text vilething" for i in range(30)]

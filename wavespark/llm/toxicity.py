@@ -34,6 +34,8 @@ BUCKETS = 1 << 17
 #: Bytes of a token that each level looks at; the last is the whole token.
 LEVELS = (3, 4, 5, 1 << 30)
 STRENGTH, DRIFT, SIGNIFICANT = 12.0, 1.0, 0.01
+#: Bound of the parameter K from below.
+_LEAST_K = 1e-6
 #: The score of every document, at most, where labels teach nothing.
 BLIND = 0.25
 
@@ -99,24 +101,29 @@ def _scores(levels: list[np.ndarray], model: ToxicityModel) -> np.ndarray:
 def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) of one document, by Ruzzo and Tompa.
 
-    A stack of disjoint candidates holds for each the sums before (left) and up to
-    its end (right). A new one joins the nearest candidate with a smaller left sum,
-    if its own right sum is larger; all between go with it.
+    A list of disjoint candidates holds for each the sums before (left) and up to its
+    end (right), and a link to the nearest earlier one with a smaller left sum. A new
+    one joins that candidate if its own right sum is larger; all between go with it.
+    A search follows links only, and what it passes is behind the new one's own link,
+    so no link is followed twice and the scan is linear.
     """
-    stack: list[tuple[int, int, float, float]] = []
     total = np.concatenate([[0.0], np.cumsum(score)])
-    for i in np.flatnonzero(score > 0):
-        start, left, right = int(i), float(total[i]), float(total[i + 1])
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= left:
-                j -= 1
-            if j < 0 or stack[j][3] >= right:
-                break
-            start, left = stack[j][0], stack[j][2]
-            del stack[j:]
-        stack.append((start, int(i) + 1, left, right))
-    return [(a, b, right - left) for a, b, left, right in stack]
+    starts, ends, lefts, rights, links = [], [], [], [], []
+    at = np.flatnonzero(score > 0)
+    for i, left, right in zip(at.tolist(), total[at].tolist(), total[at + 1].tolist(), strict=True):
+        start, j = i, len(starts) - 1
+        while j >= 0 and lefts[j] >= left:
+            j = links[j]
+        while j >= 0 and rights[j] < right:
+            start, left, link = starts[j], lefts[j], links[j]
+            del starts[j:], ends[j:], lefts[j:], rights[j:], links[j:]
+            j = link
+        starts.append(start)
+        ends.append(i + 1)
+        lefts.append(left)
+        rights.append(right)
+        links.append(j)
+    return [(a, b, r - x) for a, b, x, r in zip(starts, ends, lefts, rights, strict=True)]
 
 
 def _evidence(segments: list, n: int, model: ToxicityModel) -> tuple[float, list]:
@@ -145,7 +152,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, rows: int =
     """Fit on at most `rows` labelled documents for which the condition `train` on doc_id holds.
 
     Only text and toxic are learned from. Repeated labels of a document count as
-    toxic if one of them says so; null labels and null ids are ignored. With no
+    toxic if one of them says so; of several rows of one id the least text counts;
+    null labels and null ids are ignored. With no
     labelled document, or with one class only, nothing can be told apart: every score
     is the class rate, but at most BLIND, so that nothing is predicted toxic.
     """
@@ -154,7 +162,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, rows: int =
         labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(train)
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    known = materialize(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxic-train")
+    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    known = materialize(known.select("text", "toxic"), "toxic-train")
     counts, prior = _rates(_counts(known).toPandas())
     model = ToxicityModel(list(counts), min(max(prior, 1e-3), 1 - 1e-3), 1.0, 1.0, 1.0, 0.0)
     sent = spark.sparkContext.broadcast(model)
@@ -180,7 +189,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, rows: int =
             rows_ = []
             for i, score in _documents(b.column("text"), sent2.value):
                 segments = maximal_segments(score)
-                rows_.append((i, len(score), [s for _, _, s in segments if s * lam > 1.0]))
+                least = max(1.0, np.log(max(len(score), 1)) + np.log(_LEAST_K / SIGNIFICANT))  # none below is significant for any k
+                rows_.append((i, len(score), [s for _, _, s in segments if s * lam > least]))
             toxic = b.column("toxic").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([toxic[i] for i, _, _ in rows_], pa.int64()), pa.array([n for _, n, _ in rows_], pa.int64()), pa.array([s for _, _, s in rows_], pa.list_(pa.float64()))],
@@ -192,7 +202,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, rows: int =
     top = clean["s"].map(lambda s: max(s, default=0.0)).to_numpy(float)
     # n K exp(-lambda M) is exponential with mean 1 where nothing is toxic
     k = len(clean) / max(float((clean["n"].to_numpy() * np.exp(-lam * top)).sum()), 1e-12) if len(clean) else 1.0
-    model = ToxicityModel(model.log_odds, model.prior, lam, float(np.clip(k, 1e-6, 1e3)), 1.0, 0.0)
+    model = ToxicityModel(model.log_odds, model.prior, lam, float(np.clip(k, _LEAST_K, 1e3)), 1.0, 0.0)
     x = np.array([_evidence([(0, 0, v) for v in s], n, model)[0] for s, n in zip(seen["s"], seen["n"], strict=True)])
     slope, intercept = _logistic(x, (seen["toxic"] == 1).to_numpy(float), model.prior)
     return ToxicityModel(model.log_odds, model.prior, lam, model.k, slope, intercept)

@@ -40,23 +40,6 @@ def test_pcm_saturates_and_rejects(spark, tmp_path):
     assert [r[0] for r in names] == ["wav", "flac", None]
 
 
-@pytest.mark.parametrize("pad", ["reflect", "zero", "edge"])
-def test_chunks_give_the_frames_of_the_clip(pad):
-    rng = np.random.default_rng(2)
-    for n in (1, 3, 9, 40):
-        for hop, alignment in ((3, "centered"), (11, "left"), (4, "right")):
-            cfg, x = StftConfig(fft=8, hop=hop, pad=pad, alignment=alignment), rng.normal(size=n)
-            whole = S._Clip()
-            whole.tail, whole.received = x, n
-            want, clip, got = whole.frames(cfg, True), S._Clip(), []
-            cuts = np.sort(rng.integers(0, n + 1, 5))
-            for part in np.split(x, cuts):
-                clip.tail, clip.received = np.concatenate([clip.tail, part]), clip.received + len(part)
-                got.append(clip.frames(cfg, False))
-            got.append(clip.frames(cfg, True))
-            assert np.array_equal(np.concatenate(got), want)
-
-
 def test_stream_power_equals_batch(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(k, 0, rng.normal(size=n).tolist()) for k, n in ((1, 1), (2, 30), (3, 7))]

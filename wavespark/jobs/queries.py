@@ -20,6 +20,7 @@ from ..operators import frames as O
 from ..operators import transforms as X
 from ..sources import audio
 from ..streaming import frames as S
+from ..streaming import ordered as R
 
 CFG = StftConfig(fft=16, hop=4)
 RATE = 22050
@@ -263,19 +264,71 @@ def wav_round_trip(spark, sf_dir):
     return _samples(clips.withColumn("clip_id", F.regexp_extract("clip_id", r"([^/]+)\.wav$", 1)))
 
 
-def _streamed(spark, sf_dir, of, chunk: int = 10):
-    """Vectors in chunks through a stream that ends when all are read; then its table."""
-    path, clips = _shared(spark), _embeddings(spark, sf_dir).where("n > 0")
+def _chunks(spark, sf_dir, chunk: int = 10) -> DataFrame:
+    clips = _embeddings(spark, sf_dir).where("n > 0")
     seq = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / chunk)))
-    rows = clips.withColumn("seq", seq).select(
+    return clips.withColumn("seq", seq).select(
         "clip_id", "channel", "seq", F.slice("samples", (F.col("seq") * chunk + 1).cast("int"), chunk).alias("samples"), ((F.col("seq") + 1) * chunk >= F.col("n")).alias("last")
     )
+
+
+def _streamed(spark, sf_dir, of, rows: DataFrame | None = None):
+    """Chunks (of vectors, if none are given) through a stream that ends when all are read; then its table."""
+    path, rows = _shared(spark), _chunks(spark, sf_dir) if rows is None else rows
     rows.write.parquet(f"{path}/chunks")
-    out = of(spark.readStream.schema(rows.schema).parquet(f"{path}/chunks"))
-    out.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/frames").awaitTermination()
+    before = spark.conf.get(R.PROVIDER)
+    spark.conf.set(R.PROVIDER, R.ROCKSDB)
+    try:
+        out = of(spark.readStream.schema(rows.schema).parquet(f"{path}/chunks"))
+        out.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/frames").awaitTermination()
+    finally:
+        spark.conf.set(R.PROVIDER, before)
     return spark.read.schema(out.schema).parquet(f"{path}/frames")
 
 
+def _placed(blocks: DataFrame) -> DataFrame:
+    """Samples of streamed parts, each at its place."""
+    out = blocks.select("clip_id", "start", F.posexplode("samples").alias("i", "x"))
+    return out.select("clip_id", (F.col("start") + F.col("i")).alias("pos"), _round("x"))
+
+
+def stream_istft(spark, sf_dir):
+    """The spectra of every vector, frame by frame, back to its samples."""
+    z = X.stft(_embeddings(spark, sf_dir), CFG)
+    last = z.groupBy("clip_id", "channel").agg(F.max("frame").alias("end"))
+    z = z.join(last, ["clip_id", "channel"]).select("clip_id", "channel", "frame", "re", "im", (F.col("frame") == F.col("end")).alias("last"))
+    return _placed(_streamed(spark, sf_dir, lambda c: S.stream_istft(c, CFG), z))
+
+
+def stream_onset(spark, sf_dir):
+    return _streamed(spark, sf_dir, lambda c: S.stream_onset(c, CFG, MEL)).select("clip_id", "frame", _round("onset", 4))
+
+
+def stream_resample(spark, sf_dir):
+    return _placed(_streamed(spark, sf_dir, lambda c: S.stream_resample(c, 3, 2, "fast")))
+
+
+def stream_cqt(spark, sf_dir):
+    rows = _streamed(spark, sf_dir, lambda c: S.stream_cqt(c, CQT))
+    out = rows.select("clip_id", "frame", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z"))
+    return out.select("clip_id", "frame", F.col("bin").cast("bigint").alias("bin"), (F.round("z.re", 6) + 0.0).alias("re"), (F.round("z.im", 6) + 0.0).alias("im"))
+
+
+def stream_chroma(spark, sf_dir):
+    return _long(_streamed(spark, sf_dir, lambda c: S.stream_chroma(c, CFG, CHROMA)))
+
+
+def stream_rejects(spark, sf_dir):
+    """Some vectors lose their third chunk, some have their second one twice; time passes, and the rejects tell."""
+    start, rows = F.lit("2024-01-01").cast("timestamp"), _chunks(spark, sf_dir)
+    rows = rows.where("NOT (clip_id % 7 = 3 AND seq = 2)")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.expr("clip_id % 5 = 1 AND seq = 1"), 1).otherwise(0)))).drop("copy")
+    rows = rows.withColumn("ts", F.timestamp_add("SECOND", F.col("seq"), start))
+    beat = spark.range(1).select(F.lit(-1).cast("bigint").alias("clip_id"), F.lit(0).alias("channel"), F.lit(0).cast("bigint").alias("seq"), F.array(F.lit(0.0)).alias("samples"), F.lit(True).alias("last"), F.timestamp_add("DAY", F.lit(1), start).alias("ts"))
+    made = _streamed(spark, sf_dir, lambda c: S.stream_rms(c, 16, 4, whole=True, delay="1 hour"), rows.unionByName(beat))
+    return R.rejects(made).select("clip_id", "reject", "seq", "until")
+
+
 def stream_power(spark, sf_dir):
     return _long(_streamed(spark, sf_dir, lambda c: S.stream_power(c, CFG)))
 
@@ -313,7 +366,7 @@ QUERIES = {f.__name__: f for f in (
     event_signals, rms, zcr, document_rms, power_spectrum, stft, mel, mfcc, chroma, spectral_shape, spectral_contrast, onset_strength, istft_round_trip,
     decibels, pcm, peaks, median_time, downmix, resample, hpss, time_stretch, pitch_shift, griffin_lim,
     event_power, conversions, frame_times, power_db_of_maximum, mel_applied, chroma_applied, rms_of_spectrogram, median_freq, seek_blocks, stft_range, aligned,
-    cqt, vqt, chroma_cqt, cqt_halved, wav_round_trip, stream_power, stream_zcr, window_rms,
+    cqt, vqt, chroma_cqt, cqt_halved, wav_round_trip, stream_power, stream_zcr, window_rms, stream_istft, stream_onset, stream_resample, stream_cqt, stream_chroma, stream_rejects,
 )}
 
 
@@ -464,3 +517,15 @@ ORACLE_SQL |= {
       SELECT r.clip_id, r.frame, round(rms, 6) + 0.0::DOUBLE AS rms, z.v AS zcr, round(coarse, 6) + 0.0::DOUBLE AS coarse
       FROM r JOIN z USING (clip_id, frame) LEFT JOIN w ON w.clip_id = r.clip_id AND w.frame = r.frame * 4 // 8""",
 }
+ORACLE_SQL |= {
+    "stream_istft": ORACLE_SQL["istft_round_trip"],
+    "stream_cqt": ORACLE_SQL["cqt"],
+    "stream_chroma": ORACLE_SQL["chroma"],
+    "stream_resample": ORACLE_SQL["resample"].replace(_USERS, _EMB),
+    "stream_onset": f"""WITH {_spectrum()}, {_MELS}, l AS (
+        SELECT clip_id, frame, greatest(0, 10 * log10(greatest(1e-10, y)) - lag(10 * log10(greatest(1e-10, y))) OVER (PARTITION BY clip_id, band ORDER BY frame)) AS r FROM y),
+      g AS (SELECT clip_id, frame, CASE WHEN frame = 0 THEN 0 ELSE avg(r) END AS flux FROM l GROUP BY clip_id, frame)
+      SELECT clip_id, frame, round(lag(flux, 2, 0.0) OVER (PARTITION BY clip_id ORDER BY frame), 4) + 0.0::DOUBLE AS v FROM g""",
+    "stream_rejects": """SELECT vec_id AS clip_id, 'gap' AS reject, 2::BIGINT AS seq, 2::BIGINT AS until FROM embeddings WHERE vec_id % 7 = 3
+      UNION ALL SELECT vec_id, 'repeated', 1, 1 FROM embeddings WHERE vec_id % 5 = 1""",
+}

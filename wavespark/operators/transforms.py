@@ -276,6 +276,16 @@ def resample_filter(sample_rate: int, target: int, quality: str = "high") -> tup
     return up, down, reach, h * (up / h.sum())
 
 
+def resampled(x: np.ndarray, lo: int, first: int, count: int, up: int, down: int, reach: int, h: np.ndarray) -> np.ndarray:
+    """Outputs first to first + count of samples x, which begin at place lo and hold all that is read."""
+    padded, i = np.concatenate([h, np.zeros(up)]), first + np.arange(count)
+    t, p = i * down // up - reach - lo, i * down % up
+    y = np.zeros(count)
+    for s in range(2 * reach + 1):
+        y += padded[np.minimum(p + (2 * reach - s) * up, len(padded) - 1)] * x[t + s]
+    return y
+
+
 def resample(clips: DataFrame, sample_rate: int, target: int, quality: str = "high", block: int = 65536) -> DataFrame:
     """Clips at the target rate: ceil(n L / M) samples, zeros outside, delay removed.
 
@@ -293,16 +303,9 @@ def resample(clips: DataFrame, sample_rate: int, target: int, quality: str = "hi
     kinds = dict(clips.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        padded = np.concatenate([h, np.zeros(up)])
         for b in batches:
-            out = []
-            for first_, count, lo_, x in zip(*(b.column(c).to_pylist() for c in ("first", "count", "lo")), b.column("x"), strict=True):
-                x, i = x.values.to_numpy(), first_ + np.arange(count)
-                t, p = i * down // up - reach - lo_, i * down % up
-                y = np.zeros(count)
-                for s in range(2 * reach + 1):
-                    y += padded[np.minimum(p + (2 * reach - s) * up, len(padded) - 1)] * x[t + s]
-                out.append(y)
+            each = zip(*(b.column(c).to_pylist() for c in ("first", "count", "lo")), b.column("x"), strict=True)
+            out = [resampled(x.values.to_numpy(), lo_, first_, count, up, down, reach, h) for first_, count, lo_, x in each]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*KEY, "b")), pa.array(out, pa.list_(pa.float64()))], names=[*KEY, "b", "y"])
 
     made = rows.mapInArrow(run, f"clip_id {kinds['clip_id']}, channel {kinds['channel']}, b bigint, y array<double>")

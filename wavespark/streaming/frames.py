@@ -1,129 +1,94 @@
-"""Chunks of signals to frames in Structured Streaming: any chunking gives the frames of the whole clip.
+"""Chunks of signals to features in Structured Streaming: any chunking gives what the whole clip gives.
 
-Chunks are rows (clip_id, channel, seq, samples, last), seq from 0; they may
-come in any order. A clip's state is bounded by one frame of samples, plus
-chunks that came before their turn. The chunk with `last` flushes the clip and
-clears its state; repeated chunks are ignored until then.
+Chunks are rows (clip_id, channel, seq, samples, last, and ts or none), seq from 0, in
+any order; ordered.py says how lost, late and repeated ones are told apart and when a
+clip's state goes. Each function returns what was made, with the clip's segment; with
+whole=True rejects come with it, as taken() and rejects() split them.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..config import MelConfig, StftConfig, check
-
-
-def _at(q: np.ndarray, n: int | None, pad: str) -> tuple[np.ndarray, np.ndarray]:
-    """Source places of positions q and whether they count; n is None until the clip has ended."""
-    if pad == "zero":
-        return np.clip(q, 0, None if n is None else n - 1), (q >= 0) & (q < (q.max() + 1 if n is None else n))
-    if pad == "edge":
-        return np.clip(q, 0, None if n is None else n - 1), np.ones(q.shape, bool)
-    if n is None:
-        return np.abs(q), np.ones(q.shape, bool)
-    period = max(1, 2 * (n - 1))
-    r = np.mod(q, period)
-    return np.where(n == 1, 0, np.where(r < n, r, period - r)), np.ones(q.shape, bool)
-
-
-class _Clip:
-    """What is kept of one clip between batches: samples from `base`, counts, and early chunks."""
-
-    def __init__(self):
-        self.tail, self.base, self.received, self.frame, self.seq, self.early = np.zeros(0), 0, 0, 0, 0, {}
-
-    def frames(self, cfg: StftConfig, ended: bool) -> np.ndarray:
-        """The frames that can be made now, [n, fft]."""
-        n = self.received
-        if ended:
-            padded = n + cfg.left + cfg.right
-            stop = 0 if n == 0 or padded < cfg.fft else 1 + (padded - cfg.fft) // cfg.hop
-        else:
-            stop = 0 if n <= cfg.left else (n + cfg.left - cfg.fft) // cfg.hop + 1
-        count = max(0, stop - self.frame)
-        if not count:
-            return np.zeros((0, cfg.fft))
-        q = (self.frame + np.arange(count))[:, None] * cfg.hop - cfg.left + np.arange(cfg.fft)
-        at, counts = _at(q, n if ended else None, cfg.pad)
-        out = np.where(counts, self.tail[at - self.base], 0.0)
-        self.frame += count
-        keep = max(self.base, min(self.frame * cfg.hop - cfg.left, n - 1 - cfg.right))
-        self.tail, self.base = self.tail[keep - self.base :], keep
-        return out
-
-
-def stream_frames(chunks: DataFrame, cfg: StftConfig, columns: str, of) -> DataFrame:
-    """clip_id, channel, frame and the columns that of(frames [n, fft]) gives, each frame once its samples are in."""
-    fields = T.StructType.fromDDL(columns).fields
-    kinds, names = dict(chunks.dtypes), [f.name for f in fields]
-
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        clip, ended = pickle.loads(state.get[0]) if state.exists else _Clip(), False
-        for b in batches:
-            for seq, samples, last in zip(b["seq"], b["samples"], b["last"], strict=True):
-                if seq >= clip.seq:
-                    clip.early.setdefault(int(seq), (np.asarray(samples, float), bool(last)))
-        first, made = clip.frame, []
-        while not ended and clip.seq in clip.early:
-            samples, ended = clip.early.pop(clip.seq)
-            clip.seq += 1
-            clip.received += len(samples)
-            clip.tail = np.concatenate([clip.tail, samples])
-            made.append(clip.frames(cfg, ended))
-        if ended:
-            state.remove()
-        else:
-            state.update((pickle.dumps(clip),))
-        frames = np.concatenate([*made, np.zeros((0, cfg.fft))])
-        if len(frames):
-            out = {"clip_id": key[0], "channel": key[1], "frame": np.arange(first, first + len(frames))}
-            yield pd.DataFrame(out | {c: list(v) for c, v in zip(names, of(frames), strict=True)})
-
-    schema = f"clip_id {kinds['clip_id']}, channel {kinds['channel']}, frame bigint, {columns}"
-    kept = chunks.select("clip_id", "channel", "seq", "samples", "last")
-    return kept.groupBy("clip_id", "channel").applyInPandasWithState(step, schema, "clip binary", "append", "NoTimeout")
-
-
-def stream_stft(chunks: DataFrame, cfg: StftConfig) -> DataFrame:
+
+from ..config import ChromaConfig, CqtConfig, MelConfig, StftConfig, check
+from ..functions import columns as C
+from .kernels import CqtKernel, FrameKernel, InverseKernel, OnsetKernel, ResampleKernel
+from .ordered import ordered, taken
+
+
+def _made(chunks: DataFrame, kernel, whole: bool = False, **options) -> DataFrame:
+    rows = ordered(chunks, kernel, **options)
+    return rows if whole else taken(rows)
+
+
+def stream_frames(chunks: DataFrame, cfg: StftConfig, columns: str, of, **options) -> DataFrame:
+    """clip_id, channel, segment, frame and the columns that of(frames [n, fft]) gives, each frame once its samples are in."""
+    return _made(chunks, FrameKernel(cfg, columns, of), **options)
+
+
+def stream_stft(chunks: DataFrame, cfg: StftConfig, **options) -> DataFrame:
     w = cfg.weights()
 
     def of(frames):
         z = np.fft.rfft(frames * w, axis=1)
         return z.real, z.imag
 
-    return stream_frames(chunks, cfg, "re array<double>, im array<double>", of)
+    return stream_frames(chunks, cfg, "re array<double>, im array<double>", of, **options)
 
 
-def stream_power(chunks: DataFrame, cfg: StftConfig, power: float = 2.0) -> DataFrame:
+def stream_power(chunks: DataFrame, cfg: StftConfig, power: float = 2.0, **options) -> DataFrame:
     w = cfg.weights()
-    return stream_frames(chunks, cfg, "s array<double>", lambda x: (np.abs(np.fft.rfft(x * w, axis=1)) ** power,))
+    return stream_frames(chunks, cfg, "s array<double>", lambda x: (np.abs(np.fft.rfft(x * w, axis=1)) ** power,), **options)
 
 
-def stream_mel(chunks: DataFrame, cfg: StftConfig, mel: MelConfig, power: float = 2.0) -> DataFrame:
+def stream_mel(chunks: DataFrame, cfg: StftConfig, mel: MelConfig, power: float = 2.0, **options) -> DataFrame:
     w, m = cfg.weights(), mel.weights(cfg.fft).T.copy()
-    return stream_frames(chunks, cfg, "s array<double>", lambda x: ((np.abs(np.fft.rfft(x * w, axis=1)) ** power) @ m,))
+    return stream_frames(chunks, cfg, "s array<double>", lambda x: ((np.abs(np.fft.rfft(x * w, axis=1)) ** power) @ m,), **options)
 
 
-def stream_rms(chunks: DataFrame, length: int = 2048, hop: int = 512) -> DataFrame:
+def stream_rms(chunks: DataFrame, length: int = 2048, hop: int = 512, **options) -> DataFrame:
     cfg = StftConfig(fft=length, hop=hop, pad="zero")
-    return stream_frames(chunks, cfg, "rms double", lambda x: (np.sqrt((x * x).sum(axis=1) / length),))
+    return stream_frames(chunks, cfg, "rms double", lambda x: (np.sqrt((x * x).sum(axis=1) / length),), **options)
 
 
-def stream_zcr(chunks: DataFrame, length: int = 2048, hop: int = 512, threshold: float = 1e-10) -> DataFrame:
+def stream_zcr(chunks: DataFrame, length: int = 2048, hop: int = 512, threshold: float = 1e-10, **options) -> DataFrame:
     cfg = StftConfig(fft=length, hop=hop, pad="edge")
 
     def of(x):
         negative = x < -threshold
         return ((negative[:, 1:] != negative[:, :-1]).sum(axis=1) / length,)
 
-    return stream_frames(chunks, cfg, "zcr double", of)
+    return stream_frames(chunks, cfg, "zcr double", of, **options)
+
+
+def stream_chroma(chunks: DataFrame, cfg: StftConfig, chroma: ChromaConfig, power: float = 2.0, norm: float | None = None, **options) -> DataFrame:
+    w, m = cfg.weights(), chroma.weights(cfg.fft).T.copy()
+    rows = stream_frames(chunks, cfg, "s array<double>", lambda x: ((np.abs(np.fft.rfft(x * w, axis=1)) ** power) @ m,), **options)
+    return rows.withColumn("s", C.normalize("s", norm))
+
+
+def stream_onset(chunks: DataFrame, cfg: StftConfig, mel: MelConfig, lag: int = 1, **options) -> DataFrame:
+    """clip_id, channel, segment, frame, onset: onset strength of mel decibels that are not clamped."""
+    return _made(chunks, OnsetKernel(cfg, mel, lag), **options)
+
+
+def stream_istft(chunks: DataFrame, cfg: StftConfig, **options) -> DataFrame:
+    """clip_id, channel, segment, start, samples: streamed spectra (clip_id, channel, frame, re, im, last, and ts or none) back to samples."""
+    ts = [c for c in ("ts",) if c in chunks.columns]
+    rows = chunks.select("clip_id", "channel", F.col("frame").alias("seq"), F.concat("re", "im").alias("samples"), "last", *ts)
+    return _made(rows, InverseKernel(cfg), **options)
+
+
+def stream_resample(chunks: DataFrame, sample_rate: int, target: int, quality: str = "high", **options) -> DataFrame:
+    """clip_id, channel, segment, start, samples at the target rate: ceil(n L / M) of them, delay removed."""
+    return _made(chunks, ResampleKernel(sample_rate, target, quality), **options)
+
+
+def stream_cqt(chunks: DataFrame, cfg: CqtConfig, **options) -> DataFrame:
+    """clip_id, channel, segment, frame, re, im over the bins of cfg."""
+    return _made(chunks, CqtKernel(cfg, "re array<double>, im array<double>", lambda z: (z.real.copy(), z.imag.copy())), **options)
 
 
 def window_rms(rows: DataFrame, key: str, ts: str, value: Column | str, length: str, hop: str | None = None, late: str = "1 hour") -> DataFrame:

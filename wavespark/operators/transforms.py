@@ -239,28 +239,97 @@ def hpss(clips: DataFrame, cfg: StftConfig, **options) -> tuple[DataFrame, DataF
     return harmonic, percussive
 
 
-def phase_vocoder(z: DataFrame, cfg: StftConfig, rate: Fraction) -> DataFrame:
-    """Frames at `rate` times the speed: interpolated magnitudes, accumulated phases of each bin."""
-    check(rate > 0, "rate is positive")
-    num, den, omega = rate.numerator, rate.denominator, 2 * np.pi * np.arange(cfg.bins) * cfg.hop / cfg.fft
-
-    def of(re, im):
-        x = re + 1j * im
-        x = np.concatenate([x, np.zeros((2, x.shape[1]))])
-        i = np.arange(-(-len(re) * den // num))
+def regions(size: np.ndarray) -> np.ndarray:
+    """The peak that each bin of a magnitude row belongs to: bins above two neighbours on either side, parted halfway; no peak, no region."""
+    n, k = len(size), np.arange(len(size))
+    edge = np.concatenate([[-1.0, -1.0], size, [-1.0, -1.0]])
+    peaks = np.flatnonzero(np.all([size > edge[2 + d : 2 + d + n] for d in (-2, -1, 1, 2)], axis=0))
+    return k if not len(peaks) else peaks[np.searchsorted((peaks[:-1] + peaks[1:] + 1) // 2, k, "right")]
+
+
+def phase_vocoder(z: DataFrame, cfg: StftConfig, rate: Fraction, locked: bool = False, frames_per_tile: int = 1024) -> DataFrame:
+    """Frames at `rate` times the speed: interpolated magnitudes, accumulated phases of each bin.
+
+    locked: a frame's bins take the phase of their region's peak and keep the phase
+    difference to it that they have in the analysis; a frame without peaks is not locked.
+
+    From one output frame to the next the phases move as phase[k] = before[p[k]] + c[k],
+    p being the bins themselves unless locked. Such moves join to one of the same
+    kind. So output frames are cut into tiles, which any tasks take: each gives its
+    frames relative to its beginning and its own joined move, a pass over the moves of
+    a clip, in order, gives where each tile begins, and the frames are turned by that.
+    """
+    check(rate > 0 and frames_per_tile >= 1, "rate and frames_per_tile are positive")
+    num, den, omega, per, bins = rate.numerator, rate.denominator, 2 * np.pi * np.arange(cfg.bins) * cfg.hop / cfg.fft, frames_per_tile, cfg.bins
+    kinds, keys = dict(z.dtypes), [*KEY, "tile"]
+    head = f"clip_id {kinds['clip_id']}, channel {kinds['channel']}"
+    up = lambda x: F.ceil(x * den / num)
+    # a frame is read by the outputs that begin at it or at the one before
+    counts = z.groupBy(*KEY).agg((F.max("frame") + 1).alias("frames"))
+    rows = z.select(*KEY, "frame", "re", "im").join(counts, list(KEY)).withColumn("count", up(F.col("frames")))
+    lo, hi = F.greatest(F.lit(0), up(F.col("frame") - 1)), F.least(F.col("count"), up(F.col("frame") + 1)) - 1
+    rows = rows.where(hi >= lo).withColumn("tile", F.explode(F.sequence(F.floor(lo / per), F.floor(hi / per))))
+
+    def relative(t: pa.Table) -> pa.Table:
+        """A tile's magnitudes and moves from its beginning; its whole move, with the clip's first phases, as frame -1."""
+        t = t.sort_by("frame").combine_chunks()
+        tile, count, frame = t["tile"][0].as_py(), t["count"][0].as_py(), t["frame"].to_numpy()
+        x = np.stack(t["re"].to_numpy(zero_copy_only=False)) + 1j * np.stack(t["im"].to_numpy(zero_copy_only=False))
+        x = np.concatenate([x, np.zeros((1, bins))])
+        i = np.arange(tile * per, min(count, (tile + 1) * per))
         at, part = i * num // den, (i * num % den / den)[:, None]
-        size = (1 - part) * np.abs(x[at]) + part * np.abs(x[at + 1])
-        turn = np.angle(x[at + 1]) - np.angle(x[at]) - omega
+        one, two = np.searchsorted(frame, at), np.searchsorted(frame, at + 1)  # silence behind the last
+        amount, angle = np.abs(x), np.angle(x)
+        size = (1 - part) * amount[one] + part * amount[two]
+        turn = angle[two] - angle[one] - omega
         turn = omega + turn - 2 * np.pi * np.rint(turn / (2 * np.pi))
-        phase = np.angle(x[:1]) + np.concatenate([np.zeros((1, len(omega))), np.cumsum(turn, axis=0)[:-1]])
-        return size * np.cos(phase), size * np.sin(phase)
+        if locked:
+            p, c, moves, adds = np.arange(bins), np.zeros(bins), [], []
+            for j, a in enumerate(one):
+                r = regions(amount[a])
+                p, c = p[r], c[r] + (angle[a] - angle[a][r])
+                moves.append(p)
+                adds.append(c)
+                c = c + turn[j]
+            moves, adds = np.array([*moves, p], np.int32), np.array([*adds, c])
+        else:
+            moves, adds = np.tile(np.arange(bins, dtype=np.int32), (len(i) + 1, 1)), np.concatenate([np.zeros((1, bins)), np.cumsum(turn, axis=0)])
+        size = np.concatenate([size, angle[one[:1]]])
+        n = len(i) + 1
+        return pa.table([*(pa.repeat(t[c][0], n) for c in keys), pa.array(np.append(i, -1)), _lists(size), _lists(moves), _lists(adds)], names=[*keys, "frame", "size", "p", "c"])
+
+    parts = rows.groupBy(*keys).applyInArrow(relative, f"{head}, tile bigint, frame bigint, size array<double>, p array<int>, c array<double>")
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The phases that each tile of a clip begins with."""
+        own, phase = None, None
+        for b in batches:
+            made = []
+            for i in range(b.num_rows):
+                key = (b.column("clip_id")[i].as_py(), b.column("channel")[i].as_py())
+                if phase is None or key != own:
+                    own, phase = key, b.column("size")[i].values.to_numpy()
+                made.append(phase)
+                phase = phase[b.column("p")[i].values.to_numpy()] + b.column("c")[i].values.to_numpy()
+            if made:
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), _lists(np.array(made))], names=[*keys, "phase"])
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                size, p, c, phase = (b.column(n).flatten().to_numpy(zero_copy_only=False).reshape(-1, bins) for n in ("size", "p", "c", "phase"))
+                phase = np.take_along_axis(phase, p.astype(np.int64), axis=1) + c
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in (*KEY, "frame")), _lists(size * np.cos(phase)), _lists(size * np.sin(phase))], names=[*KEY, "frame", "re", "im"])
 
-    return _per_clip(z, ["re", "im"], "re array<double>, im array<double>", of)
+    moves = parts.where("frame = -1").repartition(*KEY).sortWithinPartitions(*keys)
+    starts = moves.select(*keys, "size", "p", "c").mapInArrow(begin, f"{head}, tile bigint, phase array<double>")
+    both = parts.where("frame >= 0").join(starts, keys)
+    return both.select(*KEY, "frame", "size", "p", "c", "phase").mapInArrow(turned, f"{head}, frame bigint, re array<double>, im array<double>")
 
 
-def time_stretch(clips: DataFrame, cfg: StftConfig, rate: Fraction) -> DataFrame:
+def time_stretch(clips: DataFrame, cfg: StftConfig, rate: Fraction, locked: bool = False) -> DataFrame:
     lengths = clips.withColumn("n", F.rint(F.col("n") * rate.denominator / rate.numerator).cast("bigint"))
-    return istft(phase_vocoder(stft(clips, cfg), cfg, rate), lengths, cfg)
+    return istft(phase_vocoder(stft(clips, cfg), cfg, rate, locked), lengths, cfg)
 
 
 def resample_filter(sample_rate: int, target: int, quality: str = "high") -> tuple[int, int, int, np.ndarray]:
@@ -314,9 +383,9 @@ def resample(clips: DataFrame, sample_rate: int, target: int, quality: str = "hi
     return rest.select(*KEY, F.lit(target).alias("sample_rate"), F.size("samples").cast("bigint").alias("n"), "samples")
 
 
-def pitch_shift(clips: DataFrame, cfg: StftConfig, ratio: Fraction, quality: str = "high") -> DataFrame:
+def pitch_shift(clips: DataFrame, cfg: StftConfig, ratio: Fraction, quality: str = "high", locked: bool = False) -> DataFrame:
     """Stretched by the ratio, then resampled back to its own length."""
-    stretched = time_stretch(clips, cfg, 1 / ratio)
+    stretched = time_stretch(clips, cfg, 1 / ratio, locked)
     moved = resample(stretched, ratio.numerator, ratio.denominator, quality)
     back = moved.select(*KEY, "samples").join(clips.select(*KEY, "sample_rate", "n"), list(KEY))
     cut = F.slice("samples", 1, F.col("n").cast("int"))

@@ -529,3 +529,35 @@ ORACLE_SQL |= {
     "stream_rejects": """SELECT vec_id AS clip_id, 'gap' AS reject, 2::BIGINT AS seq, 2::BIGINT AS until FROM embeddings WHERE vec_id % 7 = 3
       UNION ALL SELECT vec_id, 'repeated', 1, 1 FROM embeddings WHERE vec_id % 5 = 1""",
 }
+
+
+def _stretched(num: int, den: int) -> str:
+    """v(clip_id, pos, m, v): events stretched to den / num of their length, by transform, moved phases and overlapped inverses."""
+    fft, hop, left, two_pi = CFG.fft, CFG.hop, CFG.left, "2 * pi()"
+    omega = f"{two_pi} * bin * {hop} / {fft}"
+    turned = f"(g1 - g0 - {omega})"
+    return f"""{_spectrum(CFG, _USERS)}, l AS (SELECT clip_id, max(frame) + 1 AS frames FROM z GROUP BY clip_id),
+    o AS (SELECT clip_id, unnest(generate_series(0, (frames * {den} + {num - 1}) // {num} - 1)) AS i FROM l),
+    a AS (SELECT o.clip_id, i, a.bin, (i * {num} % {den}) / {den}.0::DOUBLE AS part, sqrt(a.re * a.re + a.im * a.im) AS m0, coalesce(sqrt(b.re * b.re + b.im * b.im), 0) AS m1,
+      atan2(a.im, a.re) AS g0, coalesce(atan2(b.im, b.re), 0) AS g1
+      FROM o JOIN z a ON a.clip_id = o.clip_id AND a.frame = i * {num} // {den} LEFT JOIN z b ON b.clip_id = o.clip_id AND b.frame = i * {num} // {den} + 1 AND b.bin = a.bin),
+    t AS (SELECT clip_id, i, bin, (1 - part) * m0 + part * m1 AS size, g0, {omega} + {turned} - {two_pi} * round_even({turned} / ({two_pi}), 0) AS turn FROM a),
+    g AS (SELECT clip_id, i, bin, size, first_value(g0) OVER (PARTITION BY clip_id, bin ORDER BY i)
+      + coalesce(sum(turn) OVER (PARTITION BY clip_id, bin ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS phase FROM t),
+    e AS (SELECT clip_id, i, j.j, sum(CASE WHEN bin IN (0, {fft // 2}) THEN 1 ELSE 2 END * size * (cos(phase) * cos({two_pi} * bin * j.j / {fft}) - sin(phase) * sin({two_pi} * bin * j.j / {fft}))) / {fft} AS y
+      FROM g, generate_series(0, {fft - 1}) AS j(j) GROUP BY clip_id, i, j.j),
+    n AS (SELECT clip_id, round_even(n * {den} / {num}.0::DOUBLE, 0)::BIGINT AS m FROM c),
+    s AS (SELECT clip_id, i * {hop} + j - {left} AS pos, sum(y * w) AS y, sum(w * w) AS q FROM e JOIN w USING (j) JOIN n USING (clip_id) WHERE i * {hop} < m + {left} GROUP BY ALL),
+    v AS (SELECT n.clip_id, m, p.pos, coalesce(y / CASE WHEN q = 0 THEN 1 ELSE q END, 0) AS v FROM (SELECT clip_id, unnest(generate_series(0, m - 1)) AS pos FROM n) p JOIN n USING (clip_id) LEFT JOIN s ON s.clip_id = p.clip_id AND s.pos = p.pos)"""
+
+
+_PUP, _PDOWN, _PREACH, _PTAPS = X.resample_filter(5, 4, "fast")
+ORACLE_SQL |= {
+    "time_stretch": f"WITH {_stretched(4, 3)} SELECT clip_id, pos, round(v, 6) + 0.0::DOUBLE AS v FROM v",
+    "pitch_shift": f"""WITH {_stretched(4, 5)}, h AS ({_values(_PTAPS[:, None], 'i, o, h')}), u AS (SELECT clip_id, m, list(v ORDER BY pos) AS s FROM v GROUP BY clip_id, m),
+      k AS (SELECT u.clip_id, s, m, pos FROM u JOIN (SELECT clip_id, unnest(generate_series(0, n - 1)) AS pos FROM c) p USING (clip_id)),
+      r AS (SELECT clip_id, pos, sum(h * s[k + 1]) AS v FROM (
+        SELECT clip_id, s, m, pos, pos * {_PDOWN} // {_PUP} - {_PREACH} + t AS k, pos * {_PDOWN} % {_PUP} + ({2 * _PREACH} - t) * {_PUP} AS i FROM k, generate_series(0, {2 * _PREACH}) AS g(t)
+      ) JOIN h USING (i) WHERE k >= 0 AND k < m GROUP BY clip_id, pos)
+      SELECT k.clip_id, k.pos, round(coalesce(v, 0), 6) + 0.0::DOUBLE AS v FROM k LEFT JOIN r USING (clip_id, pos)""",
+}

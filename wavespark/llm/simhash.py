@@ -260,15 +260,15 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def minhash_bands(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, text) to (id, digest, keys): a key for each band of MinHash values of the shingle set; empty sets share one."""
+    """(id, text) to (id, digest, keys, size): a key for each band of MinHash values of the shingle set; empty sets share one."""
     salts = np.random.default_rng(SEED).integers(0, 2**63, (2, bands * rows), dtype=np.uint64)
     turn, scale = salts[0][:, None], (salts[1] | np.uint64(1))[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, keys = np.zeros(b.num_rows, np.uint64), []
+            digests, sizes, keys = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64), []
             for i, h in enumerate(_sets(b.column("text"), shingle)):
-                digests[i] = set_digest(h)
+                digests[i], sizes[i] = set_digest(h), len(h)
                 least = np.full(bands * rows, ~np.uint64(0))
                 for lo in range(0, len(h), 256):
                     x = h[lo : lo + 256] ^ turn
@@ -280,9 +280,9 @@ def minhash_bands(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int =
                 keys.append(key)
             cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digests.view(np.int64)), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))], names=["id", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digests.view(np.int64)), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)), pa.array(sizes)], names=["id", "digest", "keys", "size"])
 
-    return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], *T.StructType.fromDDL("digest bigint, keys array<bigint>").fields]))
+    return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], *T.StructType.fromDDL("digest bigint, keys array<bigint>, size bigint").fields]))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,7 +294,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     sets: one of each key in the first round, so that a large group of copies falls
     to its smallest member, and twice as many in each further one, up to FIRSTS. A
     document that was held against all smaller ones of its keys and is like none
-    stays; those like it go. This is repeated until every document is decided.
+    stays; those like it go. This is repeated until every document is decided; no
+    two documents are held against each other twice.
     Rows of one id are one document (that of the smallest digest counts); rows with
     a null id stay; blank texts are alike; columns of any name are kept.
     """
@@ -302,11 +303,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     def texts_of(rows: DataFrame) -> DataFrame:
         return rows.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
-    signs = minhash_bands(texts_of(docs.where(F.col(id_col).isNotNull())), shingle).groupBy("id").agg(F.min(F.struct("digest", "keys")).alias("own"))
+    signs = minhash_bands(texts_of(docs.where(F.col(id_col).isNotNull())), shingle).groupBy("id").agg(F.min(F.struct("digest", "keys", "size")).alias("own"))
     signs = materialize(signs.select("id", "own.*"), "signs")
     least = materialize(signs.groupBy("digest").agg(F.min("id").alias("first")), "first")
     gone = materialize(signs.join(least, "digest").where("id > first").select("id"), "copies")
-    ones = signs.join(least, "digest").where("id = first").select("id", "digest", F.explode("keys").alias("key"))
+    ones = signs.join(least, "digest").where("id = first").select("id", "digest", "size", F.explode("keys").alias("key"))
     ones = materialize(ones, "keys")
     shared = materialize(ones.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     left = materialize(ones.join(shared, "key"), "left")
@@ -316,13 +317,17 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     sets = sets.join(members, (F.col("id") == F.col("__id")) & (F.col("digest") == F.col("__digest")), "left_semi").dropDuplicates(["id"])
     sets = materialize(sets.select("id", "set"), "sets")
     removed, m = [gone], 1
+    compared = likes = materialize(left.select("id", F.col("id").alias("first")).limit(0), "compared")  # pairs of undecided documents: all that met, and those alike
     while not left.isEmpty():
         rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        firsts = materialize(left.withColumn("rank", rank).where(F.col("rank") <= m).select("key", F.col("id").alias("first")), "firsts")
-        met = left.join(firsts, "key").where("first < id").select("id", "first").distinct()
+        firsts = materialize(left.withColumn("rank", rank).where(F.col("rank") <= m).select("key", F.col("id").alias("first"), F.col("size").alias("other")), "firsts")
+        near = F.least("size", "other") >= similarity * F.greatest("size", "other")  # sets that differ more in size can't be similar
+        met = left.join(firsts, "key").where(F.col("first") < F.col("id")).where(near).select("id", "first").distinct()
+        met = materialize(met.join(compared, ["id", "first"], "left_anti"), "met")
         both = met.join(sets, "id").join(sets.select(F.col("id").alias("first"), F.col("set").alias("other")), "first")
         same = F.size(F.array_intersect("set", "other"))
-        alike = materialize(both.where(same >= similarity * (F.size("set") + F.size("other") - same)).select("id", "first"), "alike")
+        alike = both.where(same >= similarity * (F.size("set") + F.size("other") - same)).select("id", "first")
+        alike = materialize(alike.unionByName(likes), "alike")
         # documents that were held against all smaller ones
         among = firsts.groupBy(F.col("first").alias("id")).agg(F.count("*").alias("among"))
         whole = left.groupBy("id").agg(F.count("*").alias("n")).join(among, "id").where("n = among").select("id")
@@ -330,6 +335,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
         gone = materialize(alike.join(stay.withColumnRenamed("id", "first"), "first").select("id").distinct(), "gone")
         removed.append(gone)
         left, m = materialize(left.join(gone.unionByName(stay), "id", "left_anti"), "left"), min(2 * m, FIRSTS)
+        undecided = left.select("id").distinct()
+        both_left = lambda pairs, u=undecided: pairs.join(u, "id", "left_semi").join(u.withColumnRenamed("id", "first"), "first", "left_semi").select("id", "first")
+        compared, likes = materialize(both_left(met.unionByName(compared)), "compared"), materialize(both_left(alike), "likes")
     every = removed[0]
     for g in removed[1:]:
         every = every.unionByName(g)

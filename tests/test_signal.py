@@ -141,3 +141,9 @@ def test_parameters_are_checked():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_a_null_key_is_a_clip_of_blocks(spark, tmp_path):
+    rows = spark.createDataFrame([(None, 2, 3.0), (None, 1, 4.0), (5, 1, 6.0)], "k bigint, at bigint, x double")
+    got = {r.clip_id: r.samples for r in O.blocks_from_table(rows, "k", ["at"], "x", f"{tmp_path}/rows").collect()}
+    assert got == {None: [4.0, 3.0], 5: [6.0]}

@@ -61,7 +61,9 @@ def blocks_from_table(df: DataFrame, key: str, order: list[str], value: Column |
     whole = Window.partitionBy("clip_id")
     before = F.sum("n").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("clip_id", "range", "first", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(whole).alias("n"))
-    placed = rows.join(parts, ["clip_id", "range"]).withColumn("pos", F.col("at") - F.col("first") + F.col("before"))
+    parts = parts.select(F.col("clip_id").alias("__key"), F.col("range").alias("__range"), "first", "before", "n")
+    same = F.col("clip_id").eqNullSafe(F.col("__key")) & (F.col("range") == F.col("__range"))  # a null key is a clip of its own
+    placed = rows.join(parts, same).withColumn("pos", F.col("at") - F.col("first") + F.col("before"))
     cut = placed.groupBy("clip_id", "n", F.floor(F.col("pos") / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("s"))
     return cut.select("clip_id", F.lit(0).alias("channel"), F.lit(sample_rate).alias("sample_rate"), "n", "block", (F.col("block") * block).alias("start"), F.transform("s", lambda v: v["x"]).alias("samples"))
 

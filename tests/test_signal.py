@@ -99,7 +99,7 @@ def test_median_in_columns_equals_helper(spark):
     s = np.abs(noise(60)).reshape(6, 10)
     df = spark.createDataFrame([(0, 0, i, [float(v) for v in r]) for i, r in enumerate(s)], "clip_id bigint, channel int, frame bigint, s array<double>")
     for k in (3, 4, 5):
-        assert np.allclose(rows_of(O.median_time(df, k), "s")[0], X._median_filter(s, k, 0))
+        assert np.allclose(rows_of(X.median_time(df, k), "s")[0], X._median_filter(s, k, 0))
         assert np.allclose(rows_of(df.withColumn("s", C.median_freq("s", k)), "s")[0], X._median_filter(s, k, 1))
 
 

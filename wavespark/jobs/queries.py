@@ -209,7 +209,7 @@ def peaks(spark, sf_dir):
 
 def median_time(spark, sf_dir):
     s = O.frame_signal(_embeddings(spark, sf_dir), 8, 8, "zero").withColumnRenamed("x", "s")
-    return _long(O.median_time(s, 5))
+    return _long(X.median_time(s, 5))
 
 
 def downmix(spark, sf_dir):

@@ -265,21 +265,6 @@ def downmix(clips: DataFrame) -> DataFrame:
     return both.select("clip_id", F.lit(0).alias("channel"), "sample_rate", "n", mean.alias("samples"))
 
 
-def median_time(spectra: DataFrame, k: int) -> DataFrame:
-    """The upper middle of k neighbouring frames for each bin, clip ends mirrored with their edge repeated."""
-    frames = Window.partitionBy(*KEY)
-    n = F.max("frame").over(frames) + 1
-    reach = k  # enough for one mirror; a clip shorter than that mirrors on
-    rows = spectra.withColumn("n", n)
-    copies = F.filter(F.sequence(-F.lit(reach), F.col("n") + reach - 1), lambda q: F.when(F.pmod(q, 2 * F.col("n")) < F.col("n"), F.pmod(q, 2 * F.col("n"))).otherwise(2 * F.col("n") - 1 - F.pmod(q, 2 * F.col("n"))) == F.col("frame"))
-    rows = rows.withColumn("q", F.explode(copies))
-    near = Window.partitionBy(*KEY).orderBy("q").rowsBetween(-(k // 2), k - 1 - k // 2)
-    lists = F.collect_list("s").over(near)
-    rows = rows.withColumn("l", lists).where((F.col("q") >= 0) & (F.col("q") < F.col("n")))
-    middle = F.transform("s", lambda _, i: F.get(F.array_sort(F.transform("l", lambda f: F.get(f, i))), F.lit(k // 2)))
-    return rows.select(*KEY, "frame", middle.alias("s"))
-
-
 def align(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, [*KEY, "frame"], "full")
 

@@ -174,13 +174,21 @@ def istft(spectra: DataFrame, lengths: DataFrame, cfg: StftConfig) -> DataFrame:
     return out.select(*KEY, "n", filled.alias("samples"))
 
 
+def _mirrored(at: np.ndarray, n: int) -> np.ndarray:
+    """Places of n, ends mirrored with their edge repeated."""
+    at = np.mod(at, 2 * n)
+    return np.where(at < n, at, 2 * n - 1 - at)
+
+
+def _middle(x: np.ndarray, k: int, axis: int) -> np.ndarray:
+    """The upper middle of each k neighbours along the axis; k - 1 fewer come out than went in."""
+    return np.partition(np.lib.stride_tricks.sliding_window_view(x, k, axis=axis), k // 2, axis=-1)[..., k // 2]
+
+
 def _median_filter(s: np.ndarray, k: int, axis: int) -> np.ndarray:
     """The upper middle of k neighbours, ends mirrored with their edge repeated."""
     n = s.shape[axis]
-    at = np.mod(np.arange(-(k // 2), n + k - 1 - k // 2), 2 * n)
-    x = np.take(s, np.where(at < n, at, 2 * n - 1 - at), axis=axis)
-    windows = np.lib.stride_tricks.sliding_window_view(x, k, axis=axis)
-    return np.partition(windows, k // 2, axis=-1)[..., k // 2]
+    return _middle(np.take(s, _mirrored(np.arange(-(k // 2), n + k - 1 - k // 2), n), axis=axis), k, axis)
 
 
 def softmask(x: np.ndarray, other: np.ndarray, power: float, even: bool) -> np.ndarray:
@@ -193,49 +201,99 @@ def softmask(x: np.ndarray, other: np.ndarray, power: float, even: bool) -> np.n
     return np.where(empty, 0.5 if even else 0.0, a / np.where(empty, 1.0, a + b))
 
 
-def _per_clip(spectra: DataFrame, arrays: list[str], columns: str, of) -> DataFrame:
-    """of(frames in order as [n, bins] per array) for each whole clip; its rows come back with the frame."""
+def _by_tiles(spectra: DataFrame, arrays: list[str], columns: str, per: int, halo: int, of) -> DataFrame:
+    """of(arrays as [frames, bins], first frame, p0, p1) for each tile of `per` frames; its rows are frames p0 to p1.
+
+    A clip's frames are 0 to n - 1. Each goes to the tiles within `halo` of it, in one
+    shuffle by tile, so a tile holds `halo` frames on either side of its own, fewer
+    only at an end of the clip: where frames are missing behind it, its last is n - 1.
+    """
+    check(per >= 1, "frames_per_tile is positive")
     names = [f.name for f in T.StructType.fromDDL(columns).fields]
-    kinds = dict(spectra.dtypes)
+    kinds, frame = dict(spectra.dtypes), F.col("frame")
+    to = F.explode(F.sequence(F.floor(F.greatest(F.lit(0), frame - halo) / per), F.floor((frame + halo) / per)))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("frame").combine_chunks()
-        x = [np.stack(t[a].to_numpy(zero_copy_only=False)) for a in arrays]
-        out = of(*x)
-        n = len(out[0])
-        frame = t["frame"] if n == t.num_rows else pa.array(np.arange(n))
-        return pa.table([*(pa.repeat(t[c][0], n) for c in KEY), frame, *map(_lists, out)], names=[*KEY, "frame", *names])
+        first, end, p0 = t["frame"][0].as_py(), t["frame"][-1].as_py() + 1, t["tile"][0].as_py() * per
+        check(end - first == t.num_rows, "the frames of a clip are 0 to n - 1, once each")
+        p1 = max(p0, min(end, p0 + per))
+        x = [t[a].chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for a in arrays]
+        out = of(*x, first, p0, p1) if p1 > p0 else [np.zeros((0, 1))] * len(names)  # behind the end there are only neighbours
+        return pa.table([*(pa.repeat(t[c][0], p1 - p0) for c in KEY), pa.array(np.arange(p0, p1)), *map(_lists, out)], names=[*KEY, "frame", *names])
 
-    schema = f"clip_id {kinds['clip_id']}, channel {kinds['channel']}, frame bigint, {columns}"
-    return spectra.select(*KEY, "frame", *arrays).groupBy(*KEY).applyInArrow(run, schema)
+    rows = spectra.select(*KEY, "frame", to.alias("tile"), *arrays)
+    return rows.groupBy(*KEY, "tile").applyInArrow(run, f"clip_id {kinds['clip_id']}, channel {kinds['channel']}, frame bigint, {columns}")
 
 
-def hpss_masks(spectra: DataFrame, kernel: tuple[int, int] = (31, 31), power: float = 2.0, margin: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """harmonic and percussive masks of magnitude rows, by medians along time and along frequency."""
+def _medians_in_time(s: np.ndarray, k: int, first: int, p0: int, p1: int) -> np.ndarray:
+    """Of frames p0 to p1, some at a time; s begins at frame `first`."""
+    out, n = [], first + len(s)
+    for lo in range(p0, p1, 64):
+        out.append(_middle(s[_mirrored(np.arange(lo - k // 2, min(p1, lo + 64) + k - 1 - k // 2), n) - first], k, 0))
+    return np.concatenate(out)
+
+
+def median_time(spectra: DataFrame, k: int, frames_per_tile: int = 256) -> DataFrame:
+    """The upper middle of k neighbouring frames for each bin, clip ends mirrored with their edge repeated."""
+    check(k >= 1, "k is positive")
+    return _by_tiles(spectra, ["s"], "s array<double>", frames_per_tile, k // 2, lambda s, *at: (_medians_in_time(s, k, *at),))
+
+
+def _masks(kernel: tuple[int, int], power: float, margin: tuple[float, float]):
+    """of(s, first, p0, p1): the harmonic and the percussive mask of frames p0 to p1."""
     check(min(kernel) >= 1 and power > 0 and min(margin) >= 1, "kernels and power are positive, margins at least 1")
     even = tuple(margin) == (1.0, 1.0)
 
-    def of(s):
-        h, p = _median_filter(s, kernel[0], 0), _median_filter(s, kernel[1], 1)
+    def of(s, first, p0, p1):
+        h = _medians_in_time(s, kernel[0], first, p0, p1)
+        own = s[p0 - first : p1 - first]
+        p = np.concatenate([_median_filter(own[lo : lo + 64], kernel[1], 1) for lo in range(0, len(own), 64)])
         return softmask(h, p * margin[0], power, even), softmask(p, h * margin[1], power, even)
 
-    return _per_clip(spectra, ["s"], "harmonic array<double>, percussive array<double>", of)
+    return of
+
+
+def hpss_masks(spectra: DataFrame, kernel: tuple[int, int] = (31, 31), power: float = 2.0, margin: tuple[float, float] = (1.0, 1.0), frames_per_tile: int = 256) -> DataFrame:
+    """harmonic and percussive masks of magnitude rows, by medians along time and along frequency."""
+    return _by_tiles(spectra, ["s"], "harmonic array<double>, percussive array<double>", frames_per_tile, kernel[0] // 2, _masks(kernel, power, margin))
+
+
+def hpss_of_spectrogram(spectra: DataFrame, kernel: tuple[int, int] = (31, 31), power: float = 2.0, margin: tuple[float, float] = (1.0, 1.0), frames_per_tile: int = 256) -> DataFrame:
+    """The harmonic and the percussive part of magnitude rows."""
+    masks = _masks(kernel, power, margin)
+
+    def of(s, first, p0, p1):
+        return [s[p0 - first : p1 - first] * m for m in masks(s, first, p0, p1)]
+
+    return _by_tiles(spectra, ["s"], "harmonic array<double>, percussive array<double>", frames_per_tile, kernel[0] // 2, of)
+
+
+def hpss_of_stft(z: DataFrame, kernel: tuple[int, int] = (31, 31), power: float = 2.0, margin: tuple[float, float] = (1.0, 1.0), frames_per_tile: int = 256) -> DataFrame:
+    """clip_id, channel, frame, part, re, im: two rows a frame, harmonic and percussive, with the phases of z."""
+    masks = _masks(kernel, power, margin)
 
+    def of(re, im, first, p0, p1):
+        own = slice(p0 - first, p1 - first)
+        return [x[own] * m for m in masks(np.hypot(re, im), first, p0, p1) for x in (re, im)]
 
-def hpss_of_spectrogram(spectra: DataFrame, **options) -> DataFrame:
-    both = hpss_masks(spectra, **options).join(spectra, [*KEY, "frame"])
-    times = lambda m: F.zip_with(m, "s", lambda a, b: a * b)
-    return both.select(*KEY, "frame", times("harmonic").alias("harmonic"), times("percussive").alias("percussive"))
+    both = _by_tiles(z, ["re", "im"], "a array<double>, b array<double>, c array<double>, d array<double>", frames_per_tile, kernel[0] // 2, of)
+    part = lambda name, re, im: F.struct(F.lit(name).alias("part"), F.col(re).alias("re"), F.col(im).alias("im"))
+    return both.select(*KEY, "frame", F.inline(F.array(part("harmonic", "a", "b"), part("percussive", "c", "d"))))
+
+
+def hpss_parts(clips: DataFrame, cfg: StftConfig, **options) -> DataFrame:
+    """clip_id, channel, part, n, samples: both parts of each clip, at its own length, from one transform and one inverse."""
+    named = F.struct("clip_id", "part").alias("clip_id")  # a part is inverted as a clip of its own
+    z = hpss_of_stft(stft(clips, cfg), **options).select(named, "channel", "frame", "re", "im")
+    lengths = clips.select("*", F.explode(F.array(F.lit("harmonic"), F.lit("percussive"))).alias("part")).select(named, "channel", "n")
+    return istft(z, lengths, cfg).select("clip_id.clip_id", "channel", "clip_id.part", "n", "samples")
 
 
 def hpss(clips: DataFrame, cfg: StftConfig, **options) -> tuple[DataFrame, DataFrame]:
-    """The harmonic and the percussive part of each clip, at its own length."""
-    z = stft(clips, cfg)
-    masks = hpss_masks(z.select(*KEY, "frame", C.magnitude("re", "im").alias("s")), **options)
-    both = z.join(masks, [*KEY, "frame"])
-    times = lambda c, m: F.zip_with(c, m, lambda a, b: a * b)
-    parts = (both.select(*KEY, "frame", times("re", m).alias("re"), times("im", m).alias("im")) for m in ("harmonic", "percussive"))
-    harmonic, percussive = (istft(p, clips, cfg) for p in parts)
+    """The harmonic and the percussive part of each clip; hpss_parts gives both at once."""
+    z = hpss_of_stft(stft(clips, cfg), **options)
+    harmonic, percussive = (istft(z.where(F.col("part") == name), clips, cfg) for name in ("harmonic", "percussive"))
     return harmonic, percussive
 
 
@@ -392,34 +450,84 @@ def pitch_shift(clips: DataFrame, cfg: StftConfig, ratio: Fraction, quality: str
     return back.select(*KEY, "sample_rate", "n", F.concat(cut, F.array_repeat(F.lit(0.0), (F.col("n") - F.size(cut)).cast("int"))).alias("samples"))
 
 
-def griffin_lim(spectra: DataFrame, cfg: StftConfig, iterations: int = 32, momentum: float = 0.99, max_frames: int = 200_000) -> DataFrame:
-    """re, im of a signal whose magnitudes approach the given ones; phases begin at zero.
+def _signal_length(frames: int, cfg: StftConfig) -> int:
+    """Samples that `frames` frames cover, borders left out."""
+    return (frames - 1) * cfg.hop + cfg.fft - cfg.left - cfg.right
 
-    The iterations couple all frames of a clip, so a clip is one task; one above
-    max_frames is refused.
-    """
-    check(cfg.hop <= cfg.fft and 0 <= momentum, "hop above fft, or negative momentum")
-    w, fft, hop = cfg.weights(), cfg.fft, cfg.hop
 
-    def of(s):
-        check(len(s) <= max_frames, f"a clip has {len(s)} frames; at most {max_frames} are iterated at once")
-        length = (len(s) - 1) * hop + fft
-        at = np.arange(len(s))[:, None] * hop + np.arange(fft)
-        norm = np.zeros(length)
-        np.add.at(norm, at, w * w)
-        norm[norm == 0] = 1.0
-        phase, before = np.ones(s.shape, complex), np.zeros(s.shape, complex)
-        for _ in range(iterations):
-            y = np.zeros(length)
-            np.add.at(y, at, np.fft.irfft(s * phase, fft, axis=1) * w)
-            c = np.fft.rfft((y / norm)[at] * w, axis=1)
-            moved = c - momentum / (1 + momentum) * before
-            before, size = c, np.abs(moved)
-            phase = np.where(size > C.TINY, moved / np.where(size > C.TINY, size, 1.0), 1.0)
-        z = s * phase
-        return z.real.copy(), z.imag.copy()
+def _reanalysis(cfg: StftConfig, first: int, count: int, frames: int):
+    """of(spectra of frames first to first + count): their signal by overlap-add, its borders made as for a clip, transformed again.
 
-    return _per_clip(spectra, ["s"], "re array<double>, im array<double>", of)
+    frames: those of the clip. Frames within ceil(fft / hop) + 1 of an end that is not the clip's come out wrong.
+    """
+    w, fft, hop, parts = cfg.weights(), cfg.fft, cfg.hop, -(-cfg.fft // cfg.hop)
+    wide = parts * hop
+
+    def added(y: np.ndarray) -> np.ndarray:
+        out = np.zeros((count + parts - 1, hop))
+        for j in range(parts):
+            out[j : j + count] += y[:, j * hop : (j + 1) * hop]
+        return out.ravel()[: (count - 1) * hop + fft]
+
+    square = np.zeros(wide)
+    square[:fft] = w * w
+    norm = added(np.broadcast_to(square, (count, wide)))
+    norm[norm == 0] = 1.0
+    n, start = _signal_length(frames, cfg), cfg.left - first * hop  # where the signal begins in this run of frames
+    at = np.arange(len(norm)) - start
+    outside = np.flatnonzero((at < 0) | (at >= n))
+    q = at[outside]
+    if cfg.pad == "reflect":
+        q = np.mod(q, max(2 * (n - 1), 1))
+        q = np.zeros_like(q) if n == 1 else np.where(q < n, q, 2 * (n - 1) - q)
+    read = np.clip(np.clip(q, 0, n - 1) + start, 0, len(norm) - 1)
+
+    def of(z: np.ndarray) -> np.ndarray:
+        y = np.zeros((count, wide))
+        y[:, :fft] = np.fft.irfft(z, fft, axis=1) * w
+        y = added(y) / norm
+        y[outside] = 0.0 if cfg.pad == "zero" else y[read]
+        return np.fft.rfft(np.lib.stride_tricks.sliding_window_view(y, fft)[::hop] * w, axis=1)
+
+    return of
+
+
+def griffin_lim(
+    spectra: DataFrame, cfg: StftConfig, iterations: int = 32, momentum: float = 0.99, init: str | None = None, frames_per_tile: int = 512, together: int = 8
+) -> DataFrame:
+    """re, im of a signal whose magnitudes approach the given ones; istft gives it at any length.
+
+    init: a column of first phases, in radians; zero without one. An iteration moves
+    what a frame knows by ceil(fft / hop) + 1 frames, so tiles that carry that many
+    neighbours for each of `together` iterations do these alone, and
+    iterations / together shuffles do all, for clips of any length.
+    """
+    check(cfg.hop <= cfg.fft and momentum >= 0 and iterations >= 1 and together >= 1, "hop above fft, negative momentum, or no iteration")
+    reach, beta = -(-cfg.fft // cfg.hop) + 1, momentum / (1 + momentum)
+    phase = [F.transform(init, F.cos), F.transform(init, F.sin)] if init else [F.transform("s", lambda _: F.lit(1.0)), F.transform("s", lambda _: F.lit(0.0))]
+    zero = F.transform("s", lambda _: F.lit(0.0))
+    rows = spectra.select(*KEY, "frame", "s", *(c.alias(n) for c, n in zip((*phase, zero, zero), ("p", "q", "a", "b"), strict=True)))
+
+    def passed(count: int):
+        def of(s, p, q, a, b, first, p0, p1):
+            phase, before = p + 1j * q, a + 1j * b
+            if _signal_length(first + len(s), cfg) > 0:
+                again = _reanalysis(cfg, first, len(s), first + len(s))
+                for _ in range(count):
+                    c = again(s * phase)
+                    moved = c - beta * before
+                    before, size = c, np.abs(moved)
+                    phase = np.where(size > C.TINY, moved / np.where(size > C.TINY, size, 1.0), 1.0)
+            own = slice(p0 - first, p1 - first)
+            return s[own], *(x[own].copy() for x in (phase.real, phase.imag, before.real, before.imag))
+
+        return of
+
+    for done in range(0, iterations, together):
+        count = min(together, iterations - done)
+        rows = _by_tiles(rows, ["s", "p", "q", "a", "b"], ", ".join(f"{n} array<double>" for n in "spqab"), frames_per_tile, reach * count, passed(count))
+    times = lambda c: F.zip_with("s", c, lambda x, y: x * y)
+    return rows.select(*KEY, "frame", times("p").alias("re"), times("q").alias("im"))
 
 
 def spectral_convergence(a: DataFrame, b: DataFrame) -> DataFrame:

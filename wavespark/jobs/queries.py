@@ -264,6 +264,37 @@ def wav_round_trip(spark, sf_dir):
     return _samples(clips.withColumn("clip_id", F.regexp_extract("clip_id", r"([^/]+)\.wav$", 1)))
 
 
+def _written(spark, sf_dir) -> str:
+    """Every vector as a WAV file of 64-bit samples."""
+    path = _shared(spark)
+    audio.write_audio(_embeddings(spark, sf_dir), path, "float64").write.format("noop").mode("overwrite").save()
+    return path
+
+
+def _named(column: str):
+    """The vector's id in the name of its file."""
+    return F.regexp_extract(column, r"([^/]+)\.wav$", 1).cast("bigint").alias("clip_id")
+
+
+def wav_info(spark, sf_dir):
+    """Facts of the files from their headers."""
+    return audio.audio_info(spark, _written(spark, sf_dir)).select(_named("path"), "n", "sample_rate", "channels", "encoding")
+
+
+def wav_blocks(spark, sf_dir):
+    """The files read by byte ranges, in blocks of 10 samples; ranges behind sample 40 are not read."""
+    ranges = audio.audio_ranges(audio.audio_info(spark, _written(spark, sf_dir)), 10, 2).where("start < 40")
+    out = audio.read_ranges(ranges, 10).select(_named("clip_id"), "block", "start", F.posexplode("samples").alias("i", "x"))
+    return out.select("clip_id", "block", (F.col("start") + F.col("i")).alias("pos"), _round("x"))
+
+
+def wav_resampled(spark, sf_dir):
+    """The files read at another rate, block by block."""
+    blocks, _ = audio.read_audio_blocks(spark, _written(spark, sf_dir), 10, RATE * _UP // _DOWN, quality="fast")
+    out = blocks.select(_named("clip_id"), "start", F.posexplode("samples").alias("i", "x"))
+    return out.select("clip_id", (F.col("start") + F.col("i")).alias("pos"), _round("x"))
+
+
 def _chunks(spark, sf_dir, chunk: int = 10) -> DataFrame:
     clips = _embeddings(spark, sf_dir).where("n > 0")
     seq = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / chunk)))
@@ -366,7 +397,7 @@ QUERIES = {f.__name__: f for f in (
     event_signals, rms, zcr, document_rms, power_spectrum, stft, mel, mfcc, chroma, spectral_shape, spectral_contrast, onset_strength, istft_round_trip,
     decibels, pcm, peaks, median_time, downmix, resample, hpss, time_stretch, pitch_shift, griffin_lim,
     event_power, conversions, frame_times, power_db_of_maximum, mel_applied, chroma_applied, rms_of_spectrogram, median_freq, seek_blocks, stft_range, aligned,
-    cqt, vqt, chroma_cqt, cqt_halved, wav_round_trip, stream_power, stream_zcr, window_rms, stream_istft, stream_onset, stream_resample, stream_cqt, stream_chroma, stream_rejects,
+    cqt, vqt, chroma_cqt, cqt_halved, wav_round_trip, wav_info, wav_blocks, wav_resampled, stream_power, stream_zcr, window_rms, stream_istft, stream_onset, stream_resample, stream_cqt, stream_chroma, stream_rejects,
 )}
 
 
@@ -561,3 +592,8 @@ ORACLE_SQL |= {
       ) JOIN h USING (i) WHERE k >= 0 AND k < m GROUP BY clip_id, pos)
       SELECT k.clip_id, k.pos, round(coalesce(v, 0), 6) + 0.0::DOUBLE AS v FROM k LEFT JOIN r USING (clip_id, pos)""",
 }
+ORACLE_SQL |= {
+    "wav_info": f"WITH {_EMB} SELECT clip_id, n, {RATE}::BIGINT AS sample_rate, 1::INTEGER AS channels, 'float64' AS encoding FROM c",
+    "wav_blocks": f"WITH {_EMB} SELECT clip_id, pos // 10 AS block, pos, round(s[pos + 1], 6) + 0.0::DOUBLE AS v FROM c, generate_series(0, 39) AS g(pos) WHERE pos < n",
+    "wav_resampled": ORACLE_SQL["resample"].replace(_USERS, _EMB),
+}

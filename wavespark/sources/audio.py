@@ -1,7 +1,10 @@
-"""WAV files to clips and back: one file a row, decoded and encoded in Arrow batches.
+"""WAV files to clips, or to blocks by byte ranges, and back; what can't be read becomes a reject row.
 
-A file is decoded whole in one task (binaryFile reads up to 2 GB); blocks and
-tiles spread its samples afterwards. What can't be read becomes a reject row.
+audio_info reads headers only. read_audio_blocks cuts each file into ranges that
+any tasks read, so a long file is many rows and never whole in one task; it
+can mix down and resample while reading. read_audio decodes a file whole in one task
+(binaryFile reads up to 2 GB) and is for short ones. Ranged reads use the file systems
+of Arrow: local paths and those it knows by scheme.
 """
 
 from __future__ import annotations
@@ -9,7 +12,9 @@ from __future__ import annotations
 import os
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import check
+from ..operators.transforms import resample_filter, resampled
 
 #: Encoding to (format tag, bits).
 ENCODINGS = {"pcm16": (1, 16), "pcm24": (1, 24), "pcm32": (1, 32), "float32": (3, 32), "float64": (3, 64)}
@@ -26,6 +32,7 @@ _READ = (
     "path string, channel int, sample_rate int, n bigint, samples array<double>, encoding string, channels int,"
     " error struct<kind:string,expected:bigint,read:bigint>"
 )
+_ERROR = pa.struct([("kind", pa.string()), ("expected", pa.int64()), ("read", pa.int64())])
 
 
 def format_of_path(path: Column) -> Column:
@@ -38,28 +45,45 @@ class Unreadable(Exception):
     """kind, and for truncated data the bytes expected and read."""
 
 
-def _header(data: bytes) -> tuple[int, int, int, str, int, int]:
-    """(channels, sample rate, bytes a frame, encoding, first data byte, data bytes)."""
-    if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+#: Bytes of a header that are read at once, and of each later chunk's head.
+HEAD, NEXT = 512, 64
+#: Factors of a change of rate beyond which a file is refused: the filter grows with them.
+FACTOR = 1 << 16
+
+
+def _header(read: Callable[[int, int], bytes], length: int) -> tuple[int, int, int, str, int, int]:
+    """(channels, sample rate, bytes a frame, encoding, first data byte, data bytes) of a file of `length` bytes.
+
+    read(at, count) gives bytes of it, fewer at its end. Chunks are skipped by their
+    sizes, so a few hundred bytes are read, wherever the data begin.
+    """
+    head = read(0, HEAD)
+    if len(head) < 12 or head[:4] not in (b"RIFF", b"RF64") or head[8:12] != b"WAVE":
         raise Unreadable("unrecognized_format", None, None)
-    at, form = 12, None
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if name == b"fmt ":
-            if size < 16 or at + 24 > len(data):
-                raise Unreadable("truncated", size, len(data) - at - 8)
-            tag, channels, rate, _, width, bits = struct.unpack_from("<HHIIHH", data, at + 8)
-            if tag == 0xFFFE and size >= 26 and at + 34 <= len(data):  # extensible: the tag stands in the sub-format
-                tag = struct.unpack_from("<H", data, at + 32)[0]
+    at, form, long = 12, None, None
+    while at + 8 <= length:
+        data = head[at : at + NEXT] if at + NEXT <= len(head) else read(at, NEXT)
+        name, size = data[:4], struct.unpack_from("<I", data, 4)[0]
+        if name == b"ds64" and head[:4] == b"RF64" and size >= 16 and len(data) >= 24:
+            long = struct.unpack_from("<Q", data, 16)[0]
+        elif name == b"fmt ":
+            if size < 16 or len(data) < 24:
+                raise Unreadable("truncated", size, length - at - 8)
+            tag, channels, rate, _, width, bits = struct.unpack_from("<HHIIHH", data, 8)
+            if tag == 0xFFFE and size >= 26 and len(data) >= 34:  # extensible: the tag stands in the sub-format
+                tag = struct.unpack_from("<H", data, 32)[0]
             if (tag, bits) not in _NAMES or not channels or not rate or width != channels * bits // 8:
                 raise Unreadable("unsupported", None, None)
             form = channels, rate, width, _NAMES[tag, bits]
         elif name == b"data":
             if form is None:
                 raise Unreadable("unrecognized_format", None, None)
-            return *form, at + 8, size
+            size, first = long if long is not None and size == 0xFFFFFFFF else size, at + 8
+            if first + size > length or size % form[2]:
+                raise Unreadable("truncated", size, min(size, length - first))
+            return *form, first, size
         at += 8 + size + size % 2
-    raise Unreadable("truncated", at, len(data))
+    raise Unreadable("truncated", at, length)
 
 
 def _samples(data: bytes, encoding: str) -> np.ndarray:
@@ -85,9 +109,138 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
-def audio_info(spark: SparkSession, path: str) -> DataFrame:
-    """Header facts of each file: path, n, sample_rate, channels, encoding, error."""
-    return read_audio_rows(spark, path).groupBy("path").agg(*(F.first(c).alias(c) for c in ("n", "sample_rate", "channels", "encoding", "error")))
+def _opened(path: str) -> pa.NativeFile:
+    """A path as Spark lists it, for ranged reads."""
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    store, inside = fs.FileSystem.from_uri(quote(path, safe=":/@=&?+,;!$'()*~"))
+    return store.open_input_file(inside)
+
+
+def _factors(rate: int, target: int) -> int:
+    return max(rate, target) // int(np.gcd(rate, target))
+
+
+def audio_info_of(paths: DataFrame, sample_rate: int | None = None) -> DataFrame:
+    """Header facts of each file named in column path: n, sample_rate, channels, encoding, width, first (data byte), error.
+
+    Some hundred bytes of a file are read. error.kind: not_found, permission_denied,
+    io, unrecognized_format, unsupported, truncated; a null path is not found. Where the
+    file is to be read at `sample_rate`, a rate that no filter is made for is unsupported.
+    """
+    fields = {"path": pa.string(), "n": pa.int64(), "sample_rate": pa.int64(), "channels": pa.int32(), "encoding": pa.string(), "width": pa.int32(), "first": pa.int64(), "error": _ERROR}
+
+    def of(path: str | None) -> tuple:
+        try:
+            if path is None:
+                raise FileNotFoundError
+            with _opened(path) as f:
+
+                def read(at: int, count: int) -> bytes:
+                    f.seek(at)
+                    return f.read(count)
+
+                channels, rate, width, encoding, first, size = _header(read, f.size())
+            if sample_rate and _factors(rate, sample_rate) > FACTOR:
+                raise Unreadable("unsupported", None, None)
+            return path, size // width, rate, channels, encoding, width, first, None
+        except Unreadable as e:
+            error = e.args
+        except FileNotFoundError:
+            error = "not_found", None, None
+        except PermissionError:
+            error = "permission_denied", None, None
+        except OSError:
+            error = "io", None, None
+        return path, None, None, None, None, None, None, dict(zip(("kind", "expected", "read"), error, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [of(p) for p in b.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(fields.values())], names=list(fields))
+
+    ddl = "path string, n bigint, sample_rate bigint, channels int, encoding string, width int, first bigint, error struct<kind:string,expected:bigint,read:bigint>"
+    return paths.select("path").mapInArrow(run, ddl)
+
+
+def audio_info(spark: SparkSession, path: str, sample_rate: int | None = None) -> DataFrame:
+    """audio_info_of every file below path, as Spark lists them: without reading contents, and without empty files."""
+    return audio_info_of(_files(spark, path).select("path"), sample_rate)
+
+
+def audio_ranges(info: DataFrame, block: int = 65536, blocks: int = 16, sample_rate: int | None = None) -> DataFrame:
+    """info with a row for each run of up to `blocks` blocks of a readable file: start, end (at sample_rate, where given) and n alike.
+
+    Rows filtered out here are never read.
+    """
+    check(block >= 1 and blocks >= 1 and (sample_rate is None or sample_rate >= 1), "block, blocks and sample_rate are positive")
+    m = F.expr(f"(n * {sample_rate} + sample_rate - 1) div sample_rate") if sample_rate else F.col("n")
+    rows = info.where("error is null").withColumn("m", m).where("m > 0")
+    run = block * blocks
+    start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1, F.lit(run).cast("bigint")))
+    return rows.withColumn("start", start).withColumn("end", F.least(F.col("m"), F.col("start") + run))
+
+
+@lru_cache(maxsize=4)
+def _filter(rate: int, target: int, quality: str):
+    return resample_filter(rate, target, quality)
+
+
+def read_ranges(ranges: DataFrame, block: int = 65536, sample_rate: int | None = None, mono: bool = False, quality: str = "high", tasks: int | None = None) -> DataFrame:
+    """Blocks (clip_id, channel, sample_rate, n, block, start, samples) of audio_ranges' rows, as to_blocks gives them for whole clips.
+
+    mono: the mean of the channels, added in their order, before any change of rate.
+    sample_rate: blocks at that rate; each reads the bytes that its filter reaches, so
+    the native signal is never put together. Ranges are dealt to `tasks` tasks (by
+    default spark.sql.shuffle.partitions); a task holds one block of all channels. A
+    file that fails after its header was read fails the task, which Spark repeats.
+    """
+    spark = ranges.sparkSession
+    names = ["clip_id", "channel", "sample_rate", "n", "block", "start", "samples"]
+
+    def decoded(f, r: dict, lo: int, hi: int) -> np.ndarray:
+        """Frames lo to hi as [channels, frames], silence outside the file."""
+        a, b = max(0, min(lo, r["n"])), max(0, min(hi, r["n"]))
+        f.seek(r["first"] + a * r["width"])
+        data = f.read((b - a) * r["width"])
+        if len(data) != (b - a) * r["width"]:
+            raise OSError(f"{r['path']} became shorter while it was read")
+        x = _samples(data, r["encoding"]).reshape(-1, r["channels"]).T
+        if mono:
+            x = (sum(x[1:], x[0].copy()) * (1 / len(x)))[None]
+        return np.pad(x, ((0, 0), (a - lo, hi - b))) if a > lo or hi > b else x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                rate = sample_rate or r["sample_rate"]
+                with _opened(r["path"]) as f:
+                    for start in range(r["start"], r["end"], block):
+                        count = min(block, r["end"] - start)
+                        if rate == r["sample_rate"]:
+                            x = decoded(f, r, start, start + count)
+                        else:
+                            up, down, reach, h = _filter(r["sample_rate"], rate, quality)
+                            lo, hi = start * down // up - reach, (start + count - 1) * down // up + reach + 1
+                            x = [resampled(c, lo, start, count, up, down, reach, h) for c in decoded(f, r, lo, hi)]
+                        k = len(x)
+                        columns = [[r["path"]] * k, range(k), [rate] * k, [r["m"]] * k, [start // block] * k, [start] * k]
+                        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                        made = [pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)]
+                        yield pa.RecordBatch.from_arrays([*made, pa.array(list(x), pa.list_(pa.float64()))], names=names)
+
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = ranges.select("path", "n", "m", "sample_rate", "channels", "encoding", "width", "first", "start", "end").repartition(tasks, "path", "start")
+    return rows.mapInArrow(run, "clip_id string, channel int, sample_rate int, n bigint, block bigint, start bigint, samples array<double>")
+
+
+def read_audio_blocks(
+    spark: SparkSession, path: str, block: int = 65536, sample_rate: int | None = None, mono: bool = False, quality: str = "high", tasks: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(blocks, rejects) of every file below path; a file without samples gives no block. Headers are read for each of the two."""
+    info = audio_info(spark, path, sample_rate)
+    blocks = read_ranges(audio_ranges(info, block, sample_rate=sample_rate), block, sample_rate, mono, quality, tasks)
+    return blocks, info.where("error is not null").select("path", "error.*")
 
 
 def read_audio_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -95,14 +248,12 @@ def read_audio_rows(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "channel", "sample_rate", "n", "samples", "encoding", "channels", "error"]
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.string(), pa.int32(), pa.struct([("kind", pa.string()), ("expected", pa.int64()), ("read", pa.int64())])]
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.string(), pa.int32(), _ERROR]
         for b in batches:
             for i in range(b.num_rows):
                 where, data, rows = b.column("path")[i].as_py(), b.column("content")[i].as_py(), []
                 try:
-                    channels, rate, width, encoding, first, size = _header(data)
-                    if first + size > len(data) or size % width:
-                        raise Unreadable("truncated", size, min(size, len(data) - first))
+                    channels, rate, _, encoding, first, size = _header(lambda at, n, data=data: data[at : at + n], len(data))
                     x = _samples(data[first : first + size], encoding).reshape(-1, channels)
                     rows = [(where, c, rate, len(x), x[:, c], encoding, channels, None) for c in range(channels)]
                 except Unreadable as e:

@@ -35,6 +35,8 @@ PAIRS = 100_000
 BANDS, ROWS = 24, 6
 #: Documents of a key that the others are held against in one round at most.
 FIRSTS = 64
+#: How many times more it is held against in each further round.
+GROWTH = 8
 #: Rows of sets that are handed on at a time, and bytes of the sets, about.
 SET_ROWS, SET_BYTES = 1_000, 4_000_000
 
@@ -292,7 +294,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     band of MinHash values are candidates. Each is held against the smallest
     undecided documents under its keys by the Jaccard similarity of the shingle
     sets: one of each key in the first round, so that a large group of copies falls
-    to its smallest member, and twice as many in each further one, up to FIRSTS. A
+    to its smallest member, and GROWTH times as many in each further one, up to FIRSTS. A
     document that was held against all smaller ones of its keys and is like none
     stays; those like it go. This is repeated until every document is decided; no
     two documents are held against each other twice.
@@ -334,7 +336,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
         stay = materialize(whole.join(alike.select("id").distinct(), "id", "left_anti"), "stay")
         gone = materialize(alike.join(stay.withColumnRenamed("id", "first"), "first").select("id").distinct(), "gone")
         removed.append(gone)
-        left, m = materialize(left.join(gone.unionByName(stay), "id", "left_anti"), "left"), min(2 * m, FIRSTS)
+        left, m = materialize(left.join(gone.unionByName(stay), "id", "left_anti"), "left"), min(GROWTH * m, FIRSTS)
         undecided = left.select("id").distinct()
         both_left = lambda pairs, u=undecided: pairs.join(u, "id", "left_semi").join(u.withColumnRenamed("id", "first"), "first", "left_semi").select("id", "first")
         compared, likes = materialize(both_left(met.unionByName(compared)), "compared"), materialize(both_left(alike), "likes")

@@ -488,6 +488,36 @@ def test_near_duplicates_many_classes(spark):
     assert kept == _greedy(texts) == set(range(0, 24, 3))
 
 
+def test_values_apart_estimates_the_similarity(spark):
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+    texts = [" ".join(base)] + [" ".join(f"x{x}" if rng.random() < share else w for x, w in enumerate(base)) for share in (0.005, 0.02, 0.04, 0.1, 0.5, 1.0)]
+    rows = simhash.minhash_bands(docs_of(spark, texts).select(F.col("doc_id").alias("id"), "text"), 5)
+    first = rows.where("id = 0").select(F.col("planes").alias("other"))
+    got = dict(rows.join(first.hint("merge")).select("id", simhash.values_apart(F.col("planes"), F.col("other"))).collect())
+    own = _shingles(texts[0])
+    for i, text in enumerate(texts):
+        alike = len(own & _shingles(text)) / len(own | _shingles(text))
+        assert abs(got[i] / 144 - (1 - alike) * 15 / 16) < 0.17
+        assert alike < 0.8 or got[i] <= simhash.most_apart(0.8)
+    assert got[0] == 0
+
+
+def test_near_duplicates_of_one_site_take_few_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    page = [f"s{x}" for x in rng.integers(0, 10**6, 200)]  # pages alike but not similar, and two copies at the end
+    texts = []
+    for d in range(600):
+        at = set(rng.choice(200, 9, replace=False).tolist())
+        texts.append(" ".join(f"d{d}x{i}" if i in at else w for i, w in enumerate(page)))
+    texts += [texts[5] + " more", texts[599] + " other"]
+    rounds, write = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: (rounds.append(1) if name == "firsts" else None, write(df, name))[1])
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs_of(spark, texts)).collect()}
+    assert kept == _greedy(texts)
+    assert len(rounds) <= 5  # 1, 8, 64, 512 documents of a key, and perhaps the rest
+
+
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(2)
     vectors = [[float(v) for v in rng.normal(0, 0.3, 8)] for _ in range(600)] + [[0.5] * 8] * 300

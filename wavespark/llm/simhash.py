@@ -15,12 +15,14 @@ spanning forest of its links only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +35,12 @@ SEED = 42
 PAIRS = 100_000
 #: MinHash bands and values in each: two sets of similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS, 0.9993 at 0.8, 0.02 at 0.3.
 BANDS, ROWS = 24, 6
+#: Bits of each MinHash value that are kept for estimates of the similarity, as planes of 64-bit words.
+PLANES = 4
+#: A pair is not checked where its values differ by so many standard deviations more than those of just similar sets do (3e-5 of these).
+DEVIATIONS = 4.0
 #: Documents of a key that the others are held against in one round at most.
-FIRSTS = 64
+FIRSTS = 512
 #: How many times more it is held against in each further round.
 GROWTH = 8
 #: Rows of sets that are handed on at a time, and bytes of the sets, about.
@@ -262,13 +268,18 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def minhash_bands(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, text) to (id, digest, keys, size): a key for each band of MinHash values of the shingle set; empty sets share one."""
+    """(id, text) to (id, digest, keys, planes, size): a key for each band of MinHash values of the shingle set; empty sets share one.
+
+    planes: the low bits of all values, each bit in words of its own (see values_apart).
+    """
+    words = -(-bands * rows // 64)
     salts = np.random.default_rng(SEED).integers(0, 2**63, (2, bands * rows), dtype=np.uint64)
     turn, scale = salts[0][:, None], (salts[1] | np.uint64(1))[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digests, sizes, keys = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64), []
+            bits = np.zeros((b.num_rows, PLANES, 64 * words), np.uint8)
             for i, h in enumerate(_sets(b.column("text"), shingle)):
                 digests[i], sizes[i] = set_digest(h), len(h)
                 least = np.full(bands * rows, ~np.uint64(0))
@@ -276,15 +287,32 @@ def minhash_bands(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int =
                     x = h[lo : lo + 256] ^ turn
                     x *= scale
                     np.minimum(least, x.min(axis=1), out=least)
+                bits[i, :, : len(least)] = (mix(least) >> np.arange(PLANES, dtype=np.uint64)[:, None]) & np.uint64(1)
                 key = np.arange(1, bands + 1).astype(np.uint64) if len(h) else np.zeros(1, np.uint64)
                 for column in (least.reshape(bands, rows).T if len(h) else ()):
                     key = mix(key * np.uint64(31) + column)
                 keys.append(key)
             cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digests.view(np.int64)), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)), pa.array(sizes)], names=["id", "digest", "keys", "size"])
+            planes = np.packbits(bits, axis=2, bitorder="little").reshape(-1).view(np.int64)
+            starts = np.arange(b.num_rows + 1, dtype=np.int32) * PLANES * words
+            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for at, x in ((cut, flat), (starts, planes))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digests.view(np.int64)), *lists, pa.array(sizes)], names=["id", "digest", "keys", "planes", "size"])
+
+    return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], *T.StructType.fromDDL("digest bigint, keys array<bigint>, planes array<bigint>, size bigint").fields]))
+
+
+def values_apart(a: Column, b: Column, values: int = BANDS * ROWS) -> Column:
+    """How many of the MinHash values differ in their low bits, 64 at a time: the planes' differences are united and counted."""
+    words = -(-values // 64)
+    apart = [reduce(Column.bitwiseOR, (a[p * words + w].bitwiseXOR(b[p * words + w]) for p in range(PLANES))) for w in range(words)]
+    return reduce(Column.__add__, map(F.bit_count, apart))
+
 
-    return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], *T.StructType.fromDDL("digest bigint, keys array<bigint>, size bigint").fields]))
+def most_apart(similarity: float, values: int = BANDS * ROWS) -> int:
+    """The most values_apart of a pair that is checked: the mean of just similar sets and DEVIATIONS beyond it."""
+    p = (1 - similarity) * (1 - 2.0**-PLANES)
+    return math.ceil(values * p + DEVIATIONS * math.sqrt(values * p * (1 - p)))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,9 +320,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
 
     Documents of equal shingle sets are merged first. Sets that share the key of a
     band of MinHash values are candidates. Each is held against the smallest
-    undecided documents under its keys by the Jaccard similarity of the shingle
-    sets: one of each key in the first round, so that a large group of copies falls
-    to its smallest member, and GROWTH times as many in each further one, up to FIRSTS. A
+    undecided documents under its keys: one of each key in the first round, so that
+    a large group of copies falls to its smallest member, and GROWTH times as many in
+    each further one, up to FIRSTS. The join by keys counts the MinHash values that
+    differ, so that pairs which are far from similar are never made rows; the others
+    are decided by the Jaccard similarity of the shingle sets. A
     document that was held against all smaller ones of its keys and is like none
     stays; those like it go. This is repeated until every document is decided; no
     two documents are held against each other twice.
@@ -305,7 +335,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     def texts_of(rows: DataFrame) -> DataFrame:
         return rows.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
-    signs = minhash_bands(texts_of(docs.where(F.col(id_col).isNotNull())), shingle).groupBy("id").agg(F.min(F.struct("digest", "keys", "size")).alias("own"))
+    signs = minhash_bands(texts_of(docs.where(F.col(id_col).isNotNull())), shingle).groupBy("id").agg(F.min(F.struct("digest", "keys", "planes", "size")).alias("own"))
     signs = materialize(signs.select("id", "own.*"), "signs")
     least = materialize(signs.groupBy("digest").agg(F.min("id").alias("first")), "first")
     gone = materialize(signs.join(least, "digest").where("id > first").select("id"), "copies")
@@ -318,12 +348,15 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     sets = shingle_sets(texts_of(docs.join(members.select("__id").hint("merge"), F.col(id_col) == F.col("__id"), "left_semi")), shingle)
     sets = sets.join(members, (F.col("id") == F.col("__id")) & (F.col("digest") == F.col("__digest")), "left_semi").dropDuplicates(["id"])
     sets = materialize(sets.select("id", "set"), "sets")
+    # the planes go only to rows under shared keys
+    left = materialize(left.select("id", "size", "key").join(signs.select("id", "planes").hint("merge"), "id"), "candidates")
     removed, m = [gone], 1
     compared = likes = materialize(left.select("id", F.col("id").alias("first")).limit(0), "compared")  # pairs of undecided documents: all that met, and those alike
     while not left.isEmpty():
         rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        firsts = materialize(left.withColumn("rank", rank).where(F.col("rank") <= m).select("key", F.col("id").alias("first"), F.col("size").alias("other")), "firsts")
+        firsts = materialize(left.withColumn("rank", rank).where(F.col("rank") <= m).select("key", F.col("id").alias("first"), F.col("size").alias("other"), F.col("planes").alias("others")), "firsts")
         near = F.least("size", "other") >= similarity * F.greatest("size", "other")  # sets that differ more in size can't be similar
+        near &= values_apart(F.col("planes"), F.col("others")) <= most_apart(similarity)
         met = left.join(firsts, "key").where(F.col("first") < F.col("id")).where(near).select("id", "first").distinct()
         met = materialize(met.join(compared, ["id", "first"], "left_anti"), "met")
         both = met.join(sets, "id").join(sets.select(F.col("id").alias("first"), F.col("set").alias("other")), "first")

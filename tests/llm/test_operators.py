@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import time
 import zlib
@@ -207,6 +208,31 @@ def test_lm_counts_are_exact(spark, monkeypatch):
         assert abs(row.background_loss - loss(t.split(), 0)) < 1e-9 and abs(row.target_loss - loss(t.split(), 1)) < 1e-9
 
 
+def test_lm_rows_grow_with_the_keys(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 400)
+    for n in (100, 400):
+        models = lm.fit_models(docs_of(spark, ["one two " * 10] * n).withColumn("target", F.lit(False)))  # five keys, whatever the block
+        blocks, rows = models.counts.agg(F.count_distinct("__block"), F.count("*")).first()
+        assert models.ranges > n / 20 and blocks <= rows <= 5 * blocks
+
+
+def test_lm_query_with_null_and_repeated_ids(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 1500)
+    rows = [(None, f"void w{i % 7} end", "en") for i in range(300)] + [(1, "good good text", "en")] * 50 + [(2, None, "en"), (3, "", "en"), (4, "other text", "en")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (4, 0), (None, 1)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = lm.op5_lm(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    words = len({w for _, t, _ in rows for w in (t or "").split()})
+    first = 0.5 * 50 / 150 + 0.45 * 100 / 150 + 0.05 / (words + 1)  # the word that begins a document is held against all tokens
+    pair = 0.5 * 50 / 100 + 0.45 * 100 / 150 + 0.05 / (words + 1)
+    last = 0.5 * 50 / 100 + 0.45 * 50 / 150 + 0.05 / (words + 1)
+    loss = -(math.log(first) + math.log(pair) + math.log(last)) / 3
+    assert all(abs(r.target_loss - loss) < 1e-9 for r in got if r.doc_id == 1)
+    assert all(r.n_tokens == 0 and r.score == 0 for r in got if r.doc_id in (2, 3))
+    assert all(r.score < 0 for r in got if r.doc_id is None)
+
+
 def test_lines(spark):
     header = "Posted by {} on the old board today"
     texts = [header.format(f"user{i}") + f"\nown line number of text {'abcdefghijkl'[i]} x\n" for i in range(8)] + [None, "", "\n\n", "Posted by user3 on the old board today"]

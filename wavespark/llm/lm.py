@@ -6,10 +6,12 @@ marked as target also for the target. Words and pairs are counted by 64-bit keys
 the models grow with the corpus and are never collected or sent to all tasks.
 
 Documents are dealt to blocks of some megabytes, keys to ranges. A block sends each
-range its distinct keys there, sorted, with their counts, so that the most common word
-is one entry a block. A range adds them up and sends each block the sums of the keys
-it asked for, in the same order and so without the keys; the block scores its
-documents with them. One plan counts and scores, over one shuffle of the documents.
+range where it has keys these, distinct and sorted, with their counts, so that the most
+common word is one entry a block, and that there are never more rows than keys of blocks,
+however many ranges there are. A range adds them up and sends each block the sums of the
+keys it asked for, in the same order and so without the keys; the block scores its
+documents with them. The totals of both models are one row, summed over the ranges. One
+plan counts and scores, over one shuffle of the documents.
 """
 
 from __future__ import annotations
@@ -97,32 +99,48 @@ def _asks(docs: DataFrame, text_col: str, target: Column, ranges: int, counting:
         for m, total in enumerate(counts if counting else []):
             np.add.at(total, at, np.concatenate([f[m + 1] for f in found]))
         cut = np.searchsorted((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
-        packed = [pa.array([_packed(x[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in (keys, *counts)]
-        block = np.full(ranges, t["__block"][0].as_py(), np.int64)
-        return pa.table([pa.array(block), pa.array(np.arange(ranges)), *packed], ["__block", "range", "keys", "background", "target"])
+        some = np.flatnonzero(np.diff(cut))
+        packed = [pa.array([_packed(x[cut[r] : cut[r + 1]]) for r in some], pa.binary()) for x in (keys, *counts)]
+        block = np.full(len(some), t["__block"][0].as_py(), np.int64)
+        return pa.table([pa.array(block), pa.array(some), *packed], ["__block", "range", "keys", "background", "target"])
 
     rows = docs.select("__block", F.col(text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
     return rows.groupBy("__block").applyInArrow(run, "__block bigint, range bigint, keys binary, background binary, target binary")
 
 
+def _sums(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """A range's distinct keys, the keys of each of its rows, all their places among the distinct ones, and both models' sums."""
+    parts = [_unpacked(k) for k in t["keys"].to_pylist()]
+    keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([_unpacked(c) for c in t[m].to_pylist()]), len(keys)).astype(np.int64) for m in ("background", "target")]
+    return keys, parts, at, sums
+
+
 def _answers(asks: DataFrame) -> DataFrame:
-    """(__block, range, background, target): sums for the keys a block asked for; and the range's distinct words and tokens of both models."""
+    """(__block, range, background, target): sums for the keys a block asked for there."""
 
     def run(t: pa.Table) -> pa.Table:
-        parts = [_unpacked(k) for k in t["keys"].to_pylist()]
-        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([_unpacked(c) for c in t[m].to_pylist()]), len(keys)).astype(np.int64) for m in ("background", "target")]
-        word = (keys & np.uint64(1) == 1) & (sums[0] > 0)
-        totals = [int(word.sum()), *(int(s[word].sum()) for s in sums)]
+        _, parts, at, sums = _sums(t)
         cut, rows = np.cumsum([0, *map(len, parts)]), []
         for i, block in enumerate(t["__block"].to_pylist()):
             if block is not None:
-                rows.append((block, t["range"][i].as_py(), *(_packed(s[at[cut[i] : cut[i + 1]]]) for s in sums), *totals))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, out, strict=True)], schema=out)
+                rows.append((block, t["range"][i].as_py(), *(_packed(s[at[cut[i] : cut[i + 1]]]) for s in sums)))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, out, strict=True)], schema=out)
+
+    out = pa.schema([("__block", pa.int64()), ("range", pa.int64()), ("background", pa.binary()), ("target", pa.binary())])
+    return asks.groupBy("range").applyInArrow(run, "__block bigint, range bigint, background binary, target binary")
+
+
+def _totals(asks: DataFrame) -> DataFrame:
+    """One row: the distinct words, and the tokens of both models."""
+
+    def run(t: pa.Table) -> pa.Table:
+        keys, _, _, sums = _sums(t)
+        word = (keys & np.uint64(1) == 1) & (sums[0] > 0)
+        return pa.table({"words": [int(word.sum())], "n_background": [int(sums[0][word].sum())], "n_target": [int(sums[1][word].sum())]})
 
-    whole, packed = pa.int64(), pa.binary()
-    out = pa.schema([("__block", whole), ("range", whole), ("background", packed), ("target", packed), ("words", whole), ("n_background", whole), ("n_target", whole)])
-    return asks.groupBy("range").applyInArrow(run, "__block bigint, range bigint, background binary, target binary, words bigint, n_background bigint, n_target bigint")
+    parts = asks.groupBy("range").applyInArrow(run, "words bigint, n_background bigint, n_target bigint")
+    return parts.agg(F.struct(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in parts.columns)).alias("totals"))
 
 
 def fit_models(docs: DataFrame, text_col: str = "text", target_col: str = "target", blocks: int | None = None) -> Models:
@@ -149,9 +167,9 @@ def cross_entropy_difference(docs: DataFrame, models: Models, text_col: str = "t
     more = T.StructType.fromDDL("n_tokens bigint, target_loss double, background_loss double, score double")
 
     def run(t: pa.Table, known: pa.Table) -> pa.Table:
-        known = known.sort_by("range")
-        words, *totals = (sum(known[c].to_pylist()) for c in ("words", "n_background", "n_target"))
-        counts = [np.concatenate([_unpacked(c) for c in known[m].to_pylist()]) for m in ("background", "target")]
+        known = known.sort_by("range")  # none for a block without words
+        words, *totals = known["totals"][0].as_py().values() if known.num_rows else (0, 0, 0)
+        counts = [np.concatenate([np.zeros(0, np.int64), *(_unpacked(c).view(np.int64) for c in known[m].to_pylist())]) for m in ("background", "target")]
         parts = list(_tokens(t[text_col].combine_chunks()))
         keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(np.concatenate([word, pair])) for _, _, _, word, _, pair in parts)]))
         n, loss = np.zeros(t.num_rows, np.int64), np.zeros((2, t.num_rows))
@@ -170,15 +188,17 @@ def cross_entropy_difference(docs: DataFrame, models: Models, text_col: str = "t
                 loss[m, lo:hi] = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(n[lo:hi], 1)
         return pa.table([*(t[c] for c in names), pa.array(n), pa.array(loss[1]), pa.array(loss[0]), pa.array(loss[0] - loss[1])], [*names, *more.names])
 
-    return blocks.groupBy("__block").cogroup(_answers(asks).groupBy("__block")).applyInArrow(run, T.StructType([*kept, *more.fields]))
+    answers = _answers(asks).withColumn("totals", _totals(asks).scalar())
+    return blocks.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(run, T.StructType([*kept, *more.fields]))
 
 
 def op5_lm(spark, sf_dir: str) -> DataFrame:
     """Every document's cross-entropy difference between good documents (labels.quality) and all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     blocks = count_blocks(docs, F.col("text"))
-    block = block_of(F.col("doc_id"), blocks)
-    good = table(spark, sf_dir, "labels").where("quality = 1").groupBy(block.alias("__block")).agg(F.collect_set("doc_id").alias("good"))
+    # rows with a null id are never targets, so their texts deal them
+    block = F.when(F.col("doc_id").isNull(), block_of(F.col("text"), blocks)).otherwise(block_of(F.col("doc_id"), blocks))
+    good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").groupBy(block_of(F.col("doc_id"), blocks).alias("__block")).agg(F.collect_set("doc_id").alias("good"))
     # joined by block, so that this shuffle of the texts is also the one that counts and scores; the plan is the same at any size
     docs = docs.withColumn("__block", block).join(good.hint("merge"), "__block", "left")
     docs = docs.select("doc_id", "text", "__block", F.array_contains("good", F.col("doc_id")).alias("target"))

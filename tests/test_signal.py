@@ -53,6 +53,17 @@ def test_sql(spark, name):
     assert sorted((tuple(r) for r in got.select(*names).collect()), key=repr) == want
 
 
+def test_decibels_of_odd_values(spark, tmp_path):
+    con = duckdb.connect()
+    odd = "0.0, -3.5, NULL, 'nan'::DOUBLE, 'inf'::DOUBLE, '-inf'::DOUBLE, 1e-7, 5e-7, 1e-11, 1e300, 1.0000005, 2.5000005"
+    con.execute(f"""create table events as select row_number() over () as event_id, value from (
+      select unnest([{odd}])::DOUBLE as value union all select ((i * 7919 * 104729) % 5000000000 + 0.5) / 1e6 from range(0, 30000) t(i) union all select i / 1e7 from range(0, 30000) t(i))""")
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = QUERIES["decibels"](spark, str(tmp_path))
+    want = sorted(map(repr, con.execute(ORACLE_SQL["decibels"]).fetchall()))
+    assert sorted(repr(tuple(r)) for r in got.collect()) == want
+
+
 @pytest.mark.parametrize("pad", ["reflect", "zero", "edge"])
 @pytest.mark.parametrize("tile", [1, 7, 4096])
 def test_stft_does_not_depend_on_tiles(spark, pad, tile):

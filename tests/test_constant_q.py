@@ -5,6 +5,7 @@ import pytest
 
 from wavespark.config import CqtConfig
 from wavespark.operators import constant_q as Q
+from wavespark.operators import frames as O
 
 from test_signal import clips, noise, rows_of
 
@@ -61,3 +62,13 @@ def test_ladder_and_parameters():
             CqtConfig(**bad)
     with pytest.raises(ValueError):
         cfg.chroma_weights(5)
+
+
+def test_characters_are_read_once(spark):
+    """Texts become samples in one pass, not once for each expression that needs their length."""
+    docs = spark.createDataFrame([(0, "a\u00e9\u4e2d\U0001f600b"), (1, None), (2, ""), (3, "x\u0000y"), (4, "z" * 3000)], "doc_id bigint, text string")
+    signals = O.code_point_signals(docs, "doc_id", "text")
+    got = {r.clip_id: (r.n, r.samples) for r in signals.collect()}
+    assert got == {0: (5, [97.0, 233.0, 20013.0, 128512.0, 98.0]), 1: (0, []), 2: (0, []), 3: (2, [120.0, 121.0]), 4: (3000, [122.0] * 3000)}
+    plan = Q.cqt_power(signals, CFG)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and plan.count("MapInArrow") == 2

@@ -529,6 +529,30 @@ def test_values_apart_estimates_the_similarity(spark):
     assert got[0] == 0
 
 
+def test_wide_fingerprints_are_compared_bit_sliced(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    texts = []
+    for c in range(40):
+        base = [f"c{c}w{x}" for x in rng.integers(0, 10_000, 200)]
+        texts += [" ".join(base), " ".join(f"new{c}" if x in (50, 120, 190)[: 1 + c % 3] else w for x, w in enumerate(base))]
+    rows = simhash.wide_fingerprints(docs_of(spark, texts).select(F.col("doc_id").alias("id"), "text"), 5)
+    words = {r.id: np.array(r.words, np.int64).view(np.uint64) for r in rows.collect()}
+    apart = lambda i, j: int(np.bitwise_count(words[i] ^ words[j]).sum())
+    assert max(apart(2 * c, 2 * c + 1) for c in range(40)) <= simhash.most_bits_apart(0.8) < min(apart(2 * c, 2 * c + 2) for c in range(39))
+    first = rows.where("id = 0").select(F.col("words").alias("other"))
+    got = dict(rows.join(first.hint("merge")).select("id", simhash.bits_apart(F.col("words"), F.col("other"))).collect())
+    assert got == {i: apart(0, i) for i in words}
+    # groups under keys link exactly those within the radius, over more than one word
+    prints = rows.select(F.col("id").alias("node"), "words")
+    radius = simhash.most_bits_apart(0.8, simhash.SENT)
+    links = {tuple(r) for r in simhash.links_of_groups(simhash.fingerprint_keys(prints), ["w0", "w1"], radius).distinct().collect()}
+    near = {(j, i) for i in words for j in words if i < j and int(np.bitwise_count(words[i][:2] ^ words[j][:2]).sum()) <= radius}
+    assert links <= near and {(2 * c + 1, 2 * c) for c in range(40)} <= links
+    used, write = [], simhash.links_of_groups
+    monkeypatch.setattr(simhash, "links_of_groups", lambda *args: (used.append(1), write(*args))[1])
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs_of(spark, texts)).collect()} == set(range(0, 80, 2)) and used == [1]
+
+
 def test_near_duplicates_of_one_site_take_few_rounds(spark, monkeypatch):
     rng = np.random.default_rng(6)
     page = [f"s{x}" for x in rng.integers(0, 10**6, 200)]  # pages alike but not similar, and two copies at the end

@@ -11,6 +11,10 @@ A group is compared bit-sliced: 64 members make a lane, held as 64 bit planes. A
 pair (member, lane) updates 64 distances at once with a carry-save counter, plane
 by plane, and is abandoned when all of them exceed the radius. A group hands on a
 spanning forest of its links only.
+
+Near duplicates by Jaccard similarity are found in the same way by wide fingerprints
+(512 bits) of the sets of shingles. Their radius is too large for tables that miss
+nothing, so many tables take a few bits each; the similarity is checked exactly.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +41,14 @@ PAIRS = 100_000
 BANDS, ROWS = 24, 6
 #: Bits of each MinHash value that are kept for estimates of the similarity, as planes of 64-bit words.
 PLANES = 4
-#: A pair is not checked where its values differ by so many standard deviations more than those of just similar sets do (3e-5 of these).
-DEVIATIONS = 4.0
+#: 64-bit words of the wide fingerprints that near duplicates are found by; the first SENT of them are compared bit-sliced.
+WORDS, SENT = 8, 2
+#: Tables, and the bits of a wide fingerprint that key each: two sets of similarity 0.8 share a key with probability 0.999, of 0.9 nearly always.
+TABLES, BITS = 88, 14
+#: A pair is not checked where so many standard deviations more of its bits, or MinHash values, differ than those of just similar sets do (3e-6, 3e-5 of these).
+BIT_DEVIATIONS, DEVIATIONS = 4.5, 4.0
+#: Sets of fewer shingles differ in more bits than the angle between them says: up to FEW_APART of all.
+FEW, FEW_APART = 9, 0.1875
 #: Documents of a key that the others are held against in one round at most.
 FIRSTS = 512
 #: How many times more it is held against in each further round.
@@ -79,18 +89,19 @@ def simhash(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str
 
 
 def _lanes(fps: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bit planes [64, lanes], the valid members of each lane, its first row, and the first lane of each group."""
+    """Bit planes [bits, lanes] of fingerprints [rows, words], the valid members of each lane, its first row, and the first lane of each group."""
     count = (size + 63) // 64
     lane0 = np.concatenate([[0], np.cumsum(count)])
     within = np.arange(lane0[-1]) - np.repeat(lane0[:-1], count)
     begin = np.repeat(first, count) + within * 64
     n = np.minimum(64, np.repeat(first + size, count) - begin)
-    members = np.zeros((len(begin), 64), np.uint64)
+    words = fps.shape[1]
+    members = np.zeros((len(begin), 64, words), np.uint64)
     row = np.repeat(np.arange(len(begin)), n)
     col = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     members[row, col] = fps[begin[row] + col]
-    bits = np.unpackbits(members.view(np.uint8).reshape(len(begin), 64, 8), axis=2, bitorder="little")
-    planes = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").reshape(64, -1, 8).copy().view(np.uint64)[:, :, 0]
+    bits = np.unpackbits(members.view(np.uint8).reshape(len(begin), 64, 8 * words), axis=2, bitorder="little")
+    planes = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").reshape(64 * words, -1, 8).copy().view(np.uint64)[:, :, 0]
     valid = np.where(n == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(n, 63).astype(np.uint64)) - np.uint64(1))
     return planes, valid, begin, lane0
 
@@ -103,8 +114,8 @@ def _compare(query: np.ndarray, lane: np.ndarray, planes: np.ndarray, valid: np.
     """
     width = radius.bit_length() + 1
     alive, over, counter = np.arange(len(query)), ~valid[lane], np.zeros((width, len(query)), np.uint64)
-    for b in range(64):
-        carry = planes[b][lane[alive]] ^ (np.uint64(0) - ((query[alive] >> np.uint64(b)) & np.uint64(1)))
+    for b in range(len(planes)):
+        carry = planes[b][lane[alive]] ^ (np.uint64(0) - ((query[alive, b // 64] >> np.uint64(b % 64)) & np.uint64(1)))
         for w in range(width):
             counter[w], carry = counter[w] ^ carry, counter[w] & carry
         over |= carry
@@ -127,7 +138,7 @@ def _compare(query: np.ndarray, lane: np.ndarray, planes: np.ndarray, valid: np.
 
 
 def _forest(fps: np.ndarray, first: np.ndarray, size: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, root of its group's tree) within sorted groups of rows."""
+    """Links (row, root of its group's tree) within sorted groups of fingerprints [rows, words]."""
     planes, valid, begin, lane0 = _lanes(fps, first, size)
     root = np.arange(len(fps))
     lanes_of = lane0[1:] - lane0[:-1]
@@ -151,7 +162,7 @@ def _forest(fps: np.ndarray, first: np.ndarray, size: np.ndarray, radius: int) -
             _union(root, q[alive[p]], begin[lane[alive[p]]] + j)
         lo = hi
     out = np.flatnonzero(root != np.arange(len(fps)))
-    return fps[out], fps[root[out]]
+    return out, root[out]
 
 
 def _union(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -175,11 +186,16 @@ def near_links(fps: DataFrame, radius: int, spare: int = 4) -> DataFrame:
     for out in combinations(range(blocks), radius):
         mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in range(blocks) if i not in out)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    rows = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("bigint")) for m in masks])).alias("t", "key"))
+    rows = fps.select(F.col("fp").alias("node"), "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("bigint")) for m in masks])).alias("t", "key"))
+    return links_of_groups(rows, ["fp"], radius)
+
+
+def links_of_groups(rows: DataFrame, words: list[str], radius: int) -> DataFrame:
+    """Links (a, b) of nodes under the same (t, key) whose fingerprints, of the columns `words`, are within the radius: forests of groups, compared bit-sliced."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for part in (*batches, None):
+        for part in chain(batches, [None]):
             if part is None:
                 t = held
                 if t is None:
@@ -196,15 +212,16 @@ def near_links(fps: DataFrame, radius: int, spare: int = 4) -> DataFrame:
             if not stop:
                 continue
             t = t.slice(0, stop)
-            kind, key, fp = t["t"].to_numpy(), t["key"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
+            kind, key, node = t["t"].to_numpy(), t["key"].to_numpy(), t["node"].to_numpy()
+            fps = np.stack([t[w].to_numpy().view(np.uint64) for w in words], axis=1)
             first = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])]))
             size = np.diff(np.concatenate([first, [stop]]))
             many = size > 1
             if many.any():
-                a, b = _forest(fp, first[many], size[many], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                a, b = _forest(fps, first[many], size[many], radius)
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-    return rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(groups, "a bigint, b bigint")
+    return rows.select("t", "key", "node", *(w for w in words)).repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(groups, "a bigint, b bigint")
 
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, spare: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,16 +332,70 @@ def most_apart(similarity: float, values: int = BANDS * ROWS) -> int:
     return math.ceil(values * p + DEVIATIONS * math.sqrt(values * p * (1 - p)))
 
 
+def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, text) to (id, digest, size, words): the SimHash of the set of shingles, in WORDS words; where as many hashes have a bit as not, that of a constant."""
+    salts = np.random.default_rng(SEED).integers(0, 2**63, (2, WORDS), dtype=np.uint64)
+    even = np.unpackbits(mix(salts[1].copy()).view(np.uint8), bitorder="little")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, sizes, bits = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, 64 * WORDS), np.uint8)
+            for i, h in enumerate(_sets(b.column("text"), shingle)):
+                digests[i], sizes[i], ones = set_digest(h), len(h), np.zeros(64 * WORDS, np.int64)
+                for lo in range(0, len(h), 255):  # sums that fit a byte
+                    hashes = mix(h[lo : lo + 255, None] ^ salts[0])
+                    ones += np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+                bits[i] = 2 * ones + even > len(h)
+            words = np.packbits(bits, axis=1, bitorder="little").reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * WORDS), pa.array(words))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digests.view(np.int64)), pa.array(sizes), lists], names=["id", "digest", "size", "words"])
+
+    return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], *T.StructType.fromDDL("digest bigint, size bigint, words array<bigint>").fields]))
+
+
+def fingerprint_keys(prints: DataFrame) -> DataFrame:
+    """(node, words) to a row (t, key, node, w0, w1) for each table: key is the bits of the fingerprint that the table takes."""
+    rng = np.random.default_rng(SEED)
+    taken = np.stack([rng.choice(64 * WORDS, BITS, replace=False) for _ in range(TABLES)])
+    kinds, names = [pa.int32(), pa.int32(), *[pa.int64()] * (1 + SENT)], ["t", "key", "node", *(f"w{i}" for i in range(SENT))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SET_ROWS):
+                b = batch.slice(lo, SET_ROWS)
+                words = b.column("words").flatten().to_numpy().reshape(-1, WORDS)
+                bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
+                keys = (bits[:, taken].astype(np.int32) << np.arange(BITS, dtype=np.int32)).sum(axis=2, dtype=np.int32)
+                columns = [np.tile(np.arange(TABLES), len(keys)), keys.ravel(), np.repeat(b.column("node").to_numpy(), TABLES), *(np.repeat(words[:, i], TABLES) for i in range(SENT))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return prints.select("node", "words").mapInArrow(run, "t int, key int, node bigint, " + ", ".join(f"w{i} bigint" for i in range(SENT)))
+
+
+def bits_apart(a: Column, b: Column) -> Column:
+    """How many bits of two wide fingerprints differ."""
+    return reduce(Column.__add__, (F.bit_count(a[w].bitwiseXOR(b[w])) for w in range(WORDS)))
+
+
+def most_bits_apart(similarity: float, words: int = WORDS, few: bool = False) -> int:
+    """The most differing bits of a pair that is checked: the mean of just similar sets, whose cosine is 2s / (1 + s) at least, and BIT_DEVIATIONS beyond it."""
+    p, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * words
+    p = max(p, FEW_APART) if few else p
+    return math.ceil(n * p + BIT_DEVIATIONS * math.sqrt(n * p * (1 - p)))
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs less near duplicates: in the order of ids, a document goes if a smaller one that stays is similar.
 
-    Documents of equal shingle sets are merged first. Sets that share the key of a
-    band of MinHash values are candidates. Each is held against the smallest
+    Documents of equal shingle sets are merged first. Wide SimHash fingerprints of
+    the sets are compared bit-sliced under the keys of many tables, at a radius
+    chosen from the similarity; the links' connected components are the groups of
+    candidates. In a group each document is held against the smallest
     undecided documents under its keys: one of each key in the first round, so that
     a large group of copies falls to its smallest member, and GROWTH times as many in
-    each further one, up to FIRSTS. The join by keys counts the MinHash values that
-    differ, so that pairs which are far from similar are never made rows; the others
-    are decided by the Jaccard similarity of the shingle sets. A
+    each further one, up to FIRSTS. The join by keys counts the bits of the wide
+    fingerprints that differ, so that pairs which are far from similar are never made
+    rows; the others are decided by the Jaccard similarity of the shingle sets. A
     document that was held against all smaller ones of its keys and is like none
     stays; those like it go. This is repeated until every document is decided; no
     two documents are held against each other twice.
@@ -335,28 +406,34 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     def texts_of(rows: DataFrame) -> DataFrame:
         return rows.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
-    signs = minhash_bands(texts_of(docs.where(F.col(id_col).isNotNull())), shingle).groupBy("id").agg(F.min(F.struct("digest", "keys", "planes", "size")).alias("own"))
+    signs = wide_fingerprints(texts_of(docs.where(F.col(id_col).isNotNull())), shingle).groupBy("id").agg(F.min(F.struct("digest", "size", "words")).alias("own"))
     signs = materialize(signs.select("id", "own.*"), "signs")
     least = materialize(signs.groupBy("digest").agg(F.min("id").alias("first")), "first")
     gone = materialize(signs.join(least, "digest").where("id > first").select("id"), "copies")
-    ones = signs.join(least, "digest").where("id = first").select("id", "digest", "size", F.explode("keys").alias("key"))
-    ones = materialize(ones, "keys")
-    shared = materialize(ones.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    left = materialize(ones.join(shared, "key"), "left")
+    # from here on a digest is one document
+    ones = materialize(signs.join(least, "digest").where("id = first").select("id", F.col("digest").alias("node"), "size", "words"), "ones")
+    links = links_of_groups(fingerprint_keys(ones), [f"w{i}" for i in range(SENT)], most_bits_apart(similarity, SENT))
+    linked = materialize(connected_components(links), "groups")
+    linked = materialize(ones.join(linked, "node"), "linked")
+    keys = fingerprint_keys(linked).select("node", F.struct("t", "key").alias("table"))
+    left = keys.join(linked.select("node", "id", "size", "component"), "node").select("id", F.col("node").alias("digest"), "size", F.xxhash64("component", "table").alias("key"))
+    left = materialize(left, "keys")
+    shared = materialize(left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    left = materialize(left.join(shared, "key"), "left")
     # merge joins with the texts: neither the plan nor a task's memory depends on how many documents are candidates
     members = materialize(left.select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).distinct(), "members")
     sets = shingle_sets(texts_of(docs.join(members.select("__id").hint("merge"), F.col(id_col) == F.col("__id"), "left_semi")), shingle)
     sets = sets.join(members, (F.col("id") == F.col("__id")) & (F.col("digest") == F.col("__digest")), "left_semi").dropDuplicates(["id"])
     sets = materialize(sets.select("id", "set"), "sets")
-    # the planes go only to rows under shared keys
-    left = materialize(left.select("id", "size", "key").join(signs.select("id", "planes").hint("merge"), "id"), "candidates")
+    # the fingerprints go only to rows under shared keys
+    left = materialize(left.select("id", "size", "key").join(signs.select("id", "words").hint("merge"), "id"), "candidates")
     removed, m = [gone], 1
     compared = likes = materialize(left.select("id", F.col("id").alias("first")).limit(0), "compared")  # pairs of undecided documents: all that met, and those alike
     while not left.isEmpty():
         rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        firsts = materialize(left.withColumn("rank", rank).where(F.col("rank") <= m).select("key", F.col("id").alias("first"), F.col("size").alias("other"), F.col("planes").alias("others")), "firsts")
+        firsts = materialize(left.withColumn("rank", rank).where(F.col("rank") <= m).select("key", F.col("id").alias("first"), F.col("size").alias("other"), F.col("words").alias("others")), "firsts")
         near = F.least("size", "other") >= similarity * F.greatest("size", "other")  # sets that differ more in size can't be similar
-        near &= values_apart(F.col("planes"), F.col("others")) <= most_apart(similarity)
+        near &= bits_apart(F.col("words"), F.col("others")) <= F.when(F.least("size", "other") < FEW, most_bits_apart(similarity, few=True)).otherwise(most_bits_apart(similarity))
         met = left.join(firsts, "key").where(F.col("first") < F.col("id")).where(near).select("id", "first").distinct()
         met = materialize(met.join(compared, ["id", "first"], "left_anti"), "met")
         both = met.join(sets, "id").join(sets.select(F.col("id").alias("first"), F.col("set").alias("other")), "first")

@@ -568,6 +568,57 @@ def test_near_duplicates_of_one_site_take_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 5  # 1, 8, 64, 512 documents of a key, and perhaps the rest
 
 
+def test_near_duplicates_hand_on_each_pair_once(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    page = [f"s{x}" for x in rng.integers(0, 10**6, 200)]  # one large group of near copies, each in most tables with most others
+    texts = []
+    for d in range(400):
+        at = set(rng.choice(200, 1 + d % 9, replace=False).tolist())
+        texts.append(" ".join(f"d{d}x{i}" if i in at else w for i, w in enumerate(page)))
+    rows, write = [], simhash.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        if name in ("firsts", "met", "left"):
+            rows.append((name, out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs_of(spark, texts)).collect()}
+    assert kept == _greedy(texts)
+    assert all(n == distinct for name, n, distinct in rows if name != "left")
+    first, *_ = (n for name, n, _ in rows if name == "met")
+    assert first <= 400 * 12  # not a pair for each of 88 tables, nor for each two members
+    # a document that is decided leaves all its keys behind; of the others only keys under which they may have more come back
+    assert sum(n for name, n, _ in [r for r in rows if r[0] == "left"][1:]) < 400 * 44
+
+
+@pytest.mark.parametrize("small", [1, 16, 10**6])
+def test_smallest_near_by_brute_force(small, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "PAIRS", 10**6 if small > 16 else 500)
+    rng = np.random.default_rng(small)
+    size = np.array([2, 3, 150, 17, 64, 65, 1, 90])
+    first = np.cumsum(size) - size
+    many = size > 1
+    fps = np.concatenate([np.repeat(rng.integers(0, 2**63, (1, 8), dtype=np.uint64), n, axis=0) for n in size])
+    for i in range(len(fps)):
+        for bit in rng.choice(512, rng.integers(0, 90), replace=False):
+            fps[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    sizes, asks, t = rng.integers(90, 130, len(fps)), rng.random(len(fps)) < 0.7, np.repeat(rng.integers(0, 88, len(size)), size)
+    bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
+    taken, near, here = simhash._taken(), {}, {}
+    for lo, n in zip(first, size, strict=True):
+        for i in (i for i in range(lo, lo + n) if asks[i]):
+            near[i] = [j for j in range(lo, i) if min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j]) and (bits[i] != bits[j]).sum() <= simhash.most_bits_apart(0.8)]
+            here[i] = [not (bits[i] == bits[j])[taken[: t[i]]].all(axis=1).any() for j in near[i]]
+    for most in (1, 8, 1000):
+        a, b, more = simhash._smallest_near(fps, t, sizes, asks, first[many], size[many], 0.8, most)
+        got = set(zip(a.tolist(), b.tolist(), strict=True))
+        assert got == {(i, j) for i in near for j, h in zip(near[i][:most], here[i][:most], strict=True) if h} and len(a) == len(got)
+        assert {i for i in near if any(here[i][most:])} <= set(more.tolist()) <= {i for i in near if len(near[i]) >= most}
+
+
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(2)
     vectors = [[float(v) for v in rng.normal(0, 0.3, 8)] for _ in range(600)] + [[0.5] * 8] * 300

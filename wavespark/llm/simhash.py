@@ -49,8 +49,10 @@ TABLES, BITS = 88, 14
 BIT_DEVIATIONS, DEVIATIONS = 4.5, 4.0
 #: Sets of fewer shingles differ in more bits than the angle between them says: up to FEW_APART of all.
 FEW, FEW_APART = 9, 0.1875
-#: Documents of a key that the others are held against in one round at most.
-FIRSTS = 512
+#: Near documents under a key, the smallest, that a document is held against in the first round.
+FIRSTS = 1
+#: Groups of so many documents are compared pair by pair, larger ones bit-sliced.
+SMALL = 16
 #: How many times more it is held against in each further round.
 GROWTH = 8
 #: Rows of sets that are handed on at a time, and bytes of the sets, about.
@@ -190,36 +192,42 @@ def near_links(fps: DataFrame, radius: int, spare: int = 4) -> DataFrame:
     return links_of_groups(rows, ["fp"], radius)
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Tables of whole groups, from rows sorted by the columns `by`, with the first row and the size of each group of more than one row."""
+    held = None
+    for part in chain(batches, [None]):
+        if part is None:
+            t = held
+            if t is None:
+                return
+            stop = t.num_rows
+        else:
+            if not part.num_rows:
+                continue
+            t = pa.Table.from_batches([part])
+            t = t if held is None else pa.concat_tables([held, t])
+            same = np.logical_and.reduce([t[c].to_numpy() == t[c][-1].as_py() for c in by])
+            stop = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0  # the last group may go on
+            held = t.slice(stop)
+        if not stop:
+            continue
+        t = t.slice(0, stop)
+        keys = [t[c].to_numpy() for c in by]
+        first = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
+        size = np.diff(np.concatenate([first, [stop]]))
+        many = size > 1
+        if many.any():
+            yield t, first[many], size[many]
+
+
 def links_of_groups(rows: DataFrame, words: list[str], radius: int) -> DataFrame:
     """Links (a, b) of nodes under the same (t, key) whose fingerprints, of the columns `words`, are within the radius: forests of groups, compared bit-sliced."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for part in chain(batches, [None]):
-            if part is None:
-                t = held
-                if t is None:
-                    return
-                stop = t.num_rows
-            else:
-                if not part.num_rows:
-                    continue
-                t = pa.Table.from_batches([part])
-                t = t if held is None else pa.concat_tables([held, t])
-                same = (t["t"].to_numpy() == t["t"][-1].as_py()) & (t["key"].to_numpy() == t["key"][-1].as_py())
-                stop = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0  # the last group may go on
-                held = t.slice(stop)
-            if not stop:
-                continue
-            t = t.slice(0, stop)
-            kind, key, node = t["t"].to_numpy(), t["key"].to_numpy(), t["node"].to_numpy()
-            fps = np.stack([t[w].to_numpy().view(np.uint64) for w in words], axis=1)
-            first = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])]))
-            size = np.diff(np.concatenate([first, [stop]]))
-            many = size > 1
-            if many.any():
-                a, b = _forest(fps, first[many], size[many], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+        for t, first, size in _whole_groups(batches, ["t", "key"]):
+            node, fps = t["node"].to_numpy(), np.stack([t[w].to_numpy().view(np.uint64) for w in words], axis=1)
+            a, b = _forest(fps, first, size, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     return rows.select("t", "key", "node", *(w for w in words)).repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(groups, "a bigint, b bigint")
 
@@ -353,10 +361,15 @@ def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], *T.StructType.fromDDL("digest bigint, size bigint, words array<bigint>").fields]))
 
 
+def _taken() -> np.ndarray:
+    """The bits of a wide fingerprint that each table takes."""
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.choice(64 * WORDS, BITS, replace=False) for _ in range(TABLES)])
+
+
 def fingerprint_keys(prints: DataFrame) -> DataFrame:
     """(node, words) to a row (t, key, node, w0, w1) for each table: key is the bits of the fingerprint that the table takes."""
-    rng = np.random.default_rng(SEED)
-    taken = np.stack([rng.choice(64 * WORDS, BITS, replace=False) for _ in range(TABLES)])
+    taken = _taken()
     kinds, names = [pa.int32(), pa.int32(), *[pa.int64()] * (1 + SENT)], ["t", "key", "node", *(f"w{i}" for i in range(SENT))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,21 +397,107 @@ def most_bits_apart(similarity: float, words: int = WORDS, few: bool = False) ->
     return math.ceil(n * p + BIT_DEVIATIONS * math.sqrt(n * p * (1 - p)))
 
 
+def _met_before(apart: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Which pairs, of differing bits [pairs, words], share a key in a table before t, so that they meet there."""
+    bits = np.zeros((TABLES, 64 * WORDS), np.uint8)
+    np.put_along_axis(bits, _taken(), 1, axis=1)
+    out, open_ = np.zeros(len(t), bool), np.arange(len(t))
+    for i, mask in enumerate(np.packbits(bits, axis=1, bitorder="little").view(np.uint64)):
+        open_ = open_[t[open_] > i]
+        shared = ~(apart[open_] & mask).any(axis=1)
+        out[open_[shared]] = True
+        open_ = open_[~shared]
+    return out
+
+
+def _smallest_near(fps: np.ndarray, t: np.ndarray, sizes: np.ndarray, asks: np.ndarray, first: np.ndarray, size: np.ndarray, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row, earlier row of its group) of rows that ask and may be similar, of the first `most` of each, and the rows that may have more.
+
+    A pair is given in the first table only in which it meets. Lanes are taken in the
+    order of rows, so a member of a large group of near copies is held against as many
+    lanes as it takes to find `most`.
+    """
+    usual, few = most_bits_apart(similarity), most_bits_apart(similarity, few=True)
+    found, pairs, more = np.zeros(len(fps), np.int64), [], []
+
+    def take(a: np.ndarray, b: np.ndarray) -> None:
+        less, greater = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])  # sets that differ more in size can't be similar
+        apart = fps[a] ^ fps[b]
+        near = (less >= similarity * greater) & (np.bitwise_count(apart).sum(axis=1) <= np.where(less < FEW, few, usual))
+        a, b, apart = a[near], b[near], apart[near]
+        early = found[a] + np.arange(len(a)) - np.searchsorted(a, a) < most
+        here = ~_met_before(apart, t[a])
+        pairs.append((a[early & here], b[early & here]))
+        more.append(a[~early & here])
+        np.add.at(found, a, 1)
+
+    ask, _, rank = _asking(asks, first[size <= SMALL], size[size <= SMALL])
+    for lo in range(0, len(ask), PAIRS // SMALL):
+        n, begins = rank[lo : lo + PAIRS // SMALL], (ask - rank)[lo : lo + PAIRS // SMALL]
+        take(np.repeat(ask[lo : lo + PAIRS // SMALL], n), np.arange(n.sum()) + np.repeat(begins - np.cumsum(n) + n, n))
+    first, size = first[size > SMALL], size[size > SMALL]
+    planes, valid, begin, lane0 = _lanes(fps, first, size)
+    row, group, rank = _asking(asks, first, size)
+    lane, end = lane0[group], lane0[group] + rank // 64 + (rank % 64 > 0)  # lanes that begin before the row
+    while len(row):
+        for lo in range(0, len(row), PAIRS):
+            r, n = row[lo : lo + PAIRS], lane[lo : lo + PAIRS]
+            alive, mask = _compare(fps[r], n, planes, valid, max(usual, few))
+            p, j = np.nonzero(np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            a, b = r[alive[p]], begin[n[alive[p]]] + j
+            take(a[b < a], b[b < a])
+        lane = lane + 1
+        goes_on, enough = lane < end, found[row] >= most
+        more.append(row[enough & goes_on])
+        row, lane, end = (x[goes_on & ~enough] for x in (row, lane, end))
+    none = np.zeros(0, np.int64)
+    return *(np.concatenate([none, *(p[i] for p in pairs)]) for i in (0, 1)), np.unique(np.concatenate([none, *more]))
+
+
+def _asking(asks: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of groups that ask, the group of each, and its place there."""
+    group = np.repeat(np.arange(len(first)), size)
+    rank = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
+    row = first[group] + rank
+    return row[asks[row]], group[asks[row]], rank[asks[row]]
+
+
+def firsts_of_groups(rows: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Rows (t, key, id, size, words, asks) to (id, first): the smallest documents under its key that one that asks may be similar to, `most` at most.
+
+    Where there may be more, a row (id, key) without first says so. A group is
+    compared bit-sliced; it hands on `most` rows a member, however large it is.
+    """
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, first, size in _whole_groups(batches, ["key"]):
+            fps = np.concatenate([c.flatten().to_numpy() for c in t["words"].chunks]).view(np.uint64).reshape(-1, WORDS)
+            a, b, more = _smallest_near(fps, t["t"].to_numpy(), t["size"].to_numpy(), t["asks"].to_numpy(zero_copy_only=False), first, size, similarity, most)
+            ids = t["id"].combine_chunks()
+            kind, n = ids.type, len(a)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.nulls(n, pa.int64())], names=["id", "first", "key"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(more)), pa.nulls(len(more), kind), pa.array(t["key"].to_numpy()[more])], names=["id", "first", "key"])
+
+    kind = rows.schema["id"].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("first", kind), T.StructField("key", T.LongType())])
+    return rows.select("t", "key", "id", "size", "words", "asks").repartition("key").sortWithinPartitions("key", "id").mapInArrow(groups, schema)
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs less near duplicates: in the order of ids, a document goes if a smaller one that stays is similar.
 
     Documents of equal shingle sets are merged first. Wide SimHash fingerprints of
     the sets are compared bit-sliced under the keys of many tables, at a radius
     chosen from the similarity; the links' connected components are the groups of
-    candidates. In a group each document is held against the smallest
-    undecided documents under its keys: one of each key in the first round, so that
-    a large group of copies falls to its smallest member, and GROWTH times as many in
-    each further one, up to FIRSTS. The join by keys counts the bits of the wide
-    fingerprints that differ, so that pairs which are far from similar are never made
-    rows; the others are decided by the Jaccard similarity of the shingle sets. A
-    document that was held against all smaller ones of its keys and is like none
-    stays; those like it go. This is repeated until every document is decided; no
-    two documents are held against each other twice.
+    candidates. Under its keys in a group each document is held against the smallest
+    ones whose wide fingerprints say that they may be similar: FIRSTS of each key in
+    the first round, so that a large group of copies falls to its smallest members,
+    and GROWTH times as many in each further one, for the documents that are
+    undecided and have more. Pairs are decided by the Jaccard similarity of the
+    shingle sets. A document that was held against all such smaller ones of its keys
+    and is like none that stays or is undecided stays; those like one that stays go.
+    This is repeated until every document is decided; no two documents are held
+    against each other twice.
     Rows of one id are one document (that of the smallest digest counts); rows with
     a null id stay; blank texts are alike; columns of any name are kept.
     """
@@ -416,7 +515,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     linked = materialize(connected_components(links), "groups")
     linked = materialize(ones.join(linked, "node"), "linked")
     keys = fingerprint_keys(linked).select("node", F.struct("t", "key").alias("table"))
-    left = keys.join(linked.select("node", "id", "size", "component"), "node").select("id", F.col("node").alias("digest"), "size", F.xxhash64("component", "table").alias("key"))
+    left = keys.join(linked.select("node", "id", "size", "component"), "node").select("id", F.col("node").alias("digest"), "size", F.xxhash64("component", "table").alias("key"), "table.t")
     left = materialize(left, "keys")
     shared = materialize(left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     left = materialize(left.join(shared, "key"), "left")
@@ -426,30 +525,32 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     sets = sets.join(members, (F.col("id") == F.col("__id")) & (F.col("digest") == F.col("__digest")), "left_semi").dropDuplicates(["id"])
     sets = materialize(sets.select("id", "set"), "sets")
     # the fingerprints go only to rows under shared keys
-    left = materialize(left.select("id", "size", "key").join(signs.select("id", "words").hint("merge"), "id"), "candidates")
-    removed, m = [gone], 1
-    compared = likes = materialize(left.select("id", F.col("id").alias("first")).limit(0), "compared")  # pairs of undecided documents: all that met, and those alike
-    while not left.isEmpty():
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        firsts = materialize(left.withColumn("rank", rank).where(F.col("rank") <= m).select("key", F.col("id").alias("first"), F.col("size").alias("other"), F.col("words").alias("others")), "firsts")
-        near = F.least("size", "other") >= similarity * F.greatest("size", "other")  # sets that differ more in size can't be similar
-        near &= bits_apart(F.col("words"), F.col("others")) <= F.when(F.least("size", "other") < FEW, most_bits_apart(similarity, few=True)).otherwise(most_bits_apart(similarity))
-        met = left.join(firsts, "key").where(F.col("first") < F.col("id")).where(near).select("id", "first").distinct()
+    left = materialize(left.select("id", "size", "key", "t").join(signs.select("id", "words").hint("merge"), "id"), "candidates")
+    rest, asking, removed, m = members.select(F.col("__id").alias("id")), left.withColumn("asks", F.lit(True)), [gone], FIRSTS
+    compared = likes = materialize(left.select("id", F.col("id").alias("first")).limit(0), "compared")  # pairs that met, and those alike of which both are undecided
+    stayed = rest.limit(0)
+    while not rest.isEmpty():
+        firsts = materialize(firsts_of_groups(asking, similarity, m), "firsts")
+        met = firsts.where("first IS NOT NULL").select("id", "first")
         met = materialize(met.join(compared, ["id", "first"], "left_anti"), "met")
         both = met.join(sets, "id").join(sets.select(F.col("id").alias("first"), F.col("set").alias("other")), "first")
         same = F.size(F.array_intersect("set", "other"))
         alike = both.where(same >= similarity * (F.size("set") + F.size("other") - same)).select("id", "first")
         alike = materialize(alike.unionByName(likes), "alike")
         # documents that were held against all smaller ones
-        among = firsts.groupBy(F.col("first").alias("id")).agg(F.count("*").alias("among"))
-        whole = left.groupBy("id").agg(F.count("*").alias("n")).join(among, "id").where("n = among").select("id")
-        stay = materialize(whole.join(alike.select("id").distinct(), "id", "left_anti"), "stay")
-        gone = materialize(alike.join(stay.withColumnRenamed("id", "first"), "first").select("id").distinct(), "gone")
+        further = firsts.where("first IS NULL").select("id", "key")
+        stay = rest.join(further.unionByName(alike.select("id", F.lit(0).cast("bigint").alias("key"))).select("id").distinct(), "id", "left_anti")
+        stayed = materialize(stayed.unionByName(stay), "stayed")
+        gone = materialize(alike.join(stayed.withColumnRenamed("id", "first"), "first").select("id").distinct(), "gone")
         removed.append(gone)
-        left, m = materialize(left.join(gone.unionByName(stay), "id", "left_anti"), "left"), min(GROWTH * m, FIRSTS)
-        undecided = left.select("id").distinct()
-        both_left = lambda pairs, u=undecided: pairs.join(u, "id", "left_semi").join(u.withColumnRenamed("id", "first"), "first", "left_semi").select("id", "first")
-        compared, likes = materialize(both_left(met.unionByName(compared)), "compared"), materialize(both_left(alike), "likes")
+        rest = materialize(rest.join(gone.unionByName(stayed), "id", "left_anti"), "rest")
+        # keys under which an undecided document may have more: those not gone meet again
+        further = materialize(further.join(rest, "id", "left_semi"), "further")
+        left = left.join(further.select("key").distinct(), "key", "left_semi").join(gone, "id", "left_anti")
+        left = materialize(left, "left")
+        asking, m = left.join(further.withColumn("asks", F.lit(True)), ["id", "key"], "left").withColumn("asks", F.col("asks").isNotNull()), GROWTH * m
+        likes = materialize(alike.join(rest, "id", "left_semi").join(rest.withColumnRenamed("id", "first"), "first", "left_semi").select("id", "first"), "likes")
+        compared = materialize(met.unionByName(compared).join(rest, "id", "left_semi"), "compared")
     every = removed[0]
     for g in removed[1:]:
         every = every.unionByName(g)

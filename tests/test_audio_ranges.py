@@ -75,6 +75,41 @@ def test_rejects(spark, tmp_path):
     assert {r.clip_id.rsplit("/", 1)[-1] for r in blocks.collect()} == {"ok.wav", "late.wav"} and rejects.count() == 6
 
 
+def test_packed_clips_are_a_file_a_task(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    clips = clips_of(spark, *((k, c, rng.normal(size=n)) for k, n in ((k, k % 41) for k in range(1, 300)) for c in (0, 1)))
+    index = audio.write_packed(clips, f"{tmp_path}/files", "float64")
+    index.write.parquet(f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    assert index.count() == 299 and len(list((tmp_path / "files").iterdir())) == index.select("path").distinct().count() <= 4
+    info = audio.audio_info_of(index)
+    assert {(r.clip_id, r.n, r.channels) for r in info.collect()} == {(k, k % 41, 2) for k in range(1, 300)} and info.where("error is not null").count() == 0
+    want = {(r.clip_id, r.channel): r.samples for r in clips.collect() if r.n}
+    got = {}
+    for r in sorted(audio.read_ranges(audio.audio_ranges(info, 7), 7).collect(), key=lambda r: r.start):
+        got.setdefault((r.clip_id, r.channel), []).extend(r.samples)
+    assert got == want
+    other = audio.read_ranges(audio.audio_ranges(audio.audio_info_of(index, 12000), 7, sample_rate=12000), 7, 12000, quality="fast")
+    assert other.count() == sum(-(-(-(-n * 3 // 2)) // 7) for n in map(len, want.values()))
+    # a part that ends early is truncated, whatever stands behind it
+    short = audio.audio_info_of(index.where("clip_id in (3, 40)").selectExpr("clip_id", "path", "at", "bytes - 1 as bytes")).collect()
+    assert [r.error.kind for r in short] == ["truncated"] * 2
+    gone = audio.audio_info_of(index.limit(1).selectExpr("clip_id", "concat(path, 'x') as path", "at", "bytes")).collect()
+    assert [r.error.kind for r in gone] == ["not_found"]
+
+
+def test_short_blocks_are_summed_as_long_ones(monkeypatch):
+    rng = np.random.default_rng(9)
+    for rate, target in ((3, 2), (2, 3), (44100, 16000)):
+        up, down, reach, h = X.resample_filter(rate, target, "fast")
+        x = rng.normal(size=2 * reach + 200)
+        for first, count in ((0, 10), (7, 1), (3, 50)):
+            monkeypatch.setattr(X, "AT_ONCE", 0)
+            want = X.resampled(x, -reach, first, count, up, down, reach, h)
+            monkeypatch.undo()
+            assert np.allclose(X.resampled(x, -reach, first, count, up, down, reach, h), want, rtol=0, atol=1e-14)
+
+
 def test_headers_are_read_by_few_bytes():
     for before in (b"", struct.pack("<4sI", b"LIST", 100_000) + bytes(100_000)):
         data, seen = header(4, channels=2, before=before) + bytes(4), []

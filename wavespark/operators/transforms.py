@@ -403,10 +403,17 @@ def resample_filter(sample_rate: int, target: int, quality: str = "high") -> tup
     return up, down, reach, h * (up / h.sum())
 
 
+#: Products of taps and samples that are made at once, where a block is short.
+AT_ONCE = 1 << 16
+
+
 def resampled(x: np.ndarray, lo: int, first: int, count: int, up: int, down: int, reach: int, h: np.ndarray) -> np.ndarray:
     """Outputs first to first + count of samples x, which begin at place lo and hold all that is read."""
     padded, i = np.concatenate([h, np.zeros(up)]), first + np.arange(count)
     t, p = i * down // up - reach - lo, i * down % up
+    if count * (2 * reach + 1) <= AT_ONCE:  # the same sums in the same order
+        s = np.arange(2 * reach + 1)[:, None]
+        return np.add.reduce(padded[np.minimum(p + (2 * reach - s) * up, len(padded) - 1)] * x[t + s], axis=0)
     y = np.zeros(count)
     for s in range(2 * reach + 1):
         y += padded[np.minimum(p + (2 * reach - s) * up, len(padded) - 1)] * x[t + s]

@@ -4,7 +4,8 @@ audio_info reads headers only. read_audio_blocks cuts each file into ranges that
 any tasks read, so a long file is many rows and never whole in one task; it
 can mix down and resample while reading. read_audio decodes a file whole in one task
 (binaryFile reads up to 2 GB) and is for short ones. Ranged reads use the file systems
-of Arrow: local paths and those it knows by scheme.
+of Arrow: local paths and those it knows by scheme. Many short clips are packed: a file
+a task, in which an index says where each clip's WAV file begins.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import check
 from ..operators.transforms import resample_filter, resampled
@@ -49,6 +51,8 @@ class Unreadable(Exception):
 HEAD, NEXT = 512, 64
 #: Factors of a change of rate beyond which a file is refused: the filter grows with them.
 FACTOR = 1 << 16
+#: Samples and rows of blocks that are handed on at a time.
+HELD, HELD_ROWS = 1 << 16, 4096
 
 
 def _header(read: Callable[[int, int], bytes], length: int) -> tuple[int, int, int, str, int, int]:
@@ -117,6 +121,24 @@ def _opened(path: str) -> pa.NativeFile:
     return store.open_input_file(inside)
 
 
+class _Last:
+    """Opens files for ranged reads and keeps the last one, for the rows that follow."""
+
+    def __init__(self):
+        self.path = self.file = None
+
+    def __call__(self, path: str) -> pa.NativeFile:
+        if path != self.path:
+            self.close()
+            self.file, self.path = _opened(path), path
+        return self.file
+
+    def close(self) -> None:
+        if self.path is not None:
+            self.file.close()
+        self.path = self.file = None
+
+
 def _factors(rate: int, target: int) -> int:
     return max(rate, target) // int(np.gcd(rate, target))
 
@@ -127,23 +149,27 @@ def audio_info_of(paths: DataFrame, sample_rate: int | None = None) -> DataFrame
     Some hundred bytes of a file are read. error.kind: not_found, permission_denied,
     io, unrecognized_format, unsupported, truncated; a null path is not found. Where the
     file is to be read at `sample_rate`, a rate that no filter is made for is unsupported.
+    Rows of write_packed's index (clip_id, path, at, bytes) keep their clip_id and name a
+    part of a file each.
     """
+    packed = "at" in paths.columns
     fields = {"path": pa.string(), "n": pa.int64(), "sample_rate": pa.int64(), "channels": pa.int32(), "encoding": pa.string(), "width": pa.int32(), "first": pa.int64(), "error": _ERROR}
 
-    def of(path: str | None) -> tuple:
+    def of(opened: _Last, path: str | None, begin: int = 0, length: int | None = None) -> tuple:
         try:
             if path is None:
                 raise FileNotFoundError
-            with _opened(path) as f:
+            f = opened(path)
+            length = f.size() if length is None else length
 
-                def read(at: int, count: int) -> bytes:
-                    f.seek(at)
-                    return f.read(count)
+            def read(at: int, count: int) -> bytes:
+                f.seek(begin + at)
+                return f.read(min(count, max(0, length - at)))
 
-                channels, rate, width, encoding, first, size = _header(read, f.size())
+            channels, rate, width, encoding, first, size = _header(read, length)
             if sample_rate and _factors(rate, sample_rate) > FACTOR:
                 raise Unreadable("unsupported", None, None)
-            return path, size // width, rate, channels, encoding, width, first, None
+            return path, size // width, rate, channels, encoding, width, begin + first, None
         except Unreadable as e:
             error = e.args
         except FileNotFoundError:
@@ -155,11 +181,21 @@ def audio_info_of(paths: DataFrame, sample_rate: int | None = None) -> DataFrame
         return path, None, None, None, None, None, None, dict(zip(("kind", "expected", "read"), error, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = _Last()
         for b in batches:
-            rows = [of(p) for p in b.column("path").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(fields.values())], names=list(fields))
+            at = [b.column(c).to_pylist() for c in ("path", "at", "bytes") if c in b.schema.names]
+            rows = [of(opened, *r) for r in zip(*at, strict=True)]
+            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(fields.values())]
+            if packed:
+                yield pa.RecordBatch.from_arrays([b.column("clip_id"), *columns], names=["clip_id", *fields])
+            else:
+                opened.close()
+                yield pa.RecordBatch.from_arrays(columns, names=list(fields))
+        opened.close()
 
     ddl = "path string, n bigint, sample_rate bigint, channels int, encoding string, width int, first bigint, error struct<kind:string,expected:bigint,read:bigint>"
+    if packed:
+        return paths.select("clip_id", "path", "at", "bytes").mapInArrow(run, f"clip_id {dict(paths.dtypes)['clip_id']}, {ddl}")
     return paths.select("path").mapInArrow(run, ddl)
 
 
@@ -192,10 +228,13 @@ def read_ranges(ranges: DataFrame, block: int = 65536, sample_rate: int | None =
     mono: the mean of the channels, added in their order, before any change of rate.
     sample_rate: blocks at that rate; each reads the bytes that its filter reaches, so
     the native signal is never put together. Ranges are dealt to `tasks` tasks (by
-    default spark.sql.shuffle.partitions); a task holds one block of all channels. A
-    file that fails after its header was read fails the task, which Spark repeats.
+    default spark.sql.shuffle.partitions); a task holds one block of all channels, or
+    some short ones up to HELD samples. A file that fails after its header was read
+    fails the task, which Spark repeats. clip_id is the path where ranges have none.
     """
     spark = ranges.sparkSession
+    ranges = ranges if "clip_id" in ranges.columns else ranges.withColumn("clip_id", F.col("path"))
+    kind = ranges.schema["clip_id"].dataType
     names = ["clip_id", "channel", "sample_rate", "n", "block", "start", "samples"]
 
     def decoded(f, r: dict, lo: int, hi: int) -> np.ndarray:
@@ -210,28 +249,37 @@ def read_ranges(ranges: DataFrame, block: int = 65536, sample_rate: int | None =
             x = (sum(x[1:], x[0].copy()) * (1 / len(x)))[None]
         return np.pad(x, ((0, 0), (a - lo, hi - b))) if a > lo or hi > b else x
 
+    kinds = [to_arrow_type(kind), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, rows, held = _Last(), [], 0
         for batch in batches:
             for r in batch.to_pylist():
-                rate = sample_rate or r["sample_rate"]
-                with _opened(r["path"]) as f:
-                    for start in range(r["start"], r["end"], block):
-                        count = min(block, r["end"] - start)
-                        if rate == r["sample_rate"]:
-                            x = decoded(f, r, start, start + count)
-                        else:
-                            up, down, reach, h = _filter(r["sample_rate"], rate, quality)
-                            lo, hi = start * down // up - reach, (start + count - 1) * down // up + reach + 1
-                            x = [resampled(c, lo, start, count, up, down, reach, h) for c in decoded(f, r, lo, hi)]
-                        k = len(x)
-                        columns = [[r["path"]] * k, range(k), [rate] * k, [r["m"]] * k, [start // block] * k, [start] * k]
-                        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                        made = [pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)]
-                        yield pa.RecordBatch.from_arrays([*made, pa.array(list(x), pa.list_(pa.float64()))], names=names)
+                rate, f = sample_rate or r["sample_rate"], opened(r["path"])
+                for start in range(r["start"], r["end"], block):
+                    count = min(block, r["end"] - start)
+                    if rate == r["sample_rate"]:
+                        x = decoded(f, r, start, start + count)
+                    else:
+                        up, down, reach, h = _filter(r["sample_rate"], rate, quality)
+                        lo, hi = start * down // up - reach, (start + count - 1) * down // up + reach + 1
+                        x = [resampled(c, lo, start, count, up, down, reach, h) for c in decoded(f, r, lo, hi)]
+                    rows += [(r["clip_id"], k, rate, r["m"], start // block, start, v) for k, v in enumerate(x)]
+                    held += len(x) * count
+                    if held >= HELD or len(rows) >= HELD_ROWS:
+                        yield made(rows)
+                        rows, held = [], 0
+        if rows:
+            yield made(rows)
+        opened.close()
 
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = ranges.select("path", "n", "m", "sample_rate", "channels", "encoding", "width", "first", "start", "end").repartition(tasks, "path", "start")
-    return rows.mapInArrow(run, "clip_id string, channel int, sample_rate int, n bigint, block bigint, start bigint, samples array<double>")
+    rows = ranges.select("clip_id", "path", "n", "m", "sample_rate", "channels", "encoding", "width", "first", "start", "end").repartition(tasks, "path", "first", "start")
+    rows = rows.sortWithinPartitions("path", "first", "start")  # a file is opened once a task
+    return rows.mapInArrow(run, f"clip_id {kind.simpleString()}, channel int, sample_rate int, n bigint, block bigint, start bigint, samples array<double>")
 
 
 def read_audio_blocks(
@@ -281,10 +329,7 @@ def write_audio(clips: DataFrame, path: str, encoding: str = "pcm16") -> DataFra
     twice. Channels are interleaved in order; PCM saturates.
     """
     check(encoding in ENCODINGS, f"unknown encoding {encoding}")
-    tag, bits = ENCODINGS[encoding]
-    both = clips.groupBy("clip_id", "sample_rate").agg(F.array_sort(F.collect_list(F.struct("channel", "samples"))).alias("c"))
-    rows = both.select("clip_id", "sample_rate", F.transform("c", lambda c: c["samples"]).alias("x"))
-    root = path if "://" in path else f"file://{os.path.abspath(path.removeprefix('file:'))}"
+    rows, root = _by_clip(clips), _root(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(root)
@@ -292,10 +337,7 @@ def write_audio(clips: DataFrame, path: str, encoding: str = "pcm16") -> DataFra
         for b in batches:
             made, sizes = [], []
             for i in range(b.num_rows):
-                x = np.stack([c.values.to_numpy() for c in b.column("x")[i]], axis=1)
-                rate, width = b.column("sample_rate")[i].as_py(), x.shape[1] * bits // 8
-                data = _bytes(np.ascontiguousarray(x).ravel(), encoding)
-                head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(data), b"WAVE", b"fmt ", 16, tag, x.shape[1], rate, rate * width, width, bits, b"data", len(data))
+                head, data = _image(b, i, encoding)
                 name = f"{folder}/{b.column('clip_id')[i].as_py()}.wav"
                 draft = f"{folder}/_{uuid.uuid4().hex}"
                 with store.open_output_stream(draft) as out:
@@ -307,3 +349,54 @@ def write_audio(clips: DataFrame, path: str, encoding: str = "pcm16") -> DataFra
             yield pa.RecordBatch.from_arrays([b.column("clip_id"), pa.array(made, pa.string()), pa.array(sizes, pa.int64())], names=["clip_id", "path", "bytes"])
 
     return rows.mapInArrow(run, f"clip_id {dict(clips.dtypes)['clip_id']}, path string, bytes bigint")
+
+
+def write_packed(clips: DataFrame, path: str, encoding: str = "pcm16") -> DataFrame:
+    """The WAV files of many clips, one behind the other in a file a task; returns their index: clip_id, path, at, bytes, once acted upon.
+
+    Files have new names, so a task that runs twice leaves one that no index names;
+    write the index before it is used. audio_info_of takes it.
+    """
+    check(encoding in ENCODINGS, f"unknown encoding {encoding}")
+    rows, root = _by_clip(clips), _root(path)
+    scheme = root.partition("://")[0] if "://" in path else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = fs.FileSystem.from_uri(root)
+        store.create_dir(folder, recursive=True)
+        name, at, out = f"{uuid.uuid4().hex}.wavs", 0, None
+        named = f"{path.rstrip('/')}/{name}" if scheme else f"{folder}/{name}"
+        for b in batches:
+            out = out or store.open_output_stream(f"{folder}/{name}")
+            places, sizes = [], []
+            for i in range(b.num_rows):
+                head, data = _image(b, i, encoding)
+                out.write(head + data)
+                places.append(at)
+                sizes.append(len(head) + len(data))
+                at += sizes[-1]
+            columns = [b.column("clip_id"), pa.array([named] * b.num_rows, pa.string()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["clip_id", "path", "at", "bytes"])
+        if out:
+            out.close()
+
+    return rows.mapInArrow(run, f"clip_id {dict(clips.dtypes)['clip_id']}, path string, at bigint, bytes bigint")
+
+
+def _by_clip(clips: DataFrame) -> DataFrame:
+    """(clip_id, sample_rate, x): the samples of each channel, in order."""
+    both = clips.groupBy("clip_id", "sample_rate").agg(F.array_sort(F.collect_list(F.struct("channel", "samples"))).alias("c"))
+    return both.select("clip_id", "sample_rate", F.transform("c", lambda c: c["samples"]).alias("x"))
+
+
+def _root(path: str) -> str:
+    return path if "://" in path else f"file://{os.path.abspath(path.removeprefix('file:'))}"
+
+
+def _image(b: pa.RecordBatch, i: int, encoding: str) -> tuple[bytes, bytes]:
+    """Header and data of row i of _by_clip."""
+    tag, bits = ENCODINGS[encoding]
+    x = np.stack([c.values.to_numpy() for c in b.column("x")[i]], axis=1)
+    rate, width = b.column("sample_rate")[i].as_py(), x.shape[1] * bits // 8
+    data = _bytes(np.ascontiguousarray(x).ravel(), encoding)
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(data), b"WAVE", b"fmt ", 16, tag, x.shape[1], rate, rate * width, width, bits, b"data", len(data)), data

@@ -64,6 +64,16 @@ def test_decibels_of_odd_values(spark, tmp_path):
     assert sorted(repr(tuple(r)) for r in got.collect()) == want
 
 
+def test_decibels_of_signed_zeros_and_extremes(spark, tmp_path):
+    """Bit for bit: negative zeros, values that overflow when scaled, and frequencies that underflow."""
+    con = duckdb.connect()
+    odd = "-0.0, 0.0, -1e-9, -4e-7, -5e-7, 1 - 1e-9, 1 + 1e-9, 1e303, -1e303, 1.7e308, 5e-324, -5e-324, 1e-310, 4503599627.370497"
+    con.execute(f"create table events as select row_number() over () as event_id, value from (select unnest([{odd}])::DOUBLE as value)")
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = QUERIES["decibels"](spark, str(tmp_path))
+    assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(map(repr, con.execute(ORACLE_SQL["decibels"]).fetchall()))
+
+
 @pytest.mark.parametrize("pad", ["reflect", "zero", "edge"])
 @pytest.mark.parametrize("tile", [1, 7, 4096])
 def test_stft_does_not_depend_on_tiles(spark, pad, tile):

@@ -54,7 +54,8 @@ def mel_to_hz(m, scale: str = "slaney") -> Column:
 
 
 def hz_to_midi(f) -> Column:
-    return F.when(_c(f) == 0, float("-inf")).when(_c(f) < 0, float("nan")).otherwise(69 + 12 * F.log2(_c(f) / 440))
+    ratio = _c(f) / 440  # may be zero where f is not
+    return F.when(ratio == 0, float("-inf")).when(ratio < 0, float("nan")).otherwise(69 + 12 * F.log2(ratio))
 
 
 def midi_to_hz(m) -> Column:
